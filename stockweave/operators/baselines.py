@@ -60,11 +60,11 @@ def series_state(
     rows = rows.withColumns(
         {
             "_k": F.count(F.when(sale, 1)).over(upto),
-            "_K": F.count(F.when(sale, 1)).over(every),
+            "_sales": F.count(F.when(sale, 1)).over(every),
             "_prev": F.max(F.when(sale, pos)).over(before),
         }
     )
-    k, total = F.col("_k"), F.col("_K")
+    k, total = F.col("_k"), F.col("_sales")
     a, b = F.lit(alpha), F.lit(beta)
     weight = F.pow(1 - a, (total - k).cast("double")) * F.when(k == 1, 1.0).otherwise(a)
     gap = F.when(k == 1, pos + 1).otherwise(pos - F.col("_prev"))
@@ -76,7 +76,7 @@ def series_state(
     rows = rows.withColumn("_h", F.pmod(pos - n, F.lit(season)))
     per_slot = rows.groupBy(*keys, "_h").agg(
         F.max("n").alias("n"),
-        F.max("_K").alias("_K"),
+        F.max("_sales").alias("_sales"),
         over_sales(weight * q).alias("_size"),
         over_sales(weight * gap).alias("_gap"),
         over_sales(p_weight).alias("_prob"),
@@ -90,7 +90,7 @@ def series_state(
     slot = F.struct("_h", F.struct(F.col("_season").alias("sum"), F.col("_last").alias("last")))
     state = per_slot.groupBy(*keys).agg(
         F.max("n").alias("n"),
-        F.max("_K").alias("n_sales"),
+        F.max("_sales").alias("n_sales"),
         F.coalesce(F.sum("_size"), F.lit(0.0)).alias("_size"),
         F.sum("_gap").alias("_gap"),
         F.coalesce(F.sum("_prob"), F.lit(0.0)).alias("_prob"),

@@ -137,9 +137,7 @@ def walk_forward(
     """Metrics per fold and model over all series, in one job."""
     wide = fold_rows(df, first, folds, models, keys)
     rows = wide.unpivot(["fold", *keys, "step", "actual"], models, "model", "forecast")
-    per_model = mt.metric_suite(rows, ["fold", "model"]).withColumn(
-        "n_skus", F.col("n_obs") / F.lit(1)
-    )
+    per_model = mt.metric_suite(rows, ["fold", "model"])
     scale = mt.diff_scale(wide, ["fold"], keys, "step")
     n_skus = wide.filter(F.col("step") == 1).groupBy("fold").agg(F.count("*").alias("n_skus"))
     ends = F.element_at(
@@ -148,7 +146,7 @@ def walk_forward(
     starts = F.element_at(
         F.create_map(*[F.lit(x) for f in folds for x in (f[0], f[2])]), F.col("fold")
     )
-    out = mt.with_mase(per_model.drop("n_skus"), scale, ["fold"]).join(n_skus, "fold")
+    out = mt.with_mase(per_model, scale, ["fold"]).join(n_skus, "fold")
     return out.select(
         "fold", "model", ends.alias("train_end"), starts.alias("val_start"), "n_skus",
         *mt.SUITE, "mase",
