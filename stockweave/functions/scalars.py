@@ -53,7 +53,7 @@ def non_negative(c) -> Column:
 def material_parts(c) -> dict[str, Column]:
     """Category, model, colour and country of a comma-joined description."""
     c = F.coalesce(as_col(c), F.lit(""))
-    tok = F.transform(F.split(c, ","), F.trim)
+    tok = F.transform(F.split(c, ","), lambda t: F.trim(t))
     colour = F.filter(
         F.slice(tok, 3, 1 << 20), lambda t: F.upper(t).isin(COLORS)
     )
