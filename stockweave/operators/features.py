@@ -151,15 +151,20 @@ def channel_stats(df: DataFrame, fit: Column | None = None) -> DataFrame:
     )
 
 
-def with_channel_features(df: DataFrame, stats: DataFrame) -> DataFrame:
-    out = join_stats(df, stats, [CHANNEL])
-    return out.withColumns(
+def with_channel_columns(df: DataFrame) -> DataFrame:
+    """z-score and mean sale from the channel statistics on the row."""
+    return df.withColumns(
         {
             "zscore_vs_channel": (F.col("rolling_mean_12") - F.col("ch_mean"))
             / (F.col("ch_std") + sc.EPS),
             "channel_nonzero_avg": F.coalesce("ch_nonzero_avg", F.lit(0.0)),
         }
-    ).drop("ch_mean", "ch_std", "ch_nonzero_avg")
+    )
+
+
+def with_channel_features(df: DataFrame, stats: DataFrame) -> DataFrame:
+    out = with_channel_columns(join_stats(df, stats, [CHANNEL]))
+    return out.drop("ch_mean", "ch_std", "ch_nonzero_avg")
 
 
 def with_logs(df: DataFrame) -> DataFrame:

@@ -32,6 +32,15 @@ CTES = {
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
         JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN part p ON l.l_partkey = p.p_partkey""",
+    "long_customer": """
+        SELECT c.c_name AS ch, p.p_brand AS mat,
+               CASE l.l_returnflag WHEN 'N' THEN 'Sell-in' WHEN 'A' THEN 'Cust. Sales'
+                    ELSE 'Channel Inv.' END AS cat,
+               CAST(isoyear(l.l_shipdate) * 100 + weekofyear(l.l_shipdate) AS INTEGER) AS yw,
+               sum(l.l_quantity) AS q
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+        JOIN customer c ON o.o_custkey = c.c_custkey
+        JOIN part p ON l.l_partkey = p.p_partkey GROUP BY ALL""",
     "signed_fine": "SELECT ch, mat, cat, yw, CASE WHEN line = 7 THEN -q ELSE q END AS q FROM obs_fine",
     "long_fine": "SELECT ch, mat, cat, yw, sum(q) AS q FROM obs_fine GROUP BY ALL",
     "long_coarse": "SELECT ch, mat, cat, yw, sum(q) AS q FROM obs_coarse GROUP BY ALL",
@@ -62,17 +71,19 @@ def define(name: str, sql: str) -> None:
 
 
 def with_ctes(sql: str) -> str:
-    """Prefix a statement with the building blocks it names, in order."""
-    need: set[str] = set()
-    todo = [sql]
-    while todo:
-        text = todo.pop()
+    """Prefix a statement with the building blocks it names, inner ones first."""
+    done: list[str] = []
+
+    def visit(text: str, own: str = "") -> None:
         for name in CTES:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in need]
-    return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
+            if name != own and name not in done and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], name)
+                done.append(name)
+
+    visit(sql)
+    if not done:
+        return sql
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in done) + " " + sql
 
 
 def query(name: str, sql: str | None = None):
@@ -83,7 +94,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return add
@@ -91,5 +102,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from stockweave.plans import (  # noqa: F401
-        evaluation_queries, feature_queries, quality_queries, source_queries,
+        business_queries, dashboard_queries, evaluation_queries, feature_queries, model_queries,
+        quality_queries,
+        source_queries,
     )

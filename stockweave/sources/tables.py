@@ -2,7 +2,8 @@
 
 ``lineitem`` joined to its order, customer, nation and part gives one row per
 (channel, material, category, week) observation. ``fine`` uses nation and
-type × brand, ``coarse`` uses market segment and brand.
+type × brand, ``coarse`` market segment and brand, ``customer`` customer name
+and brand.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def observations(spark: SparkSession, sf_dir: str, grain: str = "fine") -> DataF
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     df = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -53,6 +54,8 @@ def observations(spark: SparkSession, sf_dir: str, grain: str = "fine") -> DataF
         nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
         df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         channel, material = F.col("n_name"), F.concat_ws(",", "p_type", "p_brand")
+    elif grain == "customer":
+        channel, material = F.col("c_name"), F.col("p_brand")
     else:
         channel, material = F.col("c_mktsegment"), F.col("p_brand")
     flag = F.col("l_returnflag")
