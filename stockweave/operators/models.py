@@ -79,8 +79,8 @@ def demand_classifier(rows: DataFrame, params: dict = FULL):
     weight = (1 - p) / p if 0 < p < 1 else 1.0
     rows = rows.withColumn("_w", F.when(F.col("label") > 0, weight).otherwise(1.0))
     model = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="_w", rawPredictionCol="clf_raw",
-        probabilityCol="clf_prob", predictionCol="clf_pred", validationIndicatorCol="is_tune", **params,
+        featuresCol="features", labelCol="label", weightCol="_w", predictionCol="clf_pred",
+        validationIndicatorCol="is_tune", **params,
     ).fit(rows)
     return model, weight
 
@@ -95,8 +95,8 @@ def quantity_regressor(rows: DataFrame, params: dict = FULL):
 
 
 def with_probability(df: DataFrame, classifier, calibrator=None) -> DataFrame:
-    out = classifier.transform(df).withColumn("raw_prob", vector_to_array("clf_prob")[1])
-    out = out.drop("clf_raw", "clf_prob", "clf_pred")
+    out = classifier.transform(df).withColumn("raw_prob", vector_to_array("probability")[1])
+    out = out.drop("rawPrediction", "probability", "clf_pred")
     if calibrator is None:
         return out.withColumn("demand_prob", F.col("raw_prob"))
     return calibrator.transform(out)

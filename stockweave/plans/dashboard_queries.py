@@ -240,7 +240,7 @@ define(
 define(
     "corr_cells",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS row_var, '{b}' AS col_var, {'1.0::DOUBLE' if a == b else f'corr({a}, {b})'} AS r FROM corr_rows" for a in _CORR for b in _CORR
+        f"SELECT '{a}' AS row_var, '{b}' AS col_var, {'max(1.0::DOUBLE)' if a == b else f'corr({a}, {b})'} AS r FROM corr_rows" for a in _CORR for b in _CORR
     ),
 )
 
