@@ -40,17 +40,20 @@ def stored(df: DataFrame, name: str = "model_frame") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def model_frame(dense: DataFrame, train_end: int) -> DataFrame:
-    """Sell-in rows with all model inputs.
+def base_frame(dense: DataFrame) -> DataFrame:
+    """Sell-in rows with the features that need no fitting.
 
-    Channel statistics are learned on weeks up to ``train_end``; days of supply
-    use the inventory of the week before.
+    Days of supply use the inventory of the week before.
     """
     inv = dense.filter(F.col(CATEGORY) == CHANNEL_INV)
     base = ft.series_features(dense.filter(F.col(CATEGORY) == SELL_IN))
-    base = ft.with_lagged_days_of_supply(base, inv)
+    return ft.with_lagged_days_of_supply(base, inv)
+
+
+def model_frame(base: DataFrame, train_end: int) -> DataFrame:
+    """All model inputs; channel statistics are learned on weeks up to ``train_end``."""
     stats = ft.channel_stats(base, F.col(WEEK) <= train_end)
-    return ft.training_rows(ft.model_features(base, stats))
+    return assemble(ft.training_rows(ft.model_features(base, stats)))
 
 
 def assemble(df: DataFrame, columns: list[str] = ft.MODEL_FEATURES) -> DataFrame:
@@ -243,17 +246,17 @@ def suite(scored: DataFrame, forecast: str, label: str) -> DataFrame:
 
 
 def cross_validate(
-    frame_for, folds, params: dict = FULL, segmented: bool = False, min_rows: int = 500
+    base: DataFrame, folds, params: dict = FULL, segmented: bool = False, min_rows: int = 500
 ) -> tuple[DataFrame, DataFrame]:
     """Two-stage models over expanding folds.
 
-    ``frame_for(train_end)`` gives the featured rows. Returns metrics per fold
-    and variant, and the scored rows of the last fold. The loop is over folds,
-    each fold being a distributed fit.
+    Returns metrics per fold and variant, and the scored rows of the last fold.
+    Features are written once; the loop is over folds, each a distributed fit.
     """
+    base = stored(base)
     results, last = [], None
     for fold, train_end, val_start, val_end in folds:
-        frame = stored(assemble(frame_for(train_end)))
+        frame = model_frame(base, train_end)
         rows = with_roles(frame, train_end)
         val = frame.filter(F.col(WEEK).between(val_start, val_end))
         if rows.limit(min_rows).count() < min_rows:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from stockweave.functions import scalars as sc
 from stockweave.functions import weeks as wk
-from stockweave.schema import CATEGORIES, CATEGORY, MATERIAL, QTY, SERIES, WEEK
+from stockweave.schema import (
+    CATEGORIES, CATEGORY, CHANNEL_INV, CUST_SALES, MATERIAL, QTY, SELL_IN, SERIES, WEEK,
+)
 
 WEEK_COLUMN = re.compile(r"^\d{6}$")
 
@@ -89,7 +91,9 @@ def silver(df: DataFrame) -> DataFrame:
     return with_material_parts(with_calendar(out))
 
 
-def densify(df: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
+def densify(
+    df: DataFrame, keys: list[str], first: int, last: int, values: list[str] = [QTY]  # noqa: B006
+) -> DataFrame:
     """Every series on every ISO week from ``first`` to ``last``.
 
     Each observed row also emits the zero weeks up to the next observed row,
@@ -100,18 +104,32 @@ def densify(df: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("pos")
     return (
         df.filter(F.col(WEEK).between(first, last))
-        .select(*keys, wk.week_index(F.col(WEEK), first).alias("pos"), QTY)
+        .select(*keys, wk.week_index(F.col(WEEK), first).alias("pos"), *values)
         .withColumn("_from", F.when(F.row_number().over(w) == 1, 0).otherwise(F.col("pos")))
         .withColumn("_to", F.coalesce(F.lead("pos").over(w), F.lit(n)) - 1)
-        .select(*keys, "pos", QTY, F.explode(F.sequence("_from", "_to")).alias("_at"))
+        .select(*keys, "pos", *values, F.explode(F.sequence("_from", "_to")).alias("_at"))
         .select(
             *keys,
             wk.week_at("_at", first).alias(WEEK),
-            F.when(F.col("_at") == F.col("pos"), F.col(QTY)).otherwise(0.0).alias(QTY),
+            *[F.when(F.col("_at") == F.col("pos"), F.col(v)).otherwise(0.0).alias(v) for v in values],
         )
     )
 
 
+def pivot_categories(df: DataFrame) -> DataFrame:
+    """One row per SKU and week with a column per measure."""
+
+    def total(category):
+        return F.coalesce(F.sum(F.when(F.col(CATEGORY) == category, F.col(QTY))), F.lit(0.0))
+
+    keys = [c for c in SERIES if c != CATEGORY]
+    return df.groupBy(*keys, WEEK).agg(
+        total(SELL_IN).alias("sell_in"),
+        total(CUST_SALES).alias("cust_sales"),
+        total(CHANNEL_INV).alias("channel_inv"),
+    )
+
+
 def sorted_rows(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     return df.orderBy(*keys, WEEK)
 

@@ -12,12 +12,12 @@ from stockweave.sources import tables as tb
 QUICK = {"maxIter": 4, "maxDepth": 4, "stepSize": 0.3, "subsamplingRate": 0.9, "seed": 7}
 
 
-def _frame(spark, d, train_end=tb.CUTOFF_WEEK):
-    return md.model_frame(tb.dense_table(spark, d, "coarse"), train_end)
+def _base(spark, d):
+    return md.base_frame(tb.dense_table(spark, d, "coarse"))
 
 
 def _split(spark, d):
-    frame = md.stored(md.assemble(_frame(spark, d)))
+    frame = md.model_frame(md.stored(_base(spark, d)), tb.CUTOFF_WEEK)
     return md.with_roles(frame, tb.CUTOFF_WEEK), frame.filter(F.col(WEEK).between(200101, 200113))
 
 
@@ -110,15 +110,15 @@ def l13(spark, d):
 
 @query("C5_two_stage_cv")
 def c5(spark, d):
-    return md.cross_validate(lambda end: _frame(spark, d, end), tb.FOLDS, QUICK)[0]
+    return md.cross_validate(_base(spark, d), tb.FOLDS, QUICK)[0]
 
 
 @query("C6_segmented_cv")
 def c6(spark, d):
-    return md.cross_validate(lambda end: _frame(spark, d, end), tb.FOLDS, QUICK, segmented=True)[0]
+    return md.cross_validate(_base(spark, d), tb.FOLDS, QUICK, segmented=True)[0]
 
 
 @query("C6_interval_rows")
 def c6_rows(spark, d):
-    last = md.cross_validate(lambda end: _frame(spark, d, end), tb.FOLDS[4:], QUICK, segmented=True)[1]
+    last = md.cross_validate(_base(spark, d), tb.FOLDS[4:], QUICK, segmented=True)[1]
     return md.interval_rows(last)

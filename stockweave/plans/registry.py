@@ -103,6 +103,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     from stockweave.plans import (  # noqa: F401
         business_queries, dashboard_queries, evaluation_queries, feature_queries, model_queries,
-        quality_queries,
-        source_queries,
+        planning_queries, quality_queries, source_queries,
     )
