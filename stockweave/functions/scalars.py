@@ -50,22 +50,26 @@ def non_negative(c) -> Column:
     return F.greatest(F.coalesce(as_col(c), F.lit(0.0)), F.lit(0.0))
 
 
+_COLOR_TOKEN = r"(?i),\s*(" + "|".join(COLORS) + r")\s*(?=,|$)"
+
+
 def material_parts(c) -> dict[str, Column]:
-    """Category, model, colour and country of a comma-joined description."""
+    """Category, model, colour and country of a comma-joined description.
+
+    The colour is the first known colour from the third token on, the country
+    the last token if it is a known code or two or three letters. Plain string
+    functions only, so the parse stays in generated code.
+    """
     c = F.coalesce(as_col(c), F.lit(""))
-    tok = F.transform(F.split(c, ","), lambda t: F.trim(t))
-    colour = F.filter(
-        F.slice(tok, 3, 1 << 20), lambda t: F.upper(t).isin(COLORS)
-    )
-    last = F.element_at(tok, -1)
+    c = F.when(F.trim(c) == "", "").otherwise(c)
+    rest = F.substring(c, F.length(F.substring_index(c, ",", 2)) + 1, F.length(c))
+    last = F.trim(F.substring_index(c, ",", -1))
     is_code = F.upper(last).isin(COUNTRY_CODES) | last.rlike(r"^\p{L}{2,3}$")
-    blank = F.trim(c) == ""
-    empty = F.lit("")
     return {
-        "product_category": F.when(blank, empty).otherwise(F.get(tok, F.lit(0))),
-        "product_model": F.when(blank, empty).otherwise(F.coalesce(F.get(tok, F.lit(1)), empty)),
-        "product_color": F.when(blank, empty).otherwise(F.coalesce(F.get(colour, F.lit(0)), empty)),
-        "product_country": F.when(blank, empty).otherwise(F.when(is_code, last).otherwise(empty)),
+        "product_category": F.trim(F.substring_index(c, ",", 1)),
+        "product_model": F.trim(F.split_part(c, F.lit(","), F.lit(2))),
+        "product_color": F.regexp_extract(rest, _COLOR_TOKEN, 1),
+        "product_country": F.when(is_code, last).otherwise(""),
     }
 
 

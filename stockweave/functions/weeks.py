@@ -20,7 +20,8 @@ def normalise_week(c) -> Column:
 
 
 def year_of(c) -> Column:
-    return F.floor(as_col(c) / 100).cast("int")
+    c = as_col(c)
+    return ((c - c % 100) / 100).cast("int")
 
 
 def week_of(c) -> Column:
@@ -35,9 +36,27 @@ def monday_of(c) -> Column:
 
 
 def week_label(d) -> Column:
-    """ISO ``YYYYWW`` of a date or timestamp."""
+    """ISO ``YYYYWW`` of a date or timestamp.
+
+    The Thursday of a week decides its year; its day of year gives the week.
+    Cheaper per row than the ISO field functions.
+    """
     d = as_col(d).cast("date")
-    return (F.extract(F.lit("YEAROFWEEK"), d) * 100 + F.weekofyear(d)).cast("int")
+    thursday = F.date_add(d, 3 - F.weekday(d))
+    week = F.floor((F.dayofyear(thursday) - 1) / 7) + 1
+    return (F.year(thursday) * 100 + week).cast("int")
+
+
+def _year_starts() -> list[int]:
+    base = dt.date.fromisocalendar(1900, 1, 1)
+    return [(dt.date.fromisocalendar(y, 1, 1) - base).days // 7 for y in range(1900, 2201)]
+
+
+def week_number(c) -> Column:
+    """Running number of a week label, from 0 at 1900-W01; null outside 1900–2200."""
+    c = as_col(c)
+    starts = F.array(*[F.lit(n) for n in _year_starts()])
+    return F.get(starts, year_of(c) - 1900) + week_of(c) - 1
 
 
 def shift_week(c, n) -> Column:
@@ -51,7 +70,7 @@ def weeks_ago(c, n: int) -> Column:
 
 
 def iso_weeks_between(a, b) -> Column:
-    return F.floor(F.datediff(monday_of(b), monday_of(a)) / 7).cast("int")
+    return (week_number(b) - week_number(a)).cast("int")
 
 
 def flat52_weeks_between(a, b) -> Column:
@@ -95,10 +114,11 @@ def week_span(a: int, b: int) -> int:
 
 def week_index(c, first: int) -> Column:
     """0-based position on the calendar that starts at ``first``."""
-    return F.floor(F.datediff(monday_of(c), F.lit(week_monday(first))) / 7).cast("int")
+    start = (week_monday(first) - week_monday(190001)).days // 7
+    return (week_number(c) - start).cast("int")
 
 
-def week_at(pos, first: int) -> Column:
-    """Inverse of :func:`week_index`."""
-    pos = as_col(pos)
-    return week_label(F.date_add(F.lit(week_monday(first)), (pos * 7).cast("int")))
+def week_at(pos, first: int, n: int) -> Column:
+    """Label of a position below ``n``; the calendar is a literal array."""
+    labels = F.array(*[F.lit(week_add(first, i)) for i in range(n)])
+    return F.get(labels, as_col(pos))

@@ -251,12 +251,13 @@ def cross_validate(
     """Two-stage models over expanding folds.
 
     Returns metrics per fold and variant, and the scored rows of the last fold.
-    Features are written once; the loop is over folds, each a distributed fit.
+    Features are written once, the assembled rows once per fold; the loop is
+    over folds, each a distributed fit.
     """
     base = stored(base)
     results, last = [], None
     for fold, train_end, val_start, val_end in folds:
-        frame = model_frame(base, train_end)
+        frame = stored(model_frame(base, train_end))
         rows = with_roles(frame, train_end)
         val = frame.filter(F.col(WEEK).between(val_start, val_end))
         if rows.limit(min_rows).count() < min_rows:

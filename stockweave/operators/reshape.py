@@ -92,14 +92,21 @@ def silver(df: DataFrame) -> DataFrame:
 
 
 def densify(
-    df: DataFrame, keys: list[str], first: int, last: int, values: list[str] = [QTY]  # noqa: B006
+    df: DataFrame, keys: list[str], first: int, last: int, values: list[str] = [QTY],  # noqa: B006
+    cluster: list[str] | None = None,
 ) -> DataFrame:
     """Every series on every ISO week from ``first`` to ``last``.
 
     Each observed row also emits the zero weeks up to the next observed row,
     so nothing is joined and only observed rows are shuffled. Input has one
     row per key and week; at most one series' weeks meet in a window.
+
+    ``cluster`` (a subset of the keys) places the sparse rows once, so that
+    later windows over those columns and more find the long dense rows in
+    place. A cluster must stay small, such as the categories of one SKU.
     """
+    if cluster:
+        df = df.repartition(*cluster)
     n = wk.week_span(first, last) + 1
     w = Window.partitionBy(*keys).orderBy("pos")
     return (
@@ -110,7 +117,7 @@ def densify(
         .select(*keys, "pos", *values, F.explode(F.sequence("_from", "_to")).alias("_at"))
         .select(
             *keys,
-            wk.week_at("_at", first).alias(WEEK),
+            wk.week_at("_at", first, n).alias(WEEK),
             *[F.when(F.col("_at") == F.col("pos"), F.col(v)).otherwise(0.0).alias(v) for v in values],
         )
     )

@@ -17,7 +17,7 @@ def _base(spark, d):
 
 
 def _split(spark, d):
-    frame = md.model_frame(md.stored(_base(spark, d)), tb.CUTOFF_WEEK)
+    frame = md.stored(md.model_frame(md.stored(_base(spark, d)), tb.CUTOFF_WEEK))
     return md.with_roles(frame, tb.CUTOFF_WEEK), frame.filter(F.col(WEEK).between(200101, 200113))
 
 

@@ -341,7 +341,7 @@ def d15_hit(spark, d):
 
 
 _ACC = """round(avg(2.0::DOUBLE * abs(a - f) / (abs(a) + abs(f) + 1e-9)) * 100, 6) + 0.0 AS smape,
-  round(CASE WHEN avg(abs(a)) >= 1e-9 THEN avg(f - a) / avg(abs(a)) * 100 ELSE 0.0::DOUBLE END, 6) + 0.0 AS bias_pct,
+  round(CASE WHEN avg(abs(a)) >= 1e-9 THEN avg(f - a) / avg(abs(a)) * 100 ELSE 0.0::DOUBLE END, 3) + 0.0 AS bias_pct,
   round(coalesce(avg(CASE WHEN abs(a - f) / a <= 0.25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (a > 0), 0) * 100, 6) + 0.0 AS hit_rate_25pct, count(*) AS n_series"""
 define("acc_rows", "SELECT f.*, r.segment, substring(f.mat, 1, 7) AS fam FROM fc_actual f JOIN registry_coarse r USING (ch, mat)")
 define(
@@ -360,7 +360,8 @@ def _acc_log(spark, d):
 
 @query("D16_accuracy_log", "SELECT yw AS year_week, scope, member, smape, bias_pct, hit_rate_25pct, n_series FROM acc_log")
 def d16(spark, d):
-    return rounded(_acc_log(spark, d), "smape", "bias_pct", "hit_rate_25pct")
+    df = rounded(_acc_log(spark, d), "smape", "hit_rate_25pct")
+    return df.withColumn("bias_pct", F.round("bias_pct", 3) + F.lit(0.0))
 
 
 _PSI = ["sell_in_ma13", "sales_ma13", "inv_ma13"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stockweave.functions import weeks as wk
 from stockweave.operators.reshape import densify, sum_duplicates
 from stockweave.schema import (
-    CATEGORY, CHANNEL, CHANNEL_INV, CUST_SALES, MATERIAL, QTY, SELL_IN, SERIES, WEEK,
+    CATEGORY, CHANNEL, CHANNEL_INV, CUST_SALES, MATERIAL, QTY, SELL_IN, SERIES, SKU, WEEK,
 )
 
 # Parameters that take the place of calendar constants for these tables.
@@ -94,7 +94,7 @@ def dense_table(
     df = long_table(spark, sf_dir, grain)
     if category:
         df = df.filter(F.col(CATEGORY) == category)
-    return densify(df, SERIES, FIRST_WEEK, last_week)
+    return densify(df, SERIES, FIRST_WEEK, last_week, cluster=SKU)
 
 
 def sell_in(spark: SparkSession, sf_dir: str, grain: str = "coarse") -> DataFrame:
