@@ -20,6 +20,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     df = df.persist()
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
+    df.unpersist()
     return df
 
 

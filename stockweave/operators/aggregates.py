@@ -30,7 +30,8 @@ def year_week_matrix(df: DataFrame) -> DataFrame:
 def seasonal_profile(df: DataFrame, q: float = 0.85) -> DataFrame:
     """Mean per week of year, marked from the given percentile of the means on."""
     mean = df.groupBy(wk.week_of(WEEK).alias("week")).agg(F.avg(QTY).alias("mean_quantity"))
-    cut = exact_percentiles(mean, "mean_quantity", {"p": q}).scalar()
+    # the window holds one row per week of year
+    cut = F.percentile("mean_quantity", F.lit(q)).over(Window.partitionBy(F.lit(1)))
     return mean.withColumn("is_peak", (F.round("mean_quantity", 9) >= F.round(cut, 9)).cast("int"))
 
 

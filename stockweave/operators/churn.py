@@ -28,10 +28,19 @@ def client_weeks(df: DataFrame, reference: int) -> DataFrame:
 
 
 def week_ranks(weekly: DataFrame) -> DataFrame:
-    """Observed weeks, latest = 0, with their number. Bounded by the calendar."""
+    """Observed weeks, latest = 0, with their number and the first one.
+
+    One row per calendar week.
+    """
     w = Window.orderBy(F.desc(WEEK))
+    every = Window.partitionBy(F.lit(1))
     weeks = weekly.select(WEEK).distinct()
-    return weeks.select(WEEK, (F.row_number().over(w) - 1).alias("rank"))
+    return weeks.select(
+        WEEK,
+        (F.row_number().over(w) - 1).alias("rank"),
+        F.count("*").over(every).alias("n_weeks"),
+        F.min(WEEK).over(every).alias("first_week"),
+    )
 
 
 def dense_client_weeks(weekly: DataFrame) -> DataFrame:
@@ -49,9 +58,7 @@ def dense_client_weeks(weekly: DataFrame) -> DataFrame:
 def client_metrics(weekly: DataFrame, reference: int) -> DataFrame:
     """Recency, activity, trend and volume change per buying customer."""
     ranks = week_ranks(weekly)  # one row per calendar week
-    totals = ranks.agg(F.count("*").alias("n"), F.min(WEEK).alias("first"))
-    n = totals.select("n").scalar()
-    first = totals.select("first").scalar()
+    n, first = F.col("n_weeks"), F.col("first_week")
     rows = weekly.join(F.broadcast(ranks), WEEK)
     q, r = F.col(QTY), F.col("rank")
     m = F.least(n, F.lit(TREND_WEEKS))
@@ -61,6 +68,8 @@ def client_metrics(weekly: DataFrame, reference: int) -> DataFrame:
         return F.coalesce(F.sum(F.when(cond, value)), F.lit(0.0))
 
     out = rows.groupBy(CHANNEL).agg(
+        F.max("n_weeks").alias("n_weeks"),
+        F.max("first_week").alias("first_week"),
         F.max(F.when(q > 0, F.col(WEEK))).alias("last_purchase_week"),
         F.count_if(q > 0).alias("_active"),
         F.sum(q).alias("_total"),

@@ -137,16 +137,16 @@ def walk_forward(
     """Metrics per fold and model over all series, in one job."""
     wide = fold_rows(df, first, folds, models, keys)
     rows = wide.unpivot(["fold", *keys, "step", "actual"], models, "model", "forecast")
-    per_model = mt.metric_suite(rows, ["fold", "model"])
+    n_skus = F.count_if(F.col("step") == 1).alias("n_skus")
+    per_model = mt.metric_suite(rows, ["fold", "model"], [n_skus])
     scale = mt.diff_scale(wide, ["fold"], keys, "step")
-    n_skus = wide.filter(F.col("step") == 1).groupBy("fold").agg(F.count("*").alias("n_skus"))
     ends = F.element_at(
         F.create_map(*[F.lit(x) for f in folds for x in (f[0], f[1])]), F.col("fold")
     )
     starts = F.element_at(
         F.create_map(*[F.lit(x) for f in folds for x in (f[0], f[2])]), F.col("fold")
     )
-    out = mt.with_mase(per_model, scale, ["fold"]).join(n_skus, "fold")
+    out = mt.with_mase(per_model, scale, ["fold"])
     return out.select(
         "fold", "model", ends.alias("train_end"), starts.alias("val_start"), "n_skus",
         *mt.SUITE, "mase",
@@ -197,13 +197,3 @@ def holdout(df: DataFrame, first: int, last: int, horizon: int = 13, keys: list[
         [*keys, "step", "actual"], models, "model", "forecast"
     )
     return mt.active_errors(rows, ["model"], keys)
-
-
-def benchmark_score(cv: DataFrame) -> DataFrame:
-    """Composite score and stability of a model over folds."""
-    return cv.groupBy("model").agg(
-        F.avg("smape").alias("smape"),
-        F.avg("wape").alias("wape"),
-        F.avg("mase").alias("mase"),
-        F.try_divide(F.stddev_pop("wape"), F.avg("wape")).alias("wape_cv"),
-    )

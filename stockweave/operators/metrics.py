@@ -98,9 +98,13 @@ def suite_columns() -> list[Column]:
     ]
 
 
-def metric_suite(df: DataFrame, groups: list[str]) -> DataFrame:
+def metric_suite(
+    df: DataFrame, groups: list[str], extra: list[Column] | None = None
+) -> DataFrame:
     """All order-free metrics per group: one partial and one final aggregate."""
-    return clean(df).groupBy(*groups).agg(*suite_columns(), F.count("*").alias("n_obs"))
+    return clean(df).groupBy(*groups).agg(
+        *suite_columns(), F.count("*").alias("n_obs"), *(extra or [])
+    )
 
 
 def per_sku(df: DataFrame, keys: list[str] = SKU) -> DataFrame:

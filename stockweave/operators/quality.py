@@ -142,34 +142,55 @@ def inventory_consistency(df: DataFrame, limit: float = 0.01) -> DataFrame:
 
 
 def run_all(df: DataFrame, years: tuple[int, int], keys: list[str] = SERIES) -> DataFrame:
-    """Every check as one row ``(validator, passed, metric, value)``."""
+    """Every check as one row ``(validator, passed, metric, value)``.
 
-    def row(frame, name, metric, ok):
-        return frame.select(
-            F.lit(name).alias("validator"),
-            _flag(ok).alias("passed"),
-            F.lit(metric).alias("metric"),
-            F.col(metric).cast("double").alias("value"),
+    One pass: rows shrink to one per key and week (needed for duplicates), all
+    other counts are carried along and added up.
+    """
+    inv = F.col(CATEGORY) == CHANNEL_INV
+    bad_week = ~F.col("week_num").between(1, 53) | (F.length(F.col(WEEK).cast("string")) != 6)
+    checked = [*keys, WEEK, QTY]
+    per_key = df.groupBy(*keys, WEEK).agg(
+        F.count("*").alias("n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null{i}") for i, c in enumerate(checked)],
+        F.count_if(bad_week).alias("_week"),
+        F.count_if(~F.col("year").between(*years)).alias("_year"),
+        F.count_if(F.col(QTY) < 0).alias("_neg"),
+        F.count_if(inv).alias("_inv"),
+        F.count_if(inv & (F.col(QTY) < 0)).alias("_ninv"),
+    )
+    total = F.sum("n")
+    shares = [F.coalesce(F.try_divide(F.sum(f"_null{i}"), total), F.lit(0.0)) for i in range(len(checked))]
+    got = per_key.agg(
+        total.alias("n"),
+        sum(((s > 0.05).cast("int") for s in shares), F.lit(0)).alias("violations"),
+        F.sum("_week").alias("bad_week"),
+        F.sum("_year").alias("bad_year"),
+        (total - F.count("*")).alias("dup"),
+        F.sum("_neg").alias("neg"),
+        F.coalesce(F.try_divide(F.sum("_ninv"), F.sum("_inv")), F.lit(0.0)).alias("inv_share"),
+    )
+    schema_ok = not [c for c in REQUIRED if c not in df.columns] and isinstance(
+        df.schema[QTY].dataType, (T.DoubleType, T.FloatType)
+    )
+    missing = float(len([c for c in REQUIRED if c not in df.columns]))
+
+    def row(name, ok, metric, value):
+        return F.struct(
+            F.lit(name).alias("validator"), _flag(ok).alias("passed"), F.lit(metric).alias("metric"),
+            value.cast("double").alias("value"),
         )
 
-    zero = lambda c: F.col(c) == 0
-    t = temporal(df, years)
-    return union_years(
-        [
-            schema_check(df).drop("n_rows"),
-            row(
-                null_shares(df, [*keys, WEEK, QTY]).agg(F.sum("violation").alias("violations")),
-                "null", "violations", zero("violations"),
-            ),
-            row(t, "temporal", "invalid_year_rows", F.col("passed") == 1),
-            row(duplicates(df, keys), "duplicate", "duplicate_rows", zero("duplicate_rows")),
-            row(
-                df.agg(F.count_if(F.col(QTY) < 0).alias("negative_rows")),
-                "range", "negative_rows", zero("negative_rows"),
-            ),
-            row(inventory_consistency(df), "inventory_consistency", "negative_share", F.col("passed") == 1),
-        ]
+    c = F.col
+    rows = F.array(
+        row("schema", schema_ok, "missing_columns", F.lit(missing)),
+        row("null", c("violations") == 0, "violations", c("violations")),
+        row("temporal", (c("bad_week") == 0) & (c("bad_year") == 0), "invalid_year_rows", c("bad_year")),
+        row("duplicate", c("dup") == 0, "duplicate_rows", c("dup")),
+        row("range", c("neg") == 0, "negative_rows", c("neg")),
+        row("inventory_consistency", c("inv_share") < 0.01, "negative_share", c("inv_share")),
     )
+    return got.select(F.inline(rows))
 
 
 def summarise(checks: DataFrame) -> DataFrame:
@@ -208,12 +229,10 @@ def quality_score(df: DataFrame) -> DataFrame:
 def truncation(df: DataFrame, year: int) -> DataFrame:
     """Trailing all-zero weeks of a year, one row per week with its state."""
     weekly = df.filter(F.col("year") == year).groupBy("week_num").agg(F.sum(QTY).alias("total"))
-    last = weekly.agg(F.max(F.when(F.col("total") > 0, F.col("week_num"))).alias("w")).scalar()
-    return weekly.select(
-        "week_num",
-        "total",
-        last.alias("last_nonzero_week"),
-        _flag(F.col("week_num") > F.coalesce(last, F.lit(0))).alias("in_zero_tail"),
+    one_year = Window.partitionBy(F.lit(year))  # at most 53 rows
+    last = F.max(F.when(F.col("total") > 0, F.col("week_num"))).over(one_year)
+    return weekly.select("week_num", "total", last.alias("last_nonzero_week")).withColumn(
+        "in_zero_tail", _flag(F.col("week_num") > F.coalesce("last_nonzero_week", F.lit(0)))
     )
 
 
