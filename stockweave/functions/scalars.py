@@ -21,8 +21,11 @@ COUNTRY_CODES = [
     "LTC", "CO", "COO", "BR", "PE", "AR", "CL", "MX", "EC", "VE", "BOL",
     "PAN", "GTM", "CRI", "HND", "SLV", "NIC", "DOM", "PRI", "USA", "R410A",
 ]
-# Extra null tokens of the source files.
-NULL_TOKENS = ["", "NULL", "null", "NA"]
+# Texts that mean "no value" in the source files.
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def r6(c) -> Column:
@@ -88,5 +91,6 @@ def ratio(num, den) -> Column:
     return F.try_divide(as_col(num), as_col(den))
 
 
-def scale_up(c, factor: float) -> Column:
-    return as_col(c) * F.lit(float(factor))
+def correlation(a, b) -> Column:
+    """Pearson r of complete pairs; null when one side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

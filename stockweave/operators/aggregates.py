@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.functions import weeks as wk
+from stockweave.functions.scalars import correlation
 from stockweave.functions.scale import exact_percentiles
 from stockweave.schema import CATEGORY, CHANNEL, CHANNEL_INV, MATERIAL, QTY, SELL_IN, SKU, WEEK
 
@@ -182,7 +183,7 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = df.dropna(subset=columns)
     pairs = [(a, b) for a in columns for b in columns]
     upper = {(a, b): f"_{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
-    got = rows.agg(*[F.corr(a, b).alias(n) for (a, b), n in upper.items()])
+    got = rows.agg(*[correlation(a, b).alias(n) for (a, b), n in upper.items()])
 
     def cell(a, b):
         c = F.lit(1.0) if a == b else F.col(upper.get((a, b)) or upper[(b, a)])
@@ -213,7 +214,7 @@ def clipped_trends(df: DataFrame, pairs: list[tuple[str, str]], q: float = 0.95)
         aggs += [
             F.regr_slope(y, x).alias(f"s{i}"),
             F.regr_intercept(y, x).alias(f"i{i}"),
-            F.corr(y, x).alias(f"r{i}"),
+            correlation(y, x).alias(f"r{i}"),
         ]
     cells = [
         F.struct(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stockweave.functions.scalars import r6
+from stockweave.functions.scalars import correlation, r6
 from stockweave.operators import aggregates as ag
 from stockweave.operators import churn as ch
 from stockweave.operators import features as ft
@@ -240,7 +240,7 @@ define(
 define(
     "corr_cells",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS row_var, '{b}' AS col_var, {'max(1.0::DOUBLE)' if a == b else f'corr({a}, {b})'} AS r FROM corr_rows" for a in _CORR for b in _CORR
+        f"SELECT '{a}' AS row_var, '{b}' AS col_var, {'max(1.0::DOUBLE)' if a == b else f"nullif(corr({a}, {b}), 'nan'::DOUBLE)"} AS r FROM corr_rows" for a in _CORR for b in _CORR
     ),
 )
 
@@ -302,7 +302,7 @@ define(
 @query("A24_sales_inventory_corr", "SELECT count(*) AS n, round(corr(sales, inventory), 6) + 0.0 AS r FROM sale_inv")
 def a24(spark, d):
     df = ag.sales_against_inventory(tb.long_table(spark, d))
-    return df.agg(F.count("*").alias("n"), r6(F.corr("sales", "inventory")).alias("r"))
+    return df.agg(F.count("*").alias("n"), r6(correlation("sales", "inventory")).alias("r"))
 
 
 @query(

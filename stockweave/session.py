@@ -35,14 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     A temporary folder is used only where that setting is unset and the
     master is local (tests, laptop runs).
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="stockweave-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="stockweave-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
