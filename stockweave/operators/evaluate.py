@@ -91,16 +91,18 @@ def fold_rows(
 ) -> DataFrame:
     """Forecasts and actuals of every fold, series and validation week.
 
-    Sparse input; each row is copied per fold before the only shuffle, which
-    is by (fold, series). Validation actuals ride along as an array of at most
-    the horizon.
+    Sparse input is placed by series once; the copies per fold are made after
+    that shuffle and stay in place. Validation actuals ride along as an array
+    of at most the horizon.
     """
     check_folds(folds)
     f = F.col("_f")
     pos = wk.week_index(F.col(WEEK), first)
     rows = (
         df.filter(F.col(WEEK) >= first)
-        .select(*keys, pos.alias("pos"), QTY, F.explode(fold_structs(folds, first)).alias("_f"))
+        .select(*keys, pos.alias("pos"), QTY)
+        .repartition(*keys)
+        .withColumn("_f", F.explode(fold_structs(folds, first)))
         .filter(f["n"] >= MIN_TRAIN_WEEKS)
         .select(
             *keys, f["fold"].alias("fold"), "pos", QTY, f["n"].alias("n"),
