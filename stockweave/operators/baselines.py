@@ -44,11 +44,15 @@ def series_state(
     beta: float = 0.1,
     window: int = 12,
     season: int = SEASON,
-    extra: list[Column] | None = None,
+    held_out: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """One row per series with all that the models need.
 
-    ``extra`` are further aggregates to carry (for example held-out actuals).
+    ``held_out`` numbers the rows to keep aside as actuals (null for others);
+    they come back as the map ``held_out``. ``carry`` are columns constant
+    within a series. The first aggregate sums plain numbers per week of the
+    season; only its few rows per series are put in a map.
     """
     pos, n, q = F.col("pos"), F.col("n"), F.col(QTY)
     is_past = pos < n
@@ -73,35 +77,42 @@ def series_state(
     def over_sales(x):
         return F.sum(F.when(sale, x))
 
-    rows = rows.withColumn("_h", F.pmod(pos - n, F.lit(season)))
-    per_slot = rows.groupBy(*keys, "_h").agg(
+    aside = held_out if held_out is not None else F.lit(None).cast("int")
+    rows = rows.withColumns({"_h": F.pmod(pos - n, F.lit(season)), "_v": aside})
+    opening = sale & (k == 1)
+    per_slot = rows.groupBy(*keys, "_h", "_v").agg(
         F.max("n").alias("n"),
         F.max("_sales").alias("_sales"),
         over_sales(weight * q).alias("_size"),
         over_sales(weight * gap).alias("_gap"),
         over_sales(p_weight).alias("_prob"),
-        F.max(F.when(sale & (k == 1), F.struct(pos.alias("i"), q.alias("y")))).alias("_first"),
+        F.max(F.when(opening, pos)).alias("_i"),
+        F.max(F.when(opening, q)).alias("_y"),
         F.sum(F.when(is_past & (pos >= n - window), q)).alias("_recent"),
         F.sum(F.when(is_past, q)).alias("_season"),
         F.max(F.when(is_past & (pos >= n - season), q)).alias("_last"),
         F.max(F.when(pos == n - 1, q)).alias("_tail"),
-        *(extra or []),
+        F.max(q).alias("_q"),
+        *[F.max(c).alias(c) for c in carry or []],
     )
-    slot = F.struct("_h", F.struct(F.col("_season").alias("sum"), F.col("_last").alias("last")))
+    values = F.struct(F.col("_season").alias("sum"), F.col("_last").alias("last"))
+    slot = F.when(F.col("_v").isNull(), F.struct(F.col("_h"), values))
+    kept = F.when(F.col("_v").isNotNull(), F.struct(F.col("_v"), F.col("_q")))
     state = per_slot.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max("_sales").alias("n_sales"),
         F.coalesce(F.sum("_size"), F.lit(0.0)).alias("_size"),
         F.sum("_gap").alias("_gap"),
         F.coalesce(F.sum("_prob"), F.lit(0.0)).alias("_prob"),
-        F.max("_first").alias("_first"),
+        F.max("_i").alias("_i"),
+        F.max("_y").alias("_y"),
         (F.coalesce(F.sum("_recent"), F.lit(0.0)) / F.least(F.max("n"), F.lit(window))).alias("recent_mean"),
         F.coalesce(F.max("_tail"), F.lit(0.0)).alias("last_value"),
         F.map_from_entries(F.collect_list(slot)).alias("season"),
-        *[F.flatten(F.collect_list(c)).alias(c) for c in _names(per_slot, extra)],
+        *([F.map_from_entries(F.collect_list(kept)).alias("held_out")] if held_out is not None else []),
+        *[F.max(c).alias(c) for c in carry or []],
     )
-    first = F.col("_first")
-    single = F.when(first["i"] > 0, first["y"] / first["i"]).otherwise(first["y"])
+    single = F.when(F.col("_i") > 0, F.col("_y") / F.col("_i")).otherwise(F.col("_y"))
     return state.withColumns(
         {
             "croston": F.when(F.col("n_sales") == 0, 0.0)
@@ -109,11 +120,7 @@ def series_state(
             .otherwise(F.col("_size") / F.greatest(F.col("_gap"), F.lit(1e-9))),
             "tsb": F.col("_prob") * F.col("_size"),
         }
-    ).drop("_size", "_gap", "_prob", "_first")
-
-
-def _names(df: DataFrame, extra) -> list[str]:
-    return df.columns[len(df.columns) - len(extra):] if extra else []
+    ).drop("_size", "_gap", "_prob", "_i", "_y")
 
 
 def forecast_columns(h: Column, alpha: float = 0.1, blend: float = 0.5, season: int = SEASON):

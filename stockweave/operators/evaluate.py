@@ -92,7 +92,7 @@ def fold_rows(
     """Forecasts and actuals of every fold, series and validation week.
 
     Sparse input is placed by series once; the copies per fold are made after
-    that shuffle and stay in place. Validation actuals ride along as an array
+    that shuffle and stay in place. Validation actuals ride along as a map
     of at most the horizon.
     """
     check_folds(folds)
@@ -106,26 +106,19 @@ def fold_rows(
         .filter(f["n"] >= MIN_TRAIN_WEEKS)
         .select(
             *keys, f["fold"].alias("fold"), "pos", QTY, f["n"].alias("n"),
-            (F.col("pos") - f["v0"]).alias("_v"), (f["v1"] - f["v0"] + 1).alias("_len"),
+            (F.col("pos") - f["v0"]).alias("val_step"), (f["v1"] - f["v0"] + 1).alias("val_weeks"),
         )
     )
-    in_val = (F.col("_v") >= 0) & (F.col("_v") < F.col("_len"))
+    step = F.col("val_step")
     state = bl.series_state(
-        rows,
-        ["fold", *keys],
-        extra=[
-            F.collect_list(
-                F.when(in_val, F.struct(F.col("_v").alias("v"), F.col(QTY).alias("q")))
-            ).alias("held_out"),
-            F.collect_set("_len").alias("lens"),
-        ],
-    )
-    actual = F.coalesce(
-        F.try_element_at(F.map_from_entries("held_out"), F.col("_h")), F.lit(0.0)
+        rows, ["fold", *keys],
+        held_out=F.when((step >= 0) & (step < F.col("val_weeks")), step),
+        carry=["val_weeks"],
     )
+    actual = F.coalesce(F.try_element_at("held_out", F.col("_h")), F.lit(0.0))
     cols = bl.forecast_columns(F.col("_h"))
     return (
-        state.withColumn("_h", F.explode(F.sequence(F.lit(0), F.col("lens")[0] - 1)))
+        state.withColumn("_h", F.explode(F.sequence(F.lit(0), F.col("val_weeks") - 1)))
         .select(
             "fold", *keys, (F.col("_h") + 1).alias("step"), actual.alias("actual"),
             *[F.greatest(cols[m], F.lit(0.0)).alias(m) for m in models],
