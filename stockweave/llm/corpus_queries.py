@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockweave.llm.common import query, table
 from stockweave.llm.packing import pack
 from stockweave.llm.sharding import shard_by_bytes
+from stockweave.llm.suffix_dedup import remove_repeats
 
 
 @query("op3_packing")
@@ -36,3 +37,15 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = remove_repeats(table(spark, sf, "documents"))
+    return got.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        F.size("span_start").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
