@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockweave.llm import phrase_dedup, suffix_dedup
 from stockweave.llm.common import query, table
 from stockweave.llm.packing import pack
 from stockweave.llm.sharding import shard_by_bytes
-from stockweave.llm.suffix_dedup import remove_repeats
+
+
+@query("op1_phrase_dedup")
+def op1_phrase_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = phrase_dedup.remove_repeats(table(spark, sf, "documents"))
+    return got.select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 @query("op3_packing")
@@ -41,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    got = remove_repeats(table(spark, sf, "documents"))
+    got = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
     return got.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
