@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockweave.llm import phrase_dedup, suffix_dedup
 from stockweave.llm.common import query, table
 from stockweave.llm.decontamination import contamination
+from stockweave.llm.ngram_join import near_duplicates
 from stockweave.llm.packing import pack
 from stockweave.llm.sharding import shard_by_bytes
 
@@ -96,3 +97,8 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.size("span_start").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
