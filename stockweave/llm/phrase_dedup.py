@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from stockweave.llm.common import mix64
 from stockweave.llm.seeds import (
-    LOW32, NO_ID, candidates, chunks, joined, recurring, seed_keys, sizes, spread, table_of, take_spans,
+    LOW32, NO_ID, candidates, chunks, joined, recurring, seed_keys, sizes, spread, table_of, take_spans, without_copies,
 )
 
 GRAM = 8  # words in a seed
@@ -201,11 +201,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def pieces(t: pa.Table, back: pa.Table) -> pa.Table:
         if not t.num_rows or not back.num_rows:
             return PIECES.empty_table()
-        of, seeds, hot = seed_keys(back, groups)
+        part = t.column("part")[0].as_py()
+        t, back, _ = without_copies(t, back)
+        if not t.num_rows:
+            return PIECES.empty_table()
+        of, seeds, times = seed_keys(back, groups)
         got, content = [], []
         for c in chunks(t, word_chunk):
             raw, w_start, w_end, words = c.raw
-            start, size, key, is_hot = candidates(c, window, GRAM, of, seeds, hot)
+            start, size, key, is_hot = candidates(c, window, GRAM, of, seeds, times)
             piece = spans_hash(words, start, start + size + window - 1)
             doc, place = c.ids[c.doc[start]], start - c.first[c.doc[start]]
             order = np.lexsort((place, doc, piece))
@@ -226,7 +230,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         bucket = ((route >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(groups + 1))
-        part, rows = t.column("part")[0].as_py(), []
+        rows = []
         for b in np.unique(bucket).tolist():
             k = by[cut[b] : cut[b + 1]]
             p = pick[k]
@@ -238,8 +242,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return table_of(PIECES, rows)
 
     def stream(t: pa.Table, found: pa.Table) -> pa.Table:
+        everything, out = t, [[] for _ in OUT]
+        t, found, gone = without_copies(t, found)
+        for i, _ in gone:
+            kept = (everything.column("text")[i].as_py() or "").encode().split()
+            n = len(kept)
+            cut = n if n >= window else 0
+            row = (everything.column("id")[i].as_py(), n, cut, [0] if cut else [], [cut] if cut else [], b" ".join(kept[cut:]))
+            for o, v in zip(out, row, strict=True):
+                o.append(v)
         auto, (n_of, hash_of, doc_of, start_of) = automaton(found)
-        out = [[] for _ in OUT]
         for c in chunks(t, word_chunk):
             raw, w_start, w_end, words = c.raw
             last = np.r_[c.first[1:], len(words)]
@@ -258,9 +270,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cover = np.zeros(len(words) + 1, np.int32)
             np.add.at(cover, at[sure], 1)
             np.add.at(cover, end[sure], -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            covered = np.cumsum(cover[:-1]) > 0
             for i, (a, b) in enumerate(zip(c.first.tolist(), last.tolist(), strict=True)):
-                mask = gone[a:b]
+                mask = covered[a:b]
                 spans = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8))).reshape(-1, 2)
                 text = raw[w_start[a] : w_end[b - 1]].tobytes() if b > a else b""
                 kept = text.split()
@@ -275,7 +287,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_part = plan.docs.groupBy("part")
     sent = by_part.cogroup(plan.seeds.groupBy("part")).applyInArrow(pieces, _sql(PIECES))
     found = sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(lambda t: confirm(t, window), _sql(PASSAGES))
-    return by_part.cogroup(found.groupBy("part")).applyInArrow(
+    told = found.unionByName(plan.copies, allowMissingColumns=True)
+    return by_part.cogroup(told.groupBy("part")).applyInArrow(
         stream, "id long, n_words long, n_removed long, span_start array<long>, span_length array<long>, kept binary"
     )
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import mix64, parts_for, text_bytes
+from stockweave.llm.common import mix64, parts_for, stored, text_bytes
 
 GROUP_BYTES = 8 << 20  # text of one group of documents
 CHUNK_BYTES = 1 << 20  # text hashed at once inside a group
@@ -127,71 +127,123 @@ def chunks(docs: pa.Table, make: Callable[[list[bytes]], tuple]) -> Iterator[Chu
 
 @dataclass
 class Plan:
-    """Documents dealt into groups, with the groups' recurring keys."""
+    """Documents dealt into groups, with what the groups have to know."""
 
-    docs: DataFrame  # part, id, text
+    docs: DataFrame  # part, id, text, t1, t2
     groups: int
-    seeds: DataFrame  # part, bucket, low, hot
+    copies: DataFrame  # part, t1, t2, first: least id of each text that several rows have
+    seeds: DataFrame  # part, bucket, low, hot: recurring keys, with the copies
+
+
+def without_copies(docs: pa.Table, told: pa.Table) -> tuple[pa.Table, pa.Table, list[tuple[int, int]]]:
+    """Split off the rows whose whole text has a smaller id elsewhere.
+
+    Returns the other rows, what else was told, and (row, least id) of the copies.
+    """
+    copy = told.column("t1").is_valid().to_numpy()
+    lead = told.filter(pa.array(copy))
+    first = {
+        (a, b): c
+        for a, b, c in zip(*(lead.column(n).to_pylist() for n in ("t1", "t2", "first")), strict=True)
+    }
+    texts = zip(docs.column("t1").to_pylist(), docs.column("t2").to_pylist(), strict=True)
+    ids = docs.column("id").fill_null(NO_ID).to_pylist()
+    gone = [(i, first[t]) for i, t in enumerate(texts) if t in first and first[t] < ids[i]]
+    keep = np.ones(docs.num_rows, bool)
+    keep[[i for i, _ in gone]] = False
+    return docs.filter(pa.array(keep)), told.filter(pa.array(~copy)), gone
+
+
+def find_copies(dealt: DataFrame) -> DataFrame:
+    """Least id of each text with several rows, for each group that has it; one row per group and text."""
+    ids = F.coalesce("id", F.lit(NO_ID))
+    per_part = stored(dealt.groupBy("t1", "t2", "part").agg(F.min(ids).alias("least"), F.count("*").alias("n")), "texts")
+    known = per_part.groupBy("t1", "t2").agg(F.min("least").alias("first"), F.sum("n").alias("n")).filter("n > 1")
+    return stored(per_part.select("part", "t1", "t2").join(known.drop("n"), ["t1", "t2"]), "copies")
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("low", pa.binary()), ("n", pa.binary())])
-BACK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("low", pa.binary()), ("hot", pa.binary())])
+BACK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("low", pa.binary()), ("times", pa.binary())])
 
 
-def recurring(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, make) -> Plan:
-    """Deal documents into groups and find the window keys that occur more than once."""
+SENT_SQL = "bucket int, part int, low binary, n binary"
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """Documents in groups of bounded text (part, id, text, t1, t2), their copies, number of groups."""
     groups = parts_for(text_bytes(docs, text_col), GROUP_BYTES)
     dealt = docs.select(
         F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(groups)).cast("int").alias("part"),
         docs[id_col].cast("long").alias("id"),
         docs[text_col].alias("text"),
-    ).repartition(groups, "part")
+        F.xxhash64(docs[text_col]).alias("t1"),
+        F.hash(docs[text_col]).alias("t2"),
+    )
+    return dealt.repartition(groups, "part"), find_copies(dealt.drop("text")), groups
 
-    def send(t: pa.Table) -> pa.Table:
-        got = [seed_counts(c, window, gram) for c in chunks(t, make)]
-        keys, n = np.unique(np.concatenate(got or [np.zeros(0, np.uint64)]), return_counts=True)
-        mixed = mix64(keys)
-        bucket = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        low, n = (mixed & LOW32).astype(np.uint32)[order], np.minimum(n, HOT).astype(np.uint16)[order]
-        at = np.searchsorted(bucket[order], np.arange(groups + 1))
-        part = t.column("part")[0].as_py()
-        rows = [
-            (b, part, low[at[b] : at[b + 1]].tobytes(), n[at[b] : at[b + 1]].tobytes())
-            for b in np.unique(bucket).tolist()
-        ]
-        return table_of(SENT, rows)
+
+def counts_of(keys: np.ndarray, part: int, groups: int) -> pa.Table:
+    """One number per distinct key of a group, by bucket."""
+    keys, n = np.unique(keys, return_counts=True)
+    mixed = mix64(keys)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    low, n = (mixed & LOW32).astype(np.uint32)[order], n.astype(np.uint32)[order]
+    at = np.searchsorted(bucket[order], np.arange(groups + 1))
+    rows = [
+        (b, part, low[at[b] : at[b + 1]].tobytes(), n[at[b] : at[b + 1]].tobytes()) for b in np.unique(bucket).tolist()
+    ]
+    return table_of(SENT, rows)
+
+
+def recurring_keys(sent: DataFrame, groups: int) -> DataFrame:
+    """For each group, those of its keys that occur more than once anywhere, and how often."""
 
     def count(t: pa.Table) -> pa.Table:
-        low, n = joined(t.column("low"), np.uint32), joined(t.column("n"), np.uint16)
+        low, n = joined(t.column("low"), np.uint32), joined(t.column("n"), np.uint32)
         own = np.repeat(np.arange(t.num_rows), sizes(t.column("low"), 4))
         keys, inverse = np.unique(low, return_inverse=True)
         total = np.bincount(inverse, weights=n)[inverse]
         bucket, rows = t.column("bucket")[0].as_py(), []
         keep = total >= 2
-        low, own, hot = low[keep], own[keep], total[keep] >= HOT
+        low, own, times = low[keep], own[keep], np.minimum(total[keep], LOW32).astype(np.uint32)
         at = np.searchsorted(own, np.arange(t.num_rows + 1))
         for i, part in enumerate(t.column("part").to_pylist()):
             if at[i] < at[i + 1]:
                 mine = slice(at[i], at[i + 1])
-                rows.append((part, bucket, low[mine].tobytes(), hot[mine].tobytes()))
+                rows.append((part, bucket, low[mine].tobytes(), times[mine].tobytes()))
         return table_of(BACK, rows)
 
-    sent = dealt.groupBy("part").applyInArrow(send, "bucket int, part int, low binary, n binary")
-    back = (
+    return (
         sent.repartition(groups, "bucket")
         .groupBy("bucket")
-        .applyInArrow(count, "part int, bucket int, low binary, hot binary")
+        .applyInArrow(count, "part int, bucket int, low binary, times binary")
     )
-    return Plan(dealt, groups, back)
+
+
+def recurring(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, make) -> Plan:
+    """Deal documents into groups and find the window keys that occur more than once."""
+    dealt, copies, groups = deal(docs, id_col, text_col)
+
+    def send(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return SENT.empty_table()
+        part = t.column("part")[0].as_py()
+        t, _, _ = without_copies(t, told)
+        got = [seed_counts(c, window, gram) for c in chunks(t, make)]
+        return counts_of(np.concatenate(got or [np.zeros(0, np.uint64)]), part, groups)
+
+    sent = dealt.groupBy("part").cogroup(copies.groupBy("part")).applyInArrow(send, SENT_SQL)
+    back = recurring_keys(sent, groups)
+    return Plan(dealt, groups, copies, back.unionByName(copies, allowMissingColumns=True))
 
 
 def candidates(
-    c: Chunk, window: int, gram: int, of: Callable, seeds: np.ndarray, hot: np.ndarray
+    c: Chunk, window: int, gram: int, of: Callable, seeds: np.ndarray, times: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with a recurring key: start, length, key and whether it is a hot one.
 
-    ``of``, ``seeds`` and ``hot`` come from :func:`seed_keys`. Runs of hot keys
+    ``of``, ``seeds`` and ``times`` come from :func:`seed_keys`. Runs of hot keys
     are single windows.
     """
     low = window_keys(c, window, gram)
@@ -200,7 +252,7 @@ def candidates(
     number = of(key)
     keep = member(number, seeds)
     start, size, key = start[keep], size[keep], key[keep]
-    is_hot = hot[np.searchsorted(seeds, number[keep])] if len(seeds) else np.zeros(0, bool)
+    is_hot = times[np.searchsorted(seeds, number[keep])] >= HOT if len(seeds) else np.zeros(0, bool)
     if is_hot.any():
         n = np.where(is_hot, size, 1)
         start = np.repeat(start, n) + np.where(np.repeat(is_hot, n), spread(n), 0)
@@ -210,15 +262,15 @@ def candidates(
 
 
 def seed_keys(t: pa.Table, groups: int) -> tuple[Callable, np.ndarray, np.ndarray]:
-    """A group's recurring keys: how to number keys (bucket, low bits), their sorted numbers, which are hot."""
+    """A group's recurring keys: how to number keys (bucket, low bits), their sorted numbers, how often."""
     low = joined(t.column("low"), np.uint32).astype(np.uint64)
     bucket = np.repeat(t.column("bucket").to_numpy().astype(np.uint64), sizes(t.column("low"), 4))
     number = bucket << np.uint64(32) | low
     order = np.argsort(number)
-    hot = joined(t.column("hot"), np.bool_)
+    times = joined(t.column("times"), np.uint32)
 
     def of(keys: np.ndarray) -> np.ndarray:
         mixed = mix64(keys)
         return (mixed >> np.uint64(32)) % np.uint64(groups) << np.uint64(32) | mixed & LOW32
 
-    return of, number[order], hot[order]
+    return of, number[order], times[order]

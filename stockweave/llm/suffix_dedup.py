@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stockweave.llm.common import mix64
 from stockweave.llm.seeds import (
     NO_ID, Chunk, Plan, candidates, chunks, joined, member, recurring, runs, seed_keys, sizes, spread,
-    table_of, take_spans, window_keys,
+    table_of, take_spans, window_keys, without_copies,
 )
 
 GRAM = 24  # bytes hashed at once; also what the least hash is taken over
@@ -148,16 +148,20 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
 
 
 def repeated_spans(plan: Plan, window: int) -> DataFrame:
-    """Per document id, bytes of the text and what is left and removed."""
+    """For every row, what is removed and what is left; copies of whole texts need no search."""
     groups = plan.groups
 
     def pieces(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows or not back.num_rows:
             return PIECES.empty_table()
-        of, seeds, hot = seed_keys(back, groups)
+        part = docs.column("part")[0].as_py()
+        docs, back, _ = without_copies(docs, back)
+        if not docs.num_rows:
+            return PIECES.empty_table()
+        of, seeds, times = seed_keys(back, groups)
         got = []
         for c in chunks(docs, byte_chunk):
-            start, size, key, is_hot = candidates(c, window, GRAM, of, seeds, hot)
+            start, size, key, is_hot = candidates(c, window, GRAM, of, seeds, times)
             piece, doc = piece_ids(c.raw, start, size, window), c.ids[c.doc[start]]
             order = np.lexsort((doc, piece))
             first = np.flatnonzero(np.r_[True, np.diff(piece[order]) != 0]) if len(order) else order
@@ -177,7 +181,7 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
         bucket = ((route >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(groups + 1))
-        part, rows = docs.column("part")[0].as_py(), []
+        rows = []
         for b in np.unique(bucket).tolist():
             k = by[cut[b] : cut[b + 1]]
             p = pick[k]
@@ -188,6 +192,14 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
         return table_of(PIECES, rows)
 
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
+        everything, out = docs, [[] for _ in OUT]
+        docs, found, gone = without_copies(docs, found)
+        for i, _ in gone:
+            text = (everything.column("text")[i].as_py() or "").encode()
+            cut = len(text) if len(text) >= window else 0
+            row = (everything.column("id")[i].as_py(), len(text), cut, [0] if cut else [], [cut] if cut else [], text[cut:])
+            for o, v in zip(out, row, strict=True):
+                o.append(v)
         key, piece = joined(found.column("key"), np.uint64), joined(found.column("piece"), np.uint64)
         hot, n = joined(found.column("hot"), np.bool_), joined(found.column("n"), np.uint8).astype(np.int64)
         run, least = joined(found.column("run"), np.uint8).astype(np.int64), joined(found.column("least"), np.int64)
@@ -195,7 +207,6 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
         order = np.argsort(piece, kind="stable")
         known = piece[order]
         cold_keys, hot_keys = np.unique(key[~hot]), np.unique(key[hot])
-        out = [[] for _ in OUT]
         for c in chunks(docs, byte_chunk):
             low = window_keys(c, window, GRAM)
             start, size = runs(low, window // 2)
@@ -234,7 +245,8 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
     found = (
         sent.repartition(groups, "bucket").groupBy("bucket").applyInArrow(lambda t: least_ids(t, window), _sql(FOUND))
     )
-    return by_part.cogroup(found.groupBy("part")).applyInArrow(
+    told = found.unionByName(plan.copies, allowMissingColumns=True)
+    return by_part.cogroup(told.groupBy("part")).applyInArrow(
         remove, "id long, n_bytes long, n_removed long, span_start array<long>, span_length array<long>, kept binary"
     )
 
