@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from stockweave.llm import phrase_dedup, suffix_dedup
 from stockweave.llm.common import query, table
 from stockweave.llm.decontamination import contamination
+from stockweave.llm.html_extract import extract
+from stockweave.llm.multi_index import search
 from stockweave.llm.ngram_join import near_duplicates
 from stockweave.llm.packing import pack
 from stockweave.llm.sharding import shard_by_bytes
@@ -102,3 +104,14 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op6_html_extract")
+def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return extract(table(spark, sf, "pages"))
+
+
+@query("op8_multi_index")
+def op8_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"))
