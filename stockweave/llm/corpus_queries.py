@@ -12,6 +12,7 @@ from stockweave.llm.html_extract import extract
 from stockweave.llm.multi_index import search
 from stockweave.llm.ngram_join import near_duplicates
 from stockweave.llm.packing import pack
+from stockweave.llm.quality import score_quality
 from stockweave.llm.sharding import shard_by_bytes
 
 
@@ -22,6 +23,7 @@ def op1_phrase_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
 
+from stockweave.llm.toxicity import score_toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OP2_SQL = f"""
@@ -103,7 +105,7 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_ngram_join")
 def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return near_duplicates(table(spark, sf, "documents"))
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op6_html_extract")
@@ -115,3 +117,14 @@ def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
 def op8_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    got = score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return got.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents")).select("doc_id", "quality", "good")

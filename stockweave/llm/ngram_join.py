@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import mix64, stored
+from stockweave.llm.common import fresh, mix64, stored
 from stockweave.llm.components import components
 from stockweave.llm.phrase_dedup import gram_hash, spans_hash, word_hash, word_spans
 from stockweave.llm.seeds import (
-    SENT_SQL, Chunk, chunks, counts_of, deal, joined, member, recurring_keys, seed_keys, sizes, spread, table_of,
+    NO_ID, SENT_SQL, Chunk, chunks, counts_of, deal, joined, member, recurring_keys, seed_keys, sizes, spread, table_of,
     take_spans, without_copies,
 )
 
@@ -324,7 +324,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than space and 09 to 0D, with A-Z in lower
     case; a text of fewer than five words is one shingle. Returns per row of
     ``docs``: the id, ``n_shingles`` (set size), ``component_id`` (least id of
-    the class).
+    the class), ``leads`` (the row that stays if one of each class may stay) and
+    ``text_hash_1`` and ``text_hash_2``.
 
     Null texts and texts without words have no shingles and are their own class.
     A null id never names a class, unless the class has no other. Copies and
@@ -352,12 +353,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.hash(docs[text_col]).alias("t2"),
     )
     rows = stored(plain.mapInArrow(count, "id long, t1 long, t2 int, n long"), "shingle-counts")
-    texts = rows.filter("n > 0").groupBy("t1", "t2").agg(F.min("id").alias("least"))
+    lead = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "t1", "t2"))
+    texts = rows.filter("n > 0").groupBy("t1", "t2").agg(F.min("id").alias("least"), lead.alias("lead"))
     rooted = texts.join(roots, texts["t1"] == roots["node"], "left").withColumn("root", F.coalesce("root", "t1"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(classes, "root").select("t1", "t2", "component_id")
+    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("lead").alias("class_lead"))
+    named = rooted.join(classes, "root").select("t1", "t2", "component_id", "class_lead")
+    me = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "t1", "t2")
     return rows.join(named, ["t1", "t2"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        ((F.col("n") == 0) | (me == F.col("class_lead"))).alias("leads"),
+        F.col("t1").alias("text_hash_1"),
+        F.col("t2").alias("text_hash_2"),
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One row of each class of near-duplicates, with its columns: the one with the least id, then text hash."""
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    k1, k2, k3 = fresh(docs, "text_hash_1", "text_hash_2", "row_id")
+    chosen = classes.filter("leads").select(
+        F.col("text_hash_1").alias(k1), F.col("text_hash_2").alias(k2), F.coalesce(id_col, F.lit(NO_ID)).alias(k3)
+    )
+    keys = {
+        k1: F.xxhash64(docs[text_col]), k2: F.hash(docs[text_col]), k3: F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)),
+    }
+    return docs.withColumns(keys).join(chosen.distinct(), [k1, k2, k3], "left_semi").dropDuplicates([k1, k2, k3]).drop(k1, k2, k3)

@@ -169,8 +169,9 @@ BACK = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("low", pa.binar
 SENT_SQL = "bucket int, part int, low binary, n binary"
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """Documents in groups of bounded text (part, id, text, t1, t2), their copies, number of groups."""
+def deal(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, int]:
+    """Documents in groups of bounded text (part, id, text, t1, t2, carried columns as c0, c1, ..),
+    their copies, number of groups."""
     groups = parts_for(text_bytes(docs, text_col), GROUP_BYTES)
     dealt = docs.select(
         F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(groups)).cast("int").alias("part"),
@@ -178,8 +179,9 @@ def deal(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
         docs[text_col].alias("text"),
         F.xxhash64(docs[text_col]).alias("t1"),
         F.hash(docs[text_col]).alias("t2"),
+        *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)],
     )
-    return dealt.repartition(groups, "part"), find_copies(dealt.drop("text")), groups
+    return dealt.repartition(groups, "part"), find_copies(dealt.select("part", "id", "t1", "t2")), groups
 
 
 def counts_of(keys: np.ndarray, part: int, groups: int) -> pa.Table:
@@ -221,9 +223,11 @@ def recurring_keys(sent: DataFrame, groups: int) -> DataFrame:
     )
 
 
-def recurring(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, make) -> Plan:
+def recurring(
+    docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, make, carry: tuple[str, ...] = ()
+) -> Plan:
     """Deal documents into groups and find the window keys that occur more than once."""
-    dealt, copies, groups = deal(docs, id_col, text_col)
+    dealt, copies, groups = deal(docs, id_col, text_col, carry)
 
     def send(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:

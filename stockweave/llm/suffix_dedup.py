@@ -147,7 +147,7 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
     return table_of(FOUND, rows)
 
 
-def repeated_spans(plan: Plan, window: int) -> DataFrame:
+def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
     """For every row, what is removed and what is left; copies of whole texts need no search."""
     groups = plan.groups
 
@@ -192,12 +192,13 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
         return table_of(PIECES, rows)
 
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
-        everything, out = docs, [[] for _ in OUT]
-        docs, found, gone = without_copies(docs, found)
+        everything, out, order_of = docs, [[] for _ in OUT], []
+        docs, found, gone = without_copies(docs.append_column("row", pa.array(np.arange(docs.num_rows))), found)
         for i, _ in gone:
             text = (everything.column("text")[i].as_py() or "").encode()
             cut = len(text) if len(text) >= window else 0
-            row = (everything.column("id")[i].as_py(), len(text), cut, [0] if cut else [], [cut] if cut else [], text[cut:])
+            row = (everything.column("id")[i].as_py(), len(text), cut, [0] if cut else [], [cut] if cut else [], text[cut:], text[cut:].decode())
+            order_of.append(i)
             for o, v in zip(out, row, strict=True):
                 o.append(v)
         key, piece = joined(found.column("key"), np.uint64), joined(found.column("piece"), np.uint64)
@@ -235,10 +236,14 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
                 spans = edge.reshape(-1, 2)
                 kept = text[a:b].tobytes() if not len(spans) else text[a:b][~m].tobytes()
                 row = (docs.column("id")[c.rows.start + i].as_py(), b - a, int((spans[:, 1] - spans[:, 0]).sum()),
-                       spans[:, 0].tolist(), (spans[:, 1] - spans[:, 0]).tolist(), kept)
+                       spans[:, 0].tolist(), (spans[:, 1] - spans[:, 0]).tolist(), kept, kept.decode(errors="ignore"))
+                order_of.append(docs.column("row")[c.rows.start + i].as_py())
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
-        return pa.Table.from_arrays([pa.array(o, f.type) for o, f in zip(out, OUT, strict=True)], schema=OUT)
+        rest = everything.select([f"c{i}" for i in range(len(carried))]).take(pa.array(order_of, pa.int64()))
+        return pa.Table.from_arrays(
+            [*(pa.array(o, f.type) for o, f in zip(out, OUT, strict=True)), *rest.columns], [*OUT.names, *rest.column_names]
+        )
 
     by_part = plan.docs.groupBy("part")
     sent = by_part.cogroup(plan.seeds.groupBy("part")).applyInArrow(pieces, _sql(PIECES))
@@ -247,22 +252,29 @@ def repeated_spans(plan: Plan, window: int) -> DataFrame:
     )
     told = found.unionByName(plan.copies, allowMissingColumns=True)
     return by_part.cogroup(told.groupBy("part")).applyInArrow(
-        remove, "id long, n_bytes long, n_removed long, span_start array<long>, span_length array<long>, kept binary"
+        remove,
+        ", ".join(
+            ["id long, n_bytes long, n_removed long, span_start array<long>, span_length array<long>, kept binary, kept_text string"]
+            + [f"c{i} {kind}" for i, kind in enumerate(carried)]
+        ),
     )
 
 
 OUT = pa.schema(
     [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-     ("span_start", pa.list_(pa.int64())), ("span_length", pa.list_(pa.int64())), ("kept", pa.binary())]
+     ("span_start", pa.list_(pa.int64())), ("span_length", pa.list_(pa.int64())), ("kept", pa.binary()), ("kept_text", pa.string())]
 )
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Remove every byte of a string of ``window`` bytes that also starts in a document with a smaller id.
 
     Returns per row of ``docs``: ``id``, ``n_bytes``, ``n_removed``,
     ``span_start`` and ``span_length`` (maximal removed runs), ``kept`` (the
-    remaining bytes; a cut may part a character).
+    remaining bytes; a cut may part a character), ``kept_text`` (the same
+    without parts of characters) and the columns named in ``carry``.
 
     Strings are judged on the input, matches never cross documents and overlaps
     count. Null text is empty. A null id counts as larger than all others. Rows
@@ -271,8 +283,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     if not 32 <= window <= 255:
         raise ValueError("window must be 32 to 255 bytes")
-    plan = recurring(docs, id_col, text_col, window, GRAM, byte_chunk)
-    return repeated_spans(plan, window)
+    plan = recurring(docs, id_col, text_col, window, GRAM, byte_chunk, carry)
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    got = repeated_spans(plan, window, kinds)
+    return got.select(*OUT.names, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 __all__ = ["remove_repeats", "Chunk"]
