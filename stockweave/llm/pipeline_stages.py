@@ -14,7 +14,8 @@ from stockweave.llm.quality import score_quality
 
 def quality(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return score_quality(docs).filter("good").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    return score_quality(whole).filter("good").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
@@ -28,10 +29,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame
     Bytes of a character that is cut in two go with the cut. A document with
     nothing left stays, with an empty text.
     """
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    got = suffix_dedup.remove_repeats(docs, carry=carry)
-    out = got.withColumns({"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")})
-    return out.select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    got = suffix_dedup.remove_repeats(whole.withColumn("row", F.col("row").dropFields("text")), carry=("row",))
+    return got.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:

@@ -28,6 +28,7 @@ CLASS = np.full(256, SYMBOL_BIT, np.uint8)
 CLASS[97:123], CLASS[128:], CLASS[65:91], CLASS[48:58] = LOWER_BIT, OTHER_BIT, UPPER_BIT, DIGIT_BIT
 CLASS[[ord(c) for c in ".,;:!?()'\"-"]] = MARK_BIT
 CLASS[[32, *range(9, 14)]] = 0
+TRUST = 0.99  # share of votes on good text that are right, before any data
 LABELLERS = ("capitals", "symbols", "stutter", "loops", "stop_words", "sentences", "word_length")
 
 
@@ -99,7 +100,9 @@ def expectation_maximisation(codes: np.ndarray, count: np.ndarray, rounds: int =
     """Probability of good for each vote pattern, each labeller's rates of a good vote, prior.
 
     Rates are for good and for bad text. A labeller that votes bad is taken to
-    have seen a defect, so patterns without such a vote start as likely good.
+    have seen a defect, so patterns without such a vote start as likely good,
+    and false alarms on good text are expected to be rare (``TRUST`` counts as
+    much as the data).
     """
     votes = decode(codes)
     cast = votes < 2
@@ -108,6 +111,7 @@ def expectation_maximisation(codes: np.ndarray, count: np.ndarray, rounds: int =
         w = np.stack([good * count, (1 - good) * count])
         prior = (w[0].sum() + 1) / (w.sum() + 2)
         rate = np.stack([((x[:, None] * (votes == 1)).sum(0) + 0.1) / ((x[:, None] * cast).sum(0) + 0.2) for x in w])
+        rate[0] = (rate[0] + TRUST) / 2
         # defects: good text may not earn more bad votes than bad text does
         rate[0] = np.maximum(rate[0], rate[1])
         logs = [
