@@ -99,22 +99,14 @@ def cold_start(
 
     Analogs are older than 8 and younger than 104 weeks; the level is the median
     sell-in of the three with the largest recent sales, else the family mean.
-    The ranking keeps three rows per group from a bounded partial aggregate.
+    Spark cuts the ranking to three rows per group in every task before it moves rows.
     """
     rows = store.filter(F.col(WEEK) == week).withColumn("product_family", family())
     groups = ["product_family", CHANNEL]
     a = F.col("sku_age_weeks")
-    # the n largest by repeated maximum: no group is sorted or collected
-    item = F.struct(F.coalesce("sales_ma4", F.lit(-1.0)).alias("s"), F.col(MATERIAL).alias("m"), F.col("sell_in").alias("q"))
-    analogs = rows.filter((a > 8) & (a < 104)).select(*groups, item.alias("x"))
-    tops = None
-    left = analogs
-    for _ in range(n_analogs):
-        best = left.groupBy(*groups).agg(F.max("x").alias("x"))
-        tops = best if tops is None else tops.unionByName(best)
-        cut = best.select(*groups, F.col("x").alias("_b"))
-        left = left.join(cut, groups).filter(F.col("x") < F.col("_b")).drop("_b")
-    level = tops.groupBy(*groups).agg(F.median("x.q").alias("_analog"))
+    best = Window.partitionBy(*groups).orderBy(F.coalesce("sales_ma4", F.lit(-1.0)).desc(), F.col(MATERIAL).desc())
+    tops = rows.filter((a > 8) & (a < 104)).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= n_analogs)
+    level = tops.groupBy(*groups).agg(F.median("sell_in").alias("_analog"))
     base = rows.groupBy(*groups).agg(F.avg("sell_in").alias("_mean"))
     ramp = F.coalesce(F.get(F.array(*[F.lit(r) for r in RAMP]), F.col("step") - 1), F.lit(1.0))
     out = base.join(level, groups, "left").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))

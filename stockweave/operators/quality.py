@@ -283,8 +283,13 @@ def preflight(df: DataFrame) -> DataFrame:
     )
 
 
-def schema_drift(df: DataFrame, year: int, n_weeks: int = 52) -> DataFrame:
-    """Contract of a wide file: one row per check with its severity."""
+def schema_drift(df: DataFrame, year: int, n_weeks: int | None = None) -> DataFrame:
+    """Contract of a wide file: one row per check with its severity.
+
+    ``n_weeks``: expected week columns, else the ISO weeks of the year.
+    """
+    if n_weeks is None:
+        n_weeks = wk.week_span(year * 100 + 1, (year + 1) * 100 + 1)
     missing = [c for c in SERIES if c not in df.columns]
     weeks = [c for c in week_columns(df) if c.startswith(str(year))]
     if CATEGORY in df.columns:

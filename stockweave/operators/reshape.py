@@ -97,6 +97,8 @@ def densify(
 ) -> DataFrame:
     """Every series on every ISO week from ``first`` to ``last``.
 
+    A series with no row in the range is there too, with zeros.
+
     Each observed row also emits the zero weeks up to the next observed row,
     so nothing is joined and only observed rows are shuffled. Input has one
     row per key and week; at most one series' weeks meet in a window.
@@ -108,12 +110,18 @@ def densify(
     if cluster:
         df = df.repartition(*cluster)
     n = wk.week_span(first, last) + 1
-    w = Window.partitionBy(*keys).orderBy("pos")
+    w = Window.partitionBy(*keys).orderBy("pos")  # rows outside the range come first, as nulls
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        df.filter(F.col(WEEK).between(first, last))
-        .select(*keys, wk.week_index(F.col(WEEK), first).alias("pos"), *values)
-        .withColumn("_from", F.when(F.row_number().over(w) == 1, 0).otherwise(F.col("pos")))
-        .withColumn("_to", F.coalesce(F.lead("pos").over(w), F.lit(n)) - 1)
+        df.select(
+            *keys, F.when(F.col(WEEK).between(first, last), wk.week_index(F.col(WEEK), first)).alias("pos"), *values
+        )
+        .withColumns(
+            {"_nth": F.row_number().over(w), "_prev": F.lag("pos").over(w), "_next": F.lead("pos").over(w), "_most": F.max("pos").over(whole)}
+        )
+        .filter(F.col("pos").isNotNull() | (F.col("_most").isNull() & (F.col("_nth") == 1)))
+        .withColumn("_from", F.when(F.col("_prev").isNull(), 0).otherwise(F.col("pos")))
+        .withColumn("_to", F.coalesce("_next", F.lit(n)) - 1)
         .select(*keys, "pos", *values, F.explode(F.sequence("_from", "_to")).alias("_at"))
         .select(
             *keys,
@@ -142,8 +150,15 @@ def sorted_rows(df: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 
 
 def head_rows(df: DataFrame, n: int, keys: list[str] = SERIES) -> DataFrame:
-    """First ``n`` rows in key and week order."""
-    return df.orderBy(*keys, WEEK).limit(n)
+    """The first series in key order, whole, until they hold at least ``n`` rows.
+
+    A series has at least one row, so the first ``n`` series are enough; their
+    counts are all that is ordered.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(*keys).limit(n)
+    before = F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    chosen = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < n).select(*keys)
+    return df.join(F.broadcast(chosen), keys, "left_semi")
 
 
 def sell_in_extract(df: DataFrame, category: str) -> DataFrame:

@@ -231,18 +231,19 @@ def m4_diff(spark, d):
 
 @query(
     "M4_mase_seasonal",
-    f"""SELECT {KEY2}, round(mae, 6) + 0.0 AS mae, round(scale, 6) + 0.0 AS scale,
+    f"""SELECT fold, {KEY2}, round(mae, 6) + 0.0 AS mae, round(scale, 6) + 0.0 AS scale,
           round(mae / (scale + 1e-9::DOUBLE), 6) + 0.0 AS mase_seasonal
-        FROM (SELECT ch, mat, avg(abs(a - f)) AS mae FROM cv_rows WHERE fold = 5 AND model = 'tsb' GROUP BY ch, mat)
-        JOIN (SELECT x.ch, x.mat, avg(abs(x.q - y.q)) AS scale FROM hist x
-              JOIN hist y ON x.fold = 5 AND y.fold = 5 AND x.ch = y.ch AND x.mat = y.mat AND y.pos = x.pos - 52
-              GROUP BY x.ch, x.mat) USING (ch, mat)""",
+        FROM (SELECT fold, ch, mat, avg(abs(a - f)) AS mae FROM cv_rows WHERE model = 'tsb' GROUP BY fold, ch, mat)
+        JOIN (SELECT x.fold, x.ch, x.mat, avg(abs(x.q - y.q)) AS scale FROM hist x
+              JOIN hist y ON x.fold = y.fold AND x.ch = y.ch AND x.mat = y.mat AND y.pos = x.pos - 52
+              GROUP BY x.fold, x.ch, x.mat) USING (fold, ch, mat)""",
 )
 def m4_seasonal(spark, d):
-    rows = _cv_rows(spark, d, ["tsb"]).filter("fold = 5")
-    train = tb.dense_table(spark, d, "coarse", "Sell-in", tb.CUTOFF_WEEK)
-    out = mt.mase_seasonal(rows, train, SKU, QTY)
-    return out.select(*SKU, *[r6(c).alias(c) for c in ("mae", "scale", "mase_seasonal")])
+    ends = F.array(*[F.struct(F.lit(f[0]).alias("fold"), F.lit(f[1]).alias("train_end")) for f in tb.FOLDS])
+    dense = tb.dense_table(spark, d, "coarse", "Sell-in", tb.CUTOFF_WEEK)
+    train = dense.select("*", F.inline(ends)).filter(F.col(WEEK) <= F.col("train_end"))
+    out = mt.mase_seasonal(_cv_rows(spark, d, ["tsb"]), train, ["fold", *SKU], QTY)
+    return out.select("fold", *SKU, *[r6(c).alias(c) for c in ("mae", "scale", "mase_seasonal")])
 
 
 @query(
@@ -267,30 +268,30 @@ def m10(spark, d):
 
 @query(
     "M11_per_sku_metrics",
-    f"""SELECT {KEY2}, {_r(*mt.SUITE)}, n_obs, actual_sum, round(forecast_sum, 6) + 0.0 AS forecast_sum FROM (
-        SELECT ch, mat, {SUITE_SQL}, count(*) AS n_obs, sum(a) AS actual_sum, sum(f) AS forecast_sum
-        FROM cv_rows WHERE fold = 5 AND model = 'tsb' GROUP BY ch, mat)""",
+    f"""SELECT fold, {KEY2}, {_r(*mt.SUITE)}, n_obs, actual_sum, round(forecast_sum, 6) + 0.0 AS forecast_sum FROM (
+        SELECT fold, ch, mat, {SUITE_SQL}, count(*) AS n_obs, sum(a) AS actual_sum, sum(f) AS forecast_sum
+        FROM cv_rows WHERE model = 'tsb' GROUP BY fold, ch, mat)""",
 )
 def m11(spark, d):
-    df = mt.per_sku(_cv_rows(spark, d, ["tsb"]).filter("fold = 5"))
+    df = mt.per_sku(_cv_rows(spark, d, ["tsb"]), ["fold", *SKU])
     return df.select(
-        *SKU, *[r6(c).alias(c) for c in mt.SUITE], "n_obs", "actual_sum", r6("forecast_sum").alias("forecast_sum")
+        "fold", *SKU, *[r6(c).alias(c) for c in mt.SUITE], "n_obs", "actual_sum", r6("forecast_sum").alias("forecast_sum")
     )
 
 
 _ACTIVE_SQL = """
-  SELECT model, round(avg(mae), 6) + 0.0 AS mae, round(avg(rmse), 6) + 0.0 AS rmse, round(avg(mape), 6) + 0.0 AS mape,
+  SELECT {fold} model, round(avg(mae), 6) + 0.0 AS mae, round(avg(rmse), 6) + 0.0 AS rmse, round(avg(mape), 6) + 0.0 AS mape,
     round(avg(bias), 6) + 0.0 AS bias, count(*) AS n_series FROM (
-    SELECT model, ch, mat, coalesce(avg(abs(a - f)) FILTER (a > 0), 0) AS mae,
+    SELECT {fold} model, ch, mat, coalesce(avg(abs(a - f)) FILTER (a > 0), 0) AS mae,
       sqrt(coalesce(avg((a - f) * (a - f)) FILTER (a > 0), 0)) AS rmse,
       coalesce(avg(abs((a - f) / a)) FILTER (a > 0), 0) * 100 AS mape,
-      coalesce(avg(a - f) FILTER (a > 0), 0) AS bias FROM {src} GROUP BY model, ch, mat) GROUP BY model"""
+      coalesce(avg(a - f) FILTER (a > 0), 0) AS bias FROM {src} GROUP BY {fold} model, ch, mat) GROUP BY {fold} model"""
 
 
-@query("M12_active_errors", _ACTIVE_SQL.format(src="(SELECT * FROM cv_rows WHERE fold = 5)"))
+@query("M12_active_errors", _ACTIVE_SQL.format(src="cv_rows", fold="fold,"))
 def m12(spark, d):
-    df = mt.active_errors(_cv_rows(spark, d).filter("fold = 5"), ["model"])
-    return df.select("model", *[r6(c).alias(c) for c in ("mae", "rmse", "mape", "bias")], "n_series")
+    df = mt.active_errors(_cv_rows(spark, d), ["fold", "model"])
+    return df.select("fold", "model", *[r6(c).alias(c) for c in ("mae", "rmse", "mape", "bias")], "n_series")
 
 
 # scored rows: Sell-in of fold 5, B2 as point forecast, share of sold weeks of the past 12
@@ -379,6 +380,7 @@ define(
 @query(
     "C2_holdout",
     _ACTIVE_SQL.format(
+        fold="",
         src="""(SELECT 'seasonal_naive' AS model, t.ch, t.mat, t.q AS a, y.q AS f FROM tail_n t
                   JOIN tail_n y ON y.ch = t.ch AND y.mat = t.mat AND y.pos = t.pos - 52 WHERE t.pos > 343
                 UNION ALL SELECT 'rolling_average', t.ch, t.mat, t.q, r.m FROM tail_n t

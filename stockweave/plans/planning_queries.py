@@ -784,5 +784,5 @@ def x1(spark, d):
     twice = events.unionByName(events).withColumn("day", F.to_date("ts"))
     twice.write.partitionBy("day").parquet(bronze)
     stream = arrivals.arrivals(spark, bronze, events.schema)
-    arrivals.load_new(stream, target, scratch_path(spark, "stream-state"), ["event_id"], "ts", "4000 days")
+    arrivals.load_new(stream, target, scratch_path(spark, "stream-state"), ["event_id"])
     return arrivals.weekly_counts(spark.read.schema(events.schema).parquet(target), "ts", "event_type")

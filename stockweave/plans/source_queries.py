@@ -12,6 +12,9 @@ from stockweave.sources import tables as tb
 from stockweave.sources import wide_csv as wc
 
 
+YEARS = range(tb.FIRST_WEEK // 100, tb.LAST_WEEK // 100 + 1)
+
+
 def _grouped_text(c):
     """Hundredfold quantity with comma groups and a trailing blank."""
     return F.concat(F.format_number(c * 100, 1), F.lit(" "))
@@ -19,10 +22,8 @@ def _grouped_text(c):
 
 def _write_wide(spark, d):
     df = tb.long_table(spark, d, "coarse")
-    return {
-        2000: wc.write_wide(wc.to_wide(df, 2000), scratch_path(spark, "wide2000")),
-        2001: wc.write_wide(wc.to_wide(df, 2001, _grouped_text), scratch_path(spark, "wide2001")),
-    }
+    text = {YEARS[-1]: _grouped_text}
+    return {y: wc.write_wide(wc.to_wide(df, y, text.get(y)), scratch_path(spark, f"wide{y}")) for y in YEARS}
 
 
 def wide_frames(spark, d):
@@ -32,7 +33,7 @@ def wide_frames(spark, d):
 define(
     "wide_long",
     """SELECT k.ch, k.mat, k.cat, w.yw, coalesce(l.q, 0.0) * CASE WHEN w.yw > 200100 THEN 100 ELSE 1 END AS q
-       FROM (SELECT DISTINCT ch, mat, cat, yw // 100 AS y FROM long_coarse WHERE yw >= 200001) k
+       FROM (SELECT DISTINCT ch, mat, cat, yw // 100 AS y FROM long_coarse) k
        JOIN weeks w ON w.yw // 100 = k.y
        LEFT JOIN long_coarse l ON l.ch = k.ch AND l.mat = k.mat AND l.cat = k.cat AND l.yw = w.yw""",
 )
@@ -40,19 +41,21 @@ define(
 
 @query(
     "S1_read_wide_csv",
-    f"""SELECT {KEY3}, CAST(w.yw AS VARCHAR) AS week_column, l.q AS number FROM long_coarse l JOIN weeks w USING (yw)
-        WHERE yw BETWEEN 200001 AND 200052""",
+    f"""SELECT {KEY3}, CAST(yw AS VARCHAR) AS week_column,
+          CASE WHEN yw > 200100 THEN trim(format('{{:,.1f}}', q * 100)) ELSE CAST(q AS VARCHAR) END AS text FROM long_coarse""",
 )
 def s1(spark, d):
-    path = _write_wide(spark, d)[2000]
-    frames = wc.read_years(spark, {1999: path + "-absent", 2000: path})
-    df = frames[2000].unpivot(SERIES, rs.week_columns(frames[2000]), "week_column", "text")
-    return df.filter(F.col("text").isNotNull()).select(
-        *SERIES, "week_column", F.col("text").cast("double").alias("number")
-    )
+    paths = _write_wide(spark, d)
+    frames = wc.read_years(spark, {1994: paths[2000] + "-absent", **paths})
+    df = rs.union_years([f.unpivot(SERIES, rs.week_columns(f), "week_column", "text") for f in frames.values()])
+    return df.filter(F.col("text").isNotNull()).select(*SERIES, "week_column", F.trim("text").alias("text"))
 
 
-@query("S2_write_bronze")
+@query(
+    "S2_write_bronze",
+    """SELECT CAST(y AS INTEGER) AS source_year, count(*) AS n_rows
+       FROM (SELECT DISTINCT ch, mat, cat, yw // 100 AS y FROM long_coarse) GROUP BY y""",
+)
 def s2(spark, d):
     path = wc.write_bronze(wide_frames(spark, d), scratch_path(spark, "bronze"))
     df = spark.read.option("mergeSchema", True).parquet(path)
@@ -78,7 +81,10 @@ def s4(spark, d):
     return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum(QTY).alias(QTY))
 
 
-@query("S4_replace_table")
+@query(
+    "S4_replace_table",
+    "SELECT CAST(yw // 100 AS INTEGER) AS year, count(*) AS n_rows, sum(q) * 2 AS quantity FROM long_coarse GROUP BY 1",
+)
 def s4_replace(spark, d):
     path = wc.write_table(rs.with_calendar(tb.long_table(spark, d, "coarse")), scratch_path(spark, "silver"))
     df = spark.read.parquet(path).withColumn(QTY, F.col(QTY) * 2)
@@ -118,7 +124,7 @@ def s7_shape(spark, d):
 @query(
     "S8_lineage",
     """SELECT 'raw_to_bronze' AS event, CAST(yw // 100 AS INTEGER) AS year, 'raw' AS source, 'bronze' AS destination,
-       count(DISTINCT (ch, mat, cat)) AS rows_written FROM long_coarse WHERE yw >= 200001 GROUP BY yw // 100""",
+       count(DISTINCT (ch, mat, cat)) AS rows_written FROM long_coarse GROUP BY yw // 100""",
 )
 def s8(spark, d):
     return wc.lineage(wide_frames(spark, d), "raw_to_bronze", "raw", "bronze")

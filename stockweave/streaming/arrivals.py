@@ -17,22 +17,25 @@ def arrivals(spark: SparkSession, path: str, schema: T.StructType, per_trigger:
     )
 
 
-def load_new(
-    stream: DataFrame, target: str, checkpoint: str, keys: list[str], event_time: str, delay: str = "30 days"
-) -> None:
-    """Append what has arrived since the last call, without repeated keys.
-
-    Repeats are dropped by key with state bounded by the watermark. The
-    checkpoint remembers files and keys, so a restart neither loses nor
-    doubles rows.
+def load_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
+    """Append what has arrived since the last call, one row per key.
+
+    Every arrived row counts, however late: a batch is compared with the keys
+    of the target, not with a window of time. A batch that is run again after a
+    failure finds its keys there, so a restart neither loses nor doubles rows.
+    Null keys are compared as values.
     """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)
+
+    def append(batch: DataFrame, _: int) -> None:
+        there = batch.sparkSession.read.schema(stream.schema).parquet(target).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        batch.dropDuplicates(keys).join(there, same, "left_anti").write.mode("append").parquet(target)
+
     (
-        stream.withWatermark(event_time, delay)
-        .dropDuplicatesWithinWatermark(keys)
-        .writeStream.format("parquet")
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .option("path", target)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()

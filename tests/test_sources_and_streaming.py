@@ -99,11 +99,16 @@ def test_stream_loads_each_file_and_key_once(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     drop_file([(1, t, "a"), (2, t, "b"), (1, t, "a")], "d1")
     s = spark.read.parquet(f"{src}/d1").schema
-    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"], "ts")
+    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"])
     assert spark.read.parquet(out).count() == 2
     drop_file([(2, t, "b"), (3, t, "c")], "d2")
-    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"], "ts")
+    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"])
     assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    drop_file([(4, t - dt.timedelta(days=2000), "late"), (None, t, "no id"), (3, t, "c")], "d3")
+    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"])
+    drop_file([(5, t - dt.timedelta(days=900), "late"), (None, t, "no id")], "d4")
+    arrivals.load_new(arrivals.arrivals(spark, src, s), out, state, ["event_id"])
+    assert sorted(r["event_id"] or 0 for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5]
 
 
 def test_scan_reads_only_needed_columns(spark, sf):
