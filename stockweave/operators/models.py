@@ -9,6 +9,10 @@ the training weeks, never the validation weeks.
 
 from __future__ import annotations
 
+import functools
+import math
+import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
@@ -29,7 +33,6 @@ from stockweave.session import cut_lineage, scratch_path
 TUNE_WEEKS = 13
 MIN_SEGMENT_ROWS = 20
 SEGMENT_CUT = 0.1  # on demand_rate_12
-PROB_BINS = 10_000
 FULL = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 7}
 
 
@@ -88,12 +91,12 @@ def demand_classifier(rows: DataFrame, params: dict = FULL):
     return model, weight
 
 
-def quantity_regressor(rows: DataFrame, params: dict = FULL):
-    """Stage 2: log quantity of sold weeks."""
+def quantity_regressor(rows: DataFrame, params: dict = FULL, early_stop: bool = True):
+    """Stage 2: log quantity of sold weeks; all rounds are run without ``early_stop``."""
     sold = rows.filter(F.col(QTY) > 0).withColumn("log_target", F.log1p(QTY))
+    stop = {"validationIndicatorCol": "is_tune"} if early_stop else {}
     return GBTRegressor(
-        featuresCol="features", labelCol="log_target", predictionCol="reg_pred",
-        lossType="squared", validationIndicatorCol="is_tune", **params,
+        featuresCol="features", labelCol="log_target", predictionCol="reg_pred", lossType="squared", **stop, **params,
     ).fit(sold)
 
 
@@ -105,13 +108,13 @@ def with_probability(df: DataFrame, classifier, calibrator=None) -> DataFrame:
     return calibrator.transform(out)
 
 
-def fit_calibrator(scored: DataFrame):
+def fit_calibrator(scored: DataFrame, bins: int | None = None):
     """Isotonic map from raw score to demand rate, clipped outside its range.
 
-    Scores are first pooled into 10,000 equal bins, so the fit sees a bounded
-    number of weighted points whatever the number of rows.
+    The fit sees one weighted point per distinct score. ``bins`` rounds scores
+    down to that many equal steps first, for data with very many of them.
     """
-    b = F.floor(F.col("raw_prob") * PROB_BINS) / PROB_BINS
+    b = F.floor(F.col("raw_prob") * bins) / bins if bins else F.col("raw_prob")
     points = scored.groupBy(b.alias("raw_prob")).agg(
         F.avg("label").alias("rate"), F.count("*").cast("double").alias("w")
     )
@@ -125,7 +128,9 @@ def segment():
 
 
 def with_quantity(df: DataFrame, regressors: dict) -> DataFrame:
-    """Quantity given a sale; each segment by its own model or by the other's."""
+    """Quantity given a sale; each segment by its own model or by the other's, 0 without any model."""
+    if not regressors:
+        return df.withColumn("log_qty", F.lit(0.0))
     regular = regressors.get("regular") or regressors.get("sparse")
     sparse = regressors.get("sparse") or regressors.get("regular")
     if regular is sparse:
@@ -137,7 +142,11 @@ def with_quantity(df: DataFrame, regressors: dict) -> DataFrame:
 
 
 def segment_regressors(rows: DataFrame, params: dict = FULL, min_rows: int = MIN_SEGMENT_ROWS) -> dict:
-    """A stage-2 model per segment with enough sold rows to fit and to stop on."""
+    """A stage-2 model per segment with at least ``min_rows`` sold rows.
+
+    A segment without sold rows in the tuning block is trained without early
+    stopping.
+    """
     sold = rows.filter(F.col(QTY) > 0)
     counts = {
         (r["s"], r["is_tune"]): r["n"]
@@ -145,8 +154,9 @@ def segment_regressors(rows: DataFrame, params: dict = FULL, min_rows: int = MIN
     }
     out = {}
     for name in ("regular", "sparse"):
-        if counts.get((name, False), 0) >= min_rows and counts.get((name, True), 0) > 0:
-            out[name] = quantity_regressor(sold.filter(segment() == name), params)
+        if counts.get((name, False), 0) >= min_rows:
+            own = sold.filter(segment() == name)
+            out[name] = quantity_regressor(own, params, early_stop=counts.get((name, True), 0) > 0)
     return out
 
 
@@ -250,17 +260,25 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """Two-stage models over expanding folds.
 
-    Returns metrics per fold and variant, and the scored rows of the last fold.
-    Features are written once, the assembled rows once per fold; the loop is
-    over folds, each a distributed fit.
+    Returns metrics per fold and variant, and the scored rows of all folds. A
+    fold with fewer than ``min_rows`` training rows has one row with ``skipped``
+    = 1 and no metrics. Features are written once, the assembled rows once per
+    fold; the loop is over folds, each a distributed fit.
     """
     base = stored(base)
-    results, last = [], None
+    numbers = ["clf_auc", "threshold", "pos_weight", *mt.SUITE, "mase"]
+    results, rows_of = [], []
     for fold, train_end, val_start, val_end in folds:
         frame = stored(model_frame(base, train_end))
         rows = with_roles(frame, train_end)
         val = frame.filter(F.col(WEEK).between(val_start, val_end))
         if rows.limit(min_rows).count() < min_rows:
+            none = {c: F.lit(None).cast("double") for c in numbers} | {"n_obs": F.lit(None).cast("long")}
+            one = base.sparkSession.range(1).select(
+                F.lit(fold).alias("fold"), F.lit(None).cast("string").alias("variant"), F.lit(1).alias("skipped"),
+                *[c.alias(k) for k, c in none.items()],
+            )
+            results.append(one)
             continue
         m = fit_two_stage(rows, params, calibrate=segmented, segmented=segmented)
         scored = stored(score(val, m).drop("features"), "scored")
@@ -269,50 +287,68 @@ def cross_validate(
         for v in variants:
             results.append(
                 suite(scored, v, v).select(
-                    F.lit(fold).alias("fold"), "variant", F.lit(auc).cast("double").alias("clf_auc"),
+                    F.lit(fold).alias("fold"), "variant", F.lit(0).alias("skipped"), F.lit(auc).cast("double").alias("clf_auc"),
                     F.lit(float(m.threshold)).alias("threshold"), F.lit(float(m.pos_weight)).alias("pos_weight"),
                     *mt.SUITE, "mase", "n_obs",
                 )
             )
-        last = scored
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out, last
+        rows_of.append(scored.withColumn("fold", F.lit(fold)))
+    if not rows_of:
+        band = {c: F.lit(0.0) for c in ("forecast_q50", "forecast_q10", "forecast_q90", "demand_prob")}
+        rows_of = [base.limit(0).select(F.lit(0).alias("fold"), *SKU, WEEK, QTY).withColumns(band)]
+    return functools.reduce(DataFrame.unionByName, results), functools.reduce(DataFrame.unionByName, rows_of)
 
 
 def interval_rows(scored: DataFrame) -> DataFrame:
+    keys = [c for c in ("fold",) if c in scored.columns]
     return scored.select(
-        *SKU, WEEK, F.col(QTY).alias("quantity_actual"), "forecast_q50", "forecast_q10", "forecast_q90", "demand_prob"
+        *keys, *SKU, WEEK, F.col(QTY).alias("quantity_actual"), "forecast_q50", "forecast_q10", "forecast_q90", "demand_prob"
     )
 
 
-def grid_search(rows: DataFrame, val: DataFrame, grid: list[dict]) -> DataFrame:
-    """Stage-2 settings ranked by active WAPE on later weeks.
+def sample_settings(n: int = 30, seed: int = 42, base: dict = FULL) -> list[dict]:
+    """Seeded random stage-2 settings over the parameters boosting has in Spark ML."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        out.append(
+            {
+                **base,
+                "log_target": rng.random() < 0.5,
+                "lossType": rng.choice(["squared", "absolute"]),
+                "maxDepth": rng.randint(3, 6),
+                "stepSize": round(math.exp(rng.uniform(math.log(0.01), math.log(0.15))), 4),
+                "minInstancesPerNode": rng.randint(5, 50),
+                "featureSubsetStrategy": str(round(rng.uniform(0.5, 1.0), 2)),
+                "subsamplingRate": round(rng.uniform(0.5, 1.0), 2),
+            }
+        )
+    return out
+
+
+def grid_search(rows: DataFrame, val: DataFrame, grid: list[dict], parallel: int = 4) -> DataFrame:
+    """Stage-2 settings ranked by active WAPE on later weeks; ``parallel`` fits run at once.
 
     ``log_target`` in a setting switches the target; other entries go to the
     regressor. One row per setting.
     """
     sold = rows.filter(F.col(QTY) > 0)
-    out = None
-    for i, setting in enumerate(grid):
+
+    def trial(numbered):
+        i, setting = numbered
         params = {k: v for k, v in setting.items() if k != "log_target"}
         log_target = setting.get("log_target", True)
         fit_rows = sold.withColumn("_y", F.log1p(QTY) if log_target else F.col(QTY))
         model = GBTRegressor(
-            featuresCol="features", labelCol="_y", predictionCol="reg_pred",
-            validationIndicatorCol="is_tune", **params,
+            featuresCol="features", labelCol="_y", predictionCol="reg_pred", validationIndicatorCol="is_tune", **params
         ).fit(fit_rows)
         pred = bd.from_log("reg_pred") if log_target else F.greatest("reg_pred", F.lit(0.0))
-        got = (
-            model.transform(val)
-            .select(F.col(QTY).alias("actual"), pred.alias("forecast"))
-            .agg(mt.active_wape().alias("active_wape"))
-            .select(
-                F.lit(i).alias("trial"), F.lit(str(sorted(setting.items()))).alias("setting"), "active_wape"
-            )
-        )
-        out = got if out is None else out.unionByName(got)
+        got = model.transform(val).select(F.col(QTY).alias("actual"), pred.alias("forecast"))
+        wape = got.agg(mt.active_wape().alias("active_wape")).first()["active_wape"]
+        return i, str(sorted(setting.items())), wape
+
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(trial, enumerate(grid)))
+    out = rows.sparkSession.createDataFrame(done, "trial int, setting string, active_wape double")
     return out.orderBy("active_wape", "trial")
 
 

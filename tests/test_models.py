@@ -15,7 +15,7 @@ def split(spark, sf):
 
 @pytest.fixture(scope="module")
 def fitted(split):
-    return md.fit_two_stage(split[0], mq.QUICK, calibrate=True, segmented=True)
+    return md.fit_two_stage(split[0], calibrate=True, segmented=True)
 
 
 def test_tuning_block_is_the_end_of_training(split):
@@ -42,14 +42,14 @@ def test_calibration_is_monotone(split, fitted):
 
 def test_segment_falls_back_to_the_other(split):
     rows = split[0]
-    only = md.segment_regressors(rows.filter(md.segment() == "sparse"), mq.QUICK)
+    only = md.segment_regressors(rows.filter(md.segment() == "sparse"))
     assert set(only) == {"sparse"}
     assert md.with_quantity(split[1], only).filter("log_qty is null").count() == 0
-    assert md.segment_regressors(rows, mq.QUICK, min_rows=10**9) == {}
+    assert md.segment_regressors(rows, min_rows=10**9) == {}
 
 
 def test_importances_sum_to_one(split):
-    pairs = md.importances(md.quantity_regressor(split[0], mq.QUICK), n=100)
+    pairs = md.importances(md.quantity_regressor(split[0]), n=100)
     assert sum(v for _, v in pairs) == pytest.approx(1.0)
 
 
@@ -93,3 +93,24 @@ def test_model_inputs_do_not_see_their_own_week(spark):
     a, b = inputs(y), inputs(y[:-1] + [999])
     assert [a[c] for c in cols] == [b[c] for c in cols] and a == b
     assert QTY not in md.ft.MODEL_FEATURES
+
+
+def test_no_segment_model_means_no_quantity(split):
+    out = md.with_quantity(split[1], {})
+    assert out.filter("log_qty <> 0").count() == 0
+
+
+def test_segment_without_tuning_rows_is_trained(split):
+    rows = split[0].filter("not (is_tune and demand_rate_12 > 0.1)")
+    assert "regular" in md.segment_regressors(rows)
+
+
+def test_short_folds_are_reported(spark, sf):
+    folds = [(1, 199505, 199506, 199510), (2, 199506, 199507, 199512)]
+    cv, rows = md.cross_validate(mq._base(spark, sf), folds, min_rows=10**6)
+    assert sorted((r["fold"], r["skipped"], r["mae"]) for r in cv.collect()) == [(1, 1, None), (2, 1, None)]
+    assert md.interval_rows(rows).count() == 0
+
+
+def test_settings_are_seeded():
+    assert md.sample_settings(5) == md.sample_settings(5) != md.sample_settings(5, seed=1)
