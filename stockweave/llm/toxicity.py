@@ -92,9 +92,19 @@ def unit_rows(doc: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndar
     return w / norm[doc]
 
 
+def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`terms_of` a few texts at a time, with places in ``terms``."""
+    got = []
+    for a in range(0, len(texts), step):
+        doc, term, count = terms_of(texts[a : a + step], terms)
+        got.append((doc + a, term.astype(np.int64), count))
+    if not got:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*got, strict=True))
+
+
 def build_index(texts: list[bytes], label: np.ndarray, terms: np.ndarray) -> Index:
-    doc, term, count = terms_of(texts, terms)
-    term = term.astype(np.int64)
+    doc, term, count = known_terms(texts, terms)
     n, v = len(texts), len(terms)
     idf = np.log((1 + n) / (1 + np.bincount(term, minlength=v))) + 1
     weight = unit_rows(doc, term, count, idf, n)
@@ -150,8 +160,7 @@ def vote(ix: Index, ids: np.ndarray, cos: np.ndarray) -> float:
 
 def votes(ix: Index, texts: list[bytes], skip: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Vote of each text, and its nearest examples with their cosines."""
-    doc, term, count = terms_of(texts, ix.terms)
-    term = term.astype(np.int64)
+    doc, term, count = known_terms(texts, ix.terms)
     weight = unit_rows(doc, term, count, ix.idf, len(texts))
     out, evidence = np.full(len(texts), ix.none), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
     at = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -196,13 +205,13 @@ def fit(texts: list[bytes], label: np.ndarray) -> Index:
     n, seen = len(texts), []
     rough = np.zeros(1 << 22, np.int32)  # documents per hash slot: most terms occur once and are left out by it
     slot = np.uint64(len(rough) - 1)
-    for a in range(0, n, 250):
-        rough += np.bincount((terms_of(texts[a : a + 250])[1] & slot).astype(np.int64), minlength=len(rough)).astype(np.int32)
-    for a in range(0, n, 250):
-        doc, term, _ = terms_of(texts[a : a + 250])
+    for a in range(0, n, 100):
+        rough += np.bincount((terms_of(texts[a : a + 100])[1] & slot).astype(np.int64), minlength=len(rough)).astype(np.int32)
+    for a in range(0, n, 100):
+        doc, term, _ = terms_of(texts[a : a + 100])
         often = rough[(term & slot).astype(np.int64)] >= LEAST_DOCS
         terms, inverse = np.unique(term[often], return_inverse=True)
-        seen.append((terms, np.bincount(inverse), np.bincount(inverse, weights=label[a : a + 250][doc[often]])))
+        seen.append((terms, np.bincount(inverse), np.bincount(inverse, weights=label[a : a + 100][doc[often]])))
     if seen:
         term, df, toxic = (np.concatenate(x) for x in zip(*seen, strict=True))
         term, inverse = np.unique(term, return_inverse=True)
@@ -215,8 +224,7 @@ def fit(texts: list[bytes], label: np.ndarray) -> Index:
     else:
         term = np.zeros(0, np.uint64)
     ix = build_index(texts, label, term)
-    held = slice(0, CALIBRATION)
-    calibrate(ix, votes(ix, texts, skip=True)[0][held] if n else np.zeros(0), label[held])
+    calibrate(ix, votes(ix, texts[:CALIBRATION], skip=True)[0], label[:CALIBRATION])
     return ix
 
 
