@@ -101,8 +101,9 @@ def test_no_segment_model_means_no_quantity(split):
 
 
 def test_segment_without_tuning_rows_is_trained(split):
-    rows = split[0].filter("not (is_tune and demand_rate_12 > 0.1)")
-    assert "regular" in md.segment_regressors(rows)
+    sparse = split[0].filter(md.segment() == "sparse")
+    assert md.segment_regressors(sparse.filter("not is_tune"))["sparse"] is not None
+    assert md.segment_regressors(sparse.filter("is_tune")) == {}
 
 
 def test_short_folds_are_reported(spark, sf):
