@@ -18,8 +18,9 @@ from stockweave.operators import feature_store as fs  # noqa: E402
 from stockweave.operators import features as ft  # noqa: E402
 from stockweave.operators import hierarchy as hi  # noqa: E402
 from stockweave.operators import inventory as iv  # noqa: E402
+from stockweave.operators import models as md  # noqa: E402
 from stockweave.operators import quality as ql  # noqa: E402
-from stockweave.operators.reshape import densify, pivot_categories, silver  # noqa: E402
+from stockweave.operators.reshape import densify, pivot_categories, silver, with_calendar  # noqa: E402
 from stockweave.plans.planning_queries import MEASURES  # noqa: E402
 from stockweave.schema import QTY, SKU, WEEK  # noqa: E402
 from stockweave.session import build_session  # noqa: E402
@@ -43,6 +44,13 @@ def risk(spark, sf):
     return iv.report_order(iv.risk_table(weekly, fc, demand="forecast_naive", horizon=13))
 
 
+def two_stage(spark, sf):
+    base = md.stored(md.base_frame(tb.dense_table(spark, sf, "coarse")))
+    frame = md.stored(md.model_frame(base, tb.CUTOFF_WEEK))
+    fitted = md.fit_two_stage(md.with_roles(frame, tb.CUTOFF_WEEK))
+    return md.score(frame.filter(F.col(WEEK) > tb.CUTOFF_WEEK), fitted).drop("features")
+
+
 HEADLINE = {
     "silver_table": lambda s, d: silver(tb.signed_observations(s, d).drop("l_linenumber")),
     "densify": lambda s, d: tb.dense_table(s, d, "fine"),
@@ -55,12 +63,13 @@ HEADLINE = {
     "inventory_risk": risk,
     "customer_churn": lambda s, d: ch.churn_table(tb.long_table(s, d, "customer"), tb.REFERENCE_WEEK),
     "quality_checks": lambda s, d: ql.run_all(
-        tb.signed_observations(s, d).withColumns({"year": F.lit(2000), "week_num": F.lit(1)}), tb.YEAR_RANGE
+        with_calendar(tb.signed_observations(s, d)), tb.YEAR_RANGE
     ),
     "outliers": lambda s, d: ql.outliers(tb.long_table(s, d), 2.5),
     "feature_store": lambda s, d: fs.feature_store(
         densify(pivot_categories(tb.long_table(s, d, "fine")), SKU, tb.FIRST_WEEK, tb.LAST_WEEK, MEASURES)
     ),
+    "two_stage_training": two_stage,
     "hierarchy_sums": lambda s, d: hi.hierarchy_sums(tb.sell_in(s, d, "fine"), QTY),
 }
 

@@ -95,12 +95,33 @@ def lineage(frames: dict[int, DataFrame], event: str, source: str, target: str)
     return union_years(rows)
 
 
-def write_report(df: DataFrame, path: str) -> str:
-    """A small result as one JSON file."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_report(df: DataFrame, path: str, rows: int = 100_000) -> str:
+    """A result as JSON: one file up to ``rows`` rows, as many as there are tasks beyond."""
+    small = df.limit(rows + 1).count() <= rows
+    (df.coalesce(1) if small else df).write.mode("overwrite").json(path)
     return path
 
 
+def newest_file(spark: SparkSession, path: str):
+    """When the newest Parquet file below ``path`` was written; nothing without a file."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+        return files.agg(F.max("modificationTime")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def refresh_extract(spark: SparkSession, source: str, target: str, make) -> bool:
+    """Write ``make(source table)`` to ``target`` if the source is newer; tells whether it was."""
+    done = newest_file(spark, target)
+    if done is not None and done >= newest_file(spark, source):
+        return False
+    make(spark.read.parquet(source)).write.mode("overwrite").parquet(target)
+    return True
+
+
 def write_table(df: DataFrame, path: str, partition: str | None = "year") -> str:
     w = df.write.mode("overwrite")
     (w.partitionBy(partition) if partition else w).parquet(path)

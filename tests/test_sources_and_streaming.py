@@ -114,3 +114,26 @@ def test_stream_loads_each_file_and_key_once(spark, tmp_path):
 def test_scan_reads_only_needed_columns(spark, sf):
     plan = tb.long_table(spark, sf, "coarse")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_tax" not in plan
+
+
+def test_extract_is_rebuilt_only_when_the_source_is_newer(spark, tmp_path):
+    import time
+
+    source, target = str(tmp_path / "source"), str(tmp_path / "extract")
+    spark.range(3).write.parquet(source)
+    refresh = lambda: wc.refresh_extract(spark, source, target, lambda df: df.filter("id > 0"))
+    assert refresh() and not refresh() and spark.read.parquet(target).count() == 2
+    time.sleep(1.1)
+    spark.range(5).write.mode("append").parquet(source)
+    assert refresh() and spark.read.parquet(target).count() == 6
+
+
+def test_week_numbers_have_no_bounds(spark):
+    import datetime as dt
+
+    from stockweave.functions import weeks as wk
+
+    df = spark.createDataFrame([(189952,), (190001,), (220052,), (220101,), (250010,)], "w int")
+    for r in df.select("w", wk.week_number("w").alias("n")).collect():
+        monday = dt.date.fromisocalendar(r["w"] // 100, r["w"] % 100, 1)
+        assert r["n"] == (monday - dt.date(1900, 1, 1)).days // 7
