@@ -28,6 +28,8 @@ from stockweave.llm.seeds import (
 
 SHINGLE = 5
 BITS = 1024  # of the parity sketch that bounds the symmetric difference from below
+PARTNERS = 256  # pairs of one text that one bucket verifies
+SMALL_ROWS = 200_000  # rows of two numbers that may be broadcast
 BLOCK = 4096  # documents under one key that one task compares
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -181,11 +183,13 @@ def verify(dealt: DataFrame, copies: DataFrame, pairs: DataFrame, percent: int,
     Pairs meet their sets in buckets by ``a``, with salts where ``a`` has many
     partners, so a set travels once for each bucket that needs it.
     """
-    per_a = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / 256))
-    spread_pairs = stored(
-        pairs.join(per_a, "a").withColumn("bucket", F.pmod(F.xxhash64("a", salt), F.lit(8 * groups))).drop("m"), "pairs"
-    )
+    busy = pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > PARTNERS)
+    busy = stored(busy.select(F.col("a").alias("hub"), F.ceil(F.col("m") / PARTNERS).alias("salts")), "busy-texts")
+    hubs = F.broadcast(busy) if busy.count() <= SMALL_ROWS else busy
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long")))
+    salted = pairs.join(hubs, F.col("a") == F.col("hub"), "left")
+    bucket = F.pmod(F.xxhash64("a", salt), F.lit(8 * groups))
+    spread_pairs = stored(salted.select("a", "a_part", "b", "b_part", bucket.alias("bucket")), "pairs")
     wanted = (
         spread_pairs.select(F.col("a_part").alias("part"), F.col("a").alias("text"), "bucket")
         .union(spread_pairs.select("b_part", "b", "bucket"))
