@@ -20,7 +20,7 @@ from stockweave.llm.phrase_dedup import gram_hash, word_hash, word_spans
 from stockweave.llm.seeds import member
 
 SLOTS = 1024  # hashed features
-SAMPLE = 8_000  # documents the scorer is fitted on, at most
+SAMPLE = 4_000  # documents the scorer is fitted on, at most
 CHUNK_BYTES = 1 << 20
 GRAM = 6
 LOWER_BIT, OTHER_BIT, UPPER_BIT, DIGIT_BIT, MARK_BIT, SYMBOL_BIT = 1, 2, 4, 8, 16, 32
