@@ -2,9 +2,8 @@
 
 Only suffixes whose key recurs (:mod:`stockweave.llm.seeds`) can share their
 first ``window`` bytes with another one. They travel as pieces of text, each
-distinct piece once per group of documents, to the bucket of their key: that is
-the first digit. Inside a bucket further digits of eight bytes split equal
-suffixes apart; single ones leave at once, and what is still together after
+distinct piece once per group of documents, to the bucket of their key. Inside a
+bucket digits of eight bytes split unequal suffixes apart, the first one first; single ones leave at once, and what is still together after
 ``window`` bytes is a repeated string. The least document id of each string goes
 back to the groups that hold it.
 """
@@ -31,17 +30,20 @@ def words64(raw: np.ndarray, order: str = "<") -> np.ndarray:
     return np.ndarray((max(0, len(raw) - 7),), f"{order}u8", raw, strides=(1,))
 
 
+def gram_hash(eight: np.ndarray, a, b, c) -> np.ndarray:
+    """Hash of ``GRAM`` bytes from their three parts of eight."""
+    with np.errstate(over="ignore"):
+        h = eight[a] * ODD[0] + eight[b] * ODD[1]
+        h ^= h >> np.uint64(29)
+        return mix64(h + eight[c] * ODD[2])
+
+
 def byte_chunk(texts: list[bytes]) -> tuple:
     joined_text = b"".join(texts)
     raw = np.frombuffer(joined_text + bytes(GRAM), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
-    at = words64(raw)
     n = len(joined_text)
-    with np.errstate(over="ignore"):
-        h = at[:n] * ODD[0] + at[8 : n + 8] * ODD[1]
-        h ^= h >> np.uint64(29)
-        h += at[16 : n + 16] * ODD[2]
-    h = mix64(h)
+    h = gram_hash(words64(raw), slice(0, n), slice(8, n + 8), slice(16, n + 16))
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
     return raw, doc, h[: max(0, n - GRAM + 1)], np.cumsum(size) - size
 
@@ -56,6 +58,15 @@ def window_hash(raw: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     return mix64(h)
 
 
+def keys_at(raw: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Key of the window at each place: the least hash of its grams."""
+    eight = words64(raw)
+    least = np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(window - GRAM + 1):
+        np.minimum(least, gram_hash(eight, at + k, at + k + 8, at + k + 16), out=least)
+    return least
+
+
 def piece_ids(raw: np.ndarray, start: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     """Id of a run of windows; the first and the last one overlap, so they give all its bytes."""
     with np.errstate(over="ignore"):
@@ -65,7 +76,7 @@ def piece_ids(raw: np.ndarray, start: np.ndarray, size: np.ndarray, window: int)
 
 PIECES = pa.schema(
     [("bucket", pa.int32()), ("part", pa.int32())]
-    + [(c, pa.binary()) for c in ("key", "piece", "least", "most", "size", "hot", "content")]
+    + [(c, pa.binary()) for c in ("least", "most", "size", "hot", "content")]
 )
 FOUND = pa.schema(
     [("part", pa.int32())] + [(c, pa.binary()) for c in ("key", "piece", "hot", "n", "run", "least")]
@@ -96,16 +107,16 @@ def radix_groups(digits, group: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 def least_ids(t: pa.Table, window: int) -> pa.Table:
     """For the pieces of one bucket, the least id of a document with each of their windows."""
     part = t.column("part").to_pylist()
-    own = np.repeat(np.arange(len(part)), sizes(t.column("key"), 8))
-    key, piece = joined(t.column("key"), np.uint64), joined(t.column("piece"), np.uint64)
+    own = np.repeat(np.arange(len(part)), sizes(t.column("least"), 8))
     least, most = joined(t.column("least"), np.int64), joined(t.column("most"), np.int64)
     size, hot = joined(t.column("size"), np.uint8).astype(np.int64), joined(t.column("hot"), np.bool_)
-    raw = np.frombuffer(b"".join(t.column("content").to_pylist()) + bytes(8), np.uint8)
+    raw = np.frombuffer(b"".join(t.column("content").to_pylist()) + bytes(GRAM), np.uint8)
     length = size + window - 1
     where = np.cumsum(length) - length
     # one copy of each distinct piece
-    order = np.lexsort((least, key, piece))
-    new = np.r_[True, (piece[order][1:] != piece[order][:-1]) | (key[order][1:] != key[order][:-1])]
+    piece = piece_ids(raw, where, size, window)
+    order = np.lexsort((least, size, piece))
+    new = np.r_[True, (piece[order][1:] != piece[order][:-1]) | (size[order][1:] != size[order][:-1])]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     pick = order[new]
@@ -115,8 +126,7 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
     found = np.repeat(least[pick], n)
     big = words64(raw, ">")
     depths = [*range(0, window - 7, 8), *([window - 8] if window % 8 else [])]
-    start_group = np.repeat(key[pick], n)
-    alive, group = radix_groups([lambda p, k=k: big[p + k] for k in depths], start_group, at)
+    alive, group = radix_groups([lambda p, k=k: big[p + k] for k in depths], np.zeros(len(at), np.int64), at)
     if len(alive):
         order = np.argsort(group, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
@@ -133,6 +143,9 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
     run_begin = np.cumsum(runs_of) - runs_of
     lowest = np.minimum.reduceat(found[run_at], run_begin)
     send = np.flatnonzero(lowest[which] < most)
+    key = np.zeros(len(pick), np.uint64)
+    asked = np.unique(which[send])
+    key[asked] = keys_at(raw, where[pick[asked]], window)
     cut = np.searchsorted(own[send], np.arange(len(part) + 1))
     rows = []
     for i, p in enumerate(part):
@@ -141,7 +154,7 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
             w = which[s]
             r = take_spans(np.arange(len(run_at)), run_begin[w], runs_of[w])
             rows.append(
-                (p, key[s].tobytes(), piece[s].tobytes(), hot[s].tobytes(), runs_of[w].astype(np.uint8).tobytes(),
+                (p, key[w].tobytes(), piece[s].tobytes(), hot[s].tobytes(), runs_of[w].astype(np.uint8).tobytes(),
                  run_size[r].astype(np.uint8).tobytes(), found[run_at[r]].tobytes())
             )
     return table_of(FOUND, rows)
@@ -186,7 +199,7 @@ def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
             k = by[cut[b] : cut[b + 1]]
             p = pick[k]
             rows.append(
-                (b, part, key[p].tobytes(), piece[p].tobytes(), least[k].tobytes(), most[k].tobytes(),
+                (b, part, least[k].tobytes(), most[k].tobytes(),
                  size[p].astype(np.uint8).tobytes(), is_hot[p].tobytes(), take_spans(content, where[p], length[p]).tobytes())
             )
         return table_of(PIECES, rows)
