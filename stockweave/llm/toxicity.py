@@ -1,10 +1,11 @@
 """Toxicity scores from the nearest labelled examples.
 
-Texts are TF-IDF vectors over the terms (words and word beginnings) that tell
-the labels apart on the examples. Neighbours by exact cosine come from an
-inverted index with block maxima: blocks of examples are visited by their upper
-bound until no block can change the result. Votes are weighted by similarity and
-calibrated on the examples themselves, each without its own vote.
+Texts are TF-IDF vectors over all terms (words and word beginnings) of the
+examples, with document counts over all documents; terms that go with a label
+weigh more. Neighbours by exact cosine come from an inverted index with block
+maxima: only blocks of examples whose upper bound can change the result are
+completed. Votes are weighted by similarity and calibrated on the examples
+themselves, each without its own vote.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ from stockweave.llm.phrase_dedup import spans_hash
 from stockweave.llm.common import mix64
 
 EXAMPLES = 8_000  # labelled rows the model is fitted on, at most
-TERMS = 4096  # terms of the vocabulary, at most
-LEAST_Z = 6.0  # how far a term's toxic share lies from the mean, in standard errors
-LEAST_DOCS = 3  # examples a term must occur in
+FLOOR = 0.06  # weight of a term that tells nothing about the labels, as a correlation with them
 BEGINNINGS = (4, 5, 6, 7, 8, 10)  # bytes of word beginnings that are terms of their own
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block of the index
 EVIDENCE = 5  # nearest examples reported
-CALIBRATION = 3000  # examples that calibrate, at most
+COMMON = 2048  # terms with the longest postings, kept as columns
+SLICE = 128  # texts searched together
+ROUNDING = 2e-6  # cosines nearer than this count as equal
 CHUNK_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
 LETTER[np.r_[65:91, 97:123, 128:256]] = True
@@ -54,13 +55,12 @@ def terms_of(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
         docs.append(doc[long])
     doc, h = np.concatenate(docs), np.concatenate(hashes)
     if known is not None:
-        near = np.zeros(1 << 16, bool)
-        near[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
-        maybe = near[(h & np.uint64(0xFFFF)).astype(np.int64)]
-        doc, h = doc[maybe], h[maybe]
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
         hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-        doc, h = doc[hit], at[hit].astype(np.uint64)
+        key = np.sort(doc[hit] * max(len(known), 1) + at[hit])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        doc, h = np.divmod(key[first], max(len(known), 1))
+        return doc, h.astype(np.uint64), np.diff(np.r_[first, len(key)])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else order
@@ -72,24 +72,35 @@ class Index:
     """Examples by term. Postings of a term run from ``begin`` to the next one, by example."""
 
     terms: np.ndarray  # sorted hashes
-    idf: np.ndarray
+    rarity: np.ndarray  # idf
+    df: np.ndarray  # examples and toxic examples with the term
+    toxic: np.ndarray
+    idf: np.ndarray  # idf times association with the labels
     begin: np.ndarray
     example: np.ndarray
     weight: np.ndarray
-    block_begin: np.ndarray  # a term's blocks: number and greatest weight
-    block: np.ndarray
-    block_max: np.ndarray
     label: np.ndarray
     none: float  # toxic share of examples without any term
     raw: np.ndarray | None = None  # calibration: votes and the scores they stand for
     fitted: np.ndarray | None = None
+    dense: tuple | None = None  # column of each common term or -1, their weights by example, their block maxima
+
+
+def association(df: np.ndarray, toxic: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weight of terms by their correlation with the labels; every term keeps at least ``FLOOR``."""
+    share = label.mean() if len(label) else 0.0
+    z = (toxic - df * share) / np.sqrt((df + 1) * max(share * (1 - share), 1e-9))
+    return np.hypot(FLOOR, z / np.sqrt(max(len(label), 1)))
 
 
 def unit_rows(doc: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
     """TF-IDF weights, of length 1 in each document."""
-    w = (1 + np.log(count)) * idf[term]
+    return unit((1 + np.log(count)) * idf[term], doc, n)
+
+
+def unit(w: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-    return w / norm[doc]
+    return w / np.maximum(norm, 1e-300)[doc]
 
 
 def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,52 +115,97 @@ def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple
 
 
 def build_index(texts: list[bytes], label: np.ndarray, terms: np.ndarray) -> Index:
-    doc, term, count = known_terms(texts, terms)
-    n, v = len(texts), len(terms)
-    idf = np.log((1 + n) / (1 + np.bincount(term, minlength=v))) + 1
-    weight = unit_rows(doc, term, count, idf, n)
-    order = np.lexsort((doc, term))
-    term, doc, weight = term[order], doc[order], weight[order]
-    block = doc // BLOCK
-    new = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else order
+    """Index of texts on their own, with idf from these texts."""
+    return index_of(*known_terms(texts, terms), label, terms)
+
+
+def index_of(  # rows by document
+    doc: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, terms: np.ndarray, rarity: np.ndarray | None = None
+) -> Index:
+    n, v = len(label), len(terms)
+    df = np.bincount(term, minlength=v)
+    toxic = np.bincount(term, weights=label[doc], minlength=v)
+    if rarity is None:
+        rarity = np.log((1 + n) / (1 + df)) + 1
+    share = label.mean() if n else 0.0
+    idf = rarity * association(df, toxic, label)
+    weight = unit_rows(doc, term, count, idf, n).astype(np.float32)
+    order = np.argsort(term, kind="stable")
     empty = np.ones(n, bool)
     empty[doc] = False
-    none = (label[empty].sum() + 0.5) / (empty.sum() + 1.0)
+    none = (label[empty].sum() + share) / (empty.sum() + 1.0)
     return Index(
-        terms, idf, np.searchsorted(term, np.arange(v + 1)), doc, weight, np.searchsorted(term[new], np.arange(v + 1)),
-        block[new], np.maximum.reduceat(weight, new) if len(new) else weight, label, float(none),
+        terms, rarity, df, toxic, idf, np.r_[0, np.cumsum(df)], doc[order].astype(np.int32), weight[order], label, float(none)
     )
 
 
+def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms with long postings as columns: column of each term or -1, weights by block, block maxima."""
+    if ix.dense is None:
+        blocks = max(1, -(-len(ix.label) // BLOCK))
+        hot = np.argsort(-ix.df, kind="stable")[:COMMON]
+        column = np.full(len(ix.terms), -1, np.int64)
+        column[hot] = np.arange(len(hot))
+        weight = np.zeros((blocks, len(hot), BLOCK), np.float32)
+        for c, t in enumerate(hot.tolist()):
+            at = slice(ix.begin[t], ix.begin[t + 1])
+            weight[ix.example[at] // BLOCK, c, ix.example[at] % BLOCK] = ix.weight[at]
+        ix.dense = column, weight, np.ascontiguousarray(weight.max(axis=2).T)
+    return ix.dense
+
+
+def nearest_of(
+    ix: Index, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``n`` texts the ``k`` examples with the greatest cosine (ties: the earlier one) and their cosines.
+
+    Zero cosines and the example ``skip`` of a text are left out. Postings of
+    rarer terms are added up; with the block maxima of the common terms they
+    bound each block, and only blocks that can change a result are completed.
+    """
+    column, dense, block_max = common_terms(ix)
+    width = len(dense) * BLOCK
+    hot = column[term]
+    q = np.zeros((n, len(block_max)), np.float32)
+    q[doc[hot >= 0], hot[hot >= 0]] = weight[hot >= 0]
+    cold = hot < 0
+    t, d, w = term[cold], doc[cold], weight[cold]
+    size = ix.df[t]
+    at = np.arange(size.sum()) + np.repeat(ix.begin[t] - np.cumsum(size) + size, size)
+    part = ix.weight[at] * np.repeat(w, size)
+    rest = np.bincount(ix.example[at] + np.repeat(d * width, size), weights=part, minlength=n * width)
+    rest = rest.astype(np.float32).reshape(n, -1, BLOCK)
+    bound = rest.max(axis=2) + q @ block_max
+    score = np.zeros_like(rest)
+    flat = score.reshape(n, width)
+    own = np.zeros(0, np.int64) if skip is None else np.flatnonzero(skip >= 0)
+    done = bound <= 0
+    order = np.argsort(-bound, axis=1, kind="stable")
+    least = np.zeros(n, np.float32)
+    for first in (8, bound.shape[1]):
+        want = np.zeros_like(done)
+        np.put_along_axis(want, order[:, :first], True, axis=1)
+        want &= ~done & (bound >= least[:, None] - ROUNDING)
+        for b in np.flatnonzero(want.any(axis=0)).tolist():
+            r = np.flatnonzero(want[:, b])
+            score[r, b] = rest[r, b] + q[r] @ dense[b]
+        if len(own):
+            flat[own, skip[own]] = 0
+        done |= want
+        if width > k and want.any():
+            least = np.partition(flat, width - k, axis=1)[:, width - k]
+    out = []
+    for row, low in zip(flat, least.tolist(), strict=True):
+        ids = np.flatnonzero((row > 0) & (row >= low - ROUNDING))
+        cos = row[ids].astype(np.float64)
+        ids = ids[np.lexsort((ids, -cos.round(6)))][:k]
+        out.append((ids, row[ids].astype(np.float64)))
+    return out
+
+
 def nearest(ix: Index, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` examples with the greatest cosine (ties: the earlier one) and their cosines, zero ones left out."""
-    spans = [slice(ix.block_begin[t], ix.block_begin[t + 1]) for t in term]
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0)
-    block = np.concatenate([ix.block[s] for s in spans])
-    bound = np.bincount(block, weights=np.concatenate([ix.block_max[s] * w for s, w in zip(spans, weight, strict=True)]))
-    order = np.argsort(-bound, kind="stable")
-    order = order[bound[order] > 0]
-    postings = [slice(ix.begin[t], ix.begin[t + 1]) for t in term]
-    example = np.concatenate([ix.example[s] for s in postings])
-    part = np.concatenate([ix.weight[s] * w for s, w in zip(postings, weight, strict=True)])
-    by_block = np.argsort(example // BLOCK, kind="stable")
-    example, part = example[by_block], part[by_block]
-    at = np.searchsorted(example // BLOCK, np.arange(len(bound) + 1))
-    ids, cos, step, done = np.zeros(0, np.int64), np.zeros(0), 4, 0
-    while done < len(order):
-        if len(ids) >= k and bound[order[done]] < cos[k - 1] - 1e-12:
-            break
-        take = order[done : done + step]
-        rows = np.concatenate([np.arange(at[b], at[b + 1]) for b in take])
-        done, step = done + step, step * 2
-        found, inverse = np.unique(example[rows], return_inverse=True)
-        score = np.bincount(inverse, weights=part[rows])
-        keep = found != skip
-        ids, cos = np.r_[ids, found[keep]], np.r_[cos, score[keep]]
-        best = np.lexsort((ids, -cos))[:k]
-        ids, cos = ids[best], cos[best]
-    return ids, cos
+    """:func:`nearest_of` one text."""
+    return nearest_of(ix, np.zeros(len(term), np.int64), term, weight, 1, k, np.array([skip]))[0]
 
 
 def vote(ix: Index, ids: np.ndarray, cos: np.ndarray) -> float:
@@ -158,17 +214,28 @@ def vote(ix: Index, ids: np.ndarray, cos: np.ndarray) -> float:
     return float(((w * ix.label[ids]).sum() + ix.none) / (w.sum() + 1.0))
 
 
-def votes(ix: Index, texts: list[bytes], skip: bool = False) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Vote of each text, and its nearest examples with their cosines."""
-    doc, term, count = known_terms(texts, ix.terms)
-    weight = unit_rows(doc, term, count, ix.idf, len(texts))
-    out, evidence = np.full(len(texts), ix.none), [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-    at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for d in np.flatnonzero(np.diff(at)).tolist():
-        rows = slice(at[d], at[d + 1])
-        evidence[d] = nearest(ix, term[rows], weight[rows], NEIGHBOURS, d if skip else -1)
-        out[d] = vote(ix, *evidence[d])
-    return out, evidence
+def votes_of(
+    ix: Index, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, skip: bool = False
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Vote of each text, and its nearest examples with their cosines. With ``skip`` the texts are
+    the first examples, and what an example adds to the weights of its own terms is taken out."""
+    evidence = []
+    at = np.searchsorted(doc, np.arange(0, n + SLICE, SLICE))
+    for k, a in enumerate(range(0, n, SLICE)):
+        rows, m = slice(at[k], at[k + 1]), min(SLICE, n - a)
+        d, t = doc[rows] - a, term[rows]
+        weight = (1 + np.log(count[rows])) * ix.idf[t]
+        if skip:
+            own = association(ix.df[t] - 1, ix.toxic[t] - ix.label[doc[rows]], ix.label)
+            weight = np.where(ix.df[t] > 1, weight / ix.idf[t] * ix.rarity[t] * own, 0.0)
+        mine = np.arange(a, a + m) if skip else None
+        evidence += nearest_of(ix, d, t, unit(weight, d, m), m, NEIGHBOURS, mine)
+    return np.array([vote(ix, *e) for e in evidence]), evidence
+
+
+def votes(ix: Index, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """:func:`votes_of` texts."""
+    return votes_of(ix, *known_terms(texts, ix.terms), len(texts))
 
 
 def calibrate(ix: Index, raw: np.ndarray, label: np.ndarray) -> None:
@@ -200,34 +267,47 @@ def scores(ix: Index, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.nda
     return np.clip(0.98 * np.interp(raw, ix.raw, ix.fitted) + 0.02 * raw, 0, 1), evidence
 
 
-def fit(texts: list[bytes], label: np.ndarray) -> Index:
-    """Model of some labelled texts: vocabulary, index and calibration."""
-    n, seen = len(texts), []
-    rough = np.zeros(1 << 22, np.int32)  # documents per hash slot: most terms occur once and are left out by it
-    slot = np.uint64(len(rough) - 1)
-    for a in range(0, n, 100):
-        rough += np.bincount((terms_of(texts[a : a + 100])[1] & slot).astype(np.int64), minlength=len(rough)).astype(np.int32)
-    for a in range(0, n, 100):
-        doc, term, _ = terms_of(texts[a : a + 100])
-        often = rough[(term & slot).astype(np.int64)] >= LEAST_DOCS
-        terms, inverse = np.unique(term[often], return_inverse=True)
-        seen.append((terms, np.bincount(inverse), np.bincount(inverse, weights=label[a : a + 100][doc[often]])))
-    if seen:
-        term, df, toxic = (np.concatenate(x) for x in zip(*seen, strict=True))
-        term, inverse = np.unique(term, return_inverse=True)
-        df, toxic = np.bincount(inverse, weights=df), np.bincount(inverse, weights=toxic)
-        p = label.mean()
-        z = np.abs(toxic - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
-        good = np.flatnonzero((df >= LEAST_DOCS) & (z >= LEAST_Z))
-        good = good[np.lexsort((term[good], -z[good]))][:TERMS]
-        term = np.sort(term[good])
-    else:
-        term = np.zeros(0, np.uint64)
-    ix = build_index(texts, label, term)
-    calibrate(ix, votes(ix, texts[:CALIBRATION], skip=True)[0], label[:CALIBRATION])
+def fit(
+    doc: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, terms: np.ndarray, rarity: np.ndarray | None = None
+) -> Index:
+    """Index of examples by their terms, calibrated on all of them."""
+    ix = index_of(doc, term, count, label, terms, rarity)
+    calibrate(ix, votes_of(ix, doc, term, count, len(label), skip=True)[0], label)
     return ix
 
 
+def rarity_of(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of the terms over all rows of ``texts``."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        n, df = 0, np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            n += b.num_rows
+            for held in text_batches(b.column(0)):
+                df += np.bincount(terms_of(held, shared.value)[1].astype(np.int64), minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], ["term", "n"])
+
+    got = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row per term
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[got["term"].to_numpy() + 1] = got["n"].to_numpy()
+    return np.log((1 + df[0]) / (1 + df[1:])) + 1
+
+
+def text_batches(column):
+    """Texts of a column as bytes, in pieces of bounded size."""
+    held, total = [], 0
+    for v in column:
+        held.append((v.as_py() or "").encode())
+        total += len(held[-1])
+        if total >= CHUNK_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def held_out(id_col) -> F.Column:
     return F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 3 == 1
 
@@ -246,8 +326,8 @@ def score_toxicity(
 
     The model is fitted on at most ``examples`` labelled rows, those with the
     least hash of the id among rows that are not held out (crc32 of the id as
-    text is 1 modulo 3). ``evidence`` holds the nearest examples with
-    their cosines.
+    text is 1 modulo 3); calibration sees all of them. ``evidence`` holds the
+    nearest examples with their cosines.
 
     Null and empty texts and texts without a known term get the share of toxic
     examples without one. Null labels and ids are no examples; an id with
@@ -256,6 +336,7 @@ def score_toxicity(
     no rows.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     chosen = (
         labels.filter(labels[id_col].isNotNull() & labels[label_col].isNotNull())
         .filter(~held_out(labels[id_col]))
@@ -264,20 +345,39 @@ def score_toxicity(
         .orderBy(F.xxhash64("key"), "key")
         .limit(examples)
     )
+    def example_terms(batches):
+        for b in batches:
+            got = [terms_of([(t.as_py() or "").encode()]) for t in b.column(2)]
+            terms, counts = ([g[i].tobytes() for g in got] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(3), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
+                ["key", "label", "h", "terms", "counts"],
+            )
+
     rows = (
         docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
         .join(F.broadcast(chosen), "key")  # at most ``examples`` rows
         .dropDuplicates(["key"])
-        .orderBy(F.xxhash64("key"), "key")
+        .select("key", "label", "text", F.xxhash64("key").alias("h"))
+        .mapInArrow(example_terms, f"key {kind}, label int, h long, terms binary, counts binary")
         .toPandas()
+        .sort_values(["h", "key"], ignore_index=True)
     )
-    texts = [(t or "").encode() for t in rows["text"]]
-    ix = fit(texts, rows["label"].to_numpy(np.float64)) if len(texts) else None
-    shared = spark.sparkContext.broadcast((vars(ix) if ix else None, rows["key"].tolist()))  # bounded by ``examples``
+    ix = None
+    if len(rows):
+        size = [len(t) // 8 for t in rows["terms"]]
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+        terms, term = np.unique(np.frombuffer(b"".join(rows.pop("terms")), np.uint64), return_inverse=True)
+        count = np.frombuffer(b"".join(rows.pop("counts")), np.int64).astype(np.int32)
+        rarity = rarity_of(docs.select(docs[text_col]), terms)
+        ix = fit(doc, term.astype(np.int32), count, rows["label"].to_numpy(np.float64), terms, rarity)
+    shared = spark.sparkContext.broadcast((vars(ix) | {"dense": None} if ix else None, rows["key"].tolist()))  # bounded by ``examples``
 
     def run(batches):
         parts, names = shared.value
         model = Index(**parts) if parts else None
+        if model is not None:
+            parts["dense"] = common_terms(model)  # for later tasks of this process
         for b in batches:
             out, evidence = np.full(b.num_rows, 0.5), [[]] * b.num_rows
             held, begin, total = [], 0, 0
@@ -296,7 +396,6 @@ def score_toxicity(
             got = pa.array(evidence, pa.list_(pa.struct([("example", b.column(0).type), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), got], ["id", "score", "evidence"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     got = docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, score double, evidence array<struct<example: {kind}, cosine: double>>")
     return got.select(
         F.col("id").alias(id_col),

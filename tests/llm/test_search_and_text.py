@@ -208,3 +208,21 @@ def test_best_fit(window):
     for w, free in enumerate(range(1, window + 1)):
         f.put(w, free)
     assert f.take(1) == (0, 1) and f.take(window) == ((window - 1, window) if window > 1 else None)
+
+
+def test_toxicity_of_terms_in_few_examples(spark):
+    """Toxic wording that only two examples have, and every clean text shares words with examples."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    docs, labels = toxic_rows(2, 300)
+    fit = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 3 == 1][:3]
+    docs += [(i, " ".join([rng.choice(vocab), "zwarblet quoxinder murgatroy", rng.choice(vocab)])) for i in fit + held]
+    docs += [(2000, " ".join(docs[1][1].split()[:4]))]
+    got = toxicity.score_toxicity(
+        fx.frame(spark, docs), spark.createDataFrame(labels + [(i, 1, 1) for i in fit], "doc_id long, quality int, toxic int")
+    )
+    by = {r["doc_id"]: r for r in got.collect()}
+    for i in held:
+        assert {e["example"] for e in by[i]["evidence"][:2]} == set(fit) and by[i]["predicted"] == 1
+    assert by[2000]["evidence"] and by[2000]["predicted"] == 0
