@@ -2,7 +2,7 @@
 
 Both halves of a vector are quantised on their own; a cell is a pair of
 centroids. A query walks the pairs by rising summed distance with a heap until
-its cells hold enough entries, and the entries are reranked by exact distance.
+its cells hold enough distinct vectors, and the entries are reranked by exact distance.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def walk(left: np.ndarray, right: np.ndarray, count: np.ndarray, enough: int) -> np.ndarray:
-    """Cells in order of ``left[i] + right[j]`` until they hold ``enough`` entries."""
+    """Cells in order of ``left[i] + right[j]`` until their ``count`` reaches ``enough``."""
     a, b = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
     x, y, width = left[a].tolist(), right[b].tolist(), len(right)
     held = count.reshape(-1, width)[a][:, b].tolist()
@@ -88,8 +88,8 @@ def search(
     double precision), ties to the smaller id. A row is no neighbour of the
     query with its id. Codebooks are fitted on at most ``sample`` vectors, the
     rows with the least hash; every row is indexed. A query looks at cells with
-    ``enough`` entries in all, or ``share`` of all entries if that is more; with
-    no more than ``enough`` entries the search is exact.
+    ``enough`` distinct vectors in all, or ``share`` of the distinct vectors if that is
+    more, with all their copies; with no more than ``enough`` of them the search is exact.
 
     Rows with a null id, and vectors that are null, all zero, hold null or
     non-finite components or have another length than most take no part, as
@@ -137,13 +137,14 @@ def search(
     def assign(batches):
         for b in batches:
             cell = pa.array(cells(rows_of(b.column(1))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, cell], ["id", "v", "cell"])
-
-    index = stored(entries.select("id", "v").mapInArrow(assign, "id long, v array<double>, cell int"), "index")
-    count = np.zeros(len(books[0]) * width, np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most MAX_CENTROIDS squared
-        count[r["cell"]] = r["count"]
-    parts = np.maximum(-(-count // CHUNK), 1)  # a large cell is spread over several buckets
+            yield pa.RecordBatch.from_arrays([*b.columns, cell], ["id", "v", "copy", "cell"])
+
+    index = stored(entries.mapInArrow(assign, "id long, v array<double>, copy int, cell int"), "index")
+    count, held = np.zeros((2, len(books[0]) * width), np.int64)  # distinct vectors, which end the walk, and entries
+    sizes = index.groupBy("cell").agg(F.count_if(F.col("copy") == 1).alias("n"), F.count("*").alias("held"))
+    for r in sizes.collect():  # at most MAX_CENTROIDS squared
+        count[r["cell"]], held[r["cell"]] = r["n"], r["held"]
+    parts = np.maximum(-(-held // CHUNK), 1)  # a large cell is spread over several buckets
     look_at = int(max(enough, share * n))
     buckets = parts_for(n * dim * 8, 4 << 20)
 
@@ -199,7 +200,7 @@ def search(
     visits = clean(queries).filter(F.size("v") == dim).repartition(tasks, "id").mapInArrow(
         visit, "bucket int, query long, q array<double>, cells binary"
     )
-    placed = index.mapInArrow(place, "bucket int, id long, v array<double>, cell int")
+    placed = index.select("id", "v", "cell").mapInArrow(place, "bucket int, id long, v array<double>, cell int")
     near = (
         visits.repartition(buckets, "bucket").groupBy("bucket")
         .cogroup(placed.repartition(buckets, "bucket").groupBy("bucket"))

@@ -55,6 +55,26 @@ def test_search_recall_with_part_of_the_cells(spark):
     assert hits >= 0.9 * len(got) and len(got) == 31 * 10
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_search_looks_at_its_share_when_vectors_have_copies(spark, copies):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    rows = [(i + 2000 * c, v.tolist(), 0, "r") for i, v in enumerate(x) for c in range(copies)]
+    df = spark.createDataFrame(rows, VECTORS)
+    once = multi_index.search(df.filter("vec_id < 2000"), df.filter("vec_id < 2000 and vec_id % 50 = 0"), k=20, enough=1, share=0.3)
+    got = multi_index.search(df, df.filter("vec_id < 2000 and vec_id % 50 = 0"), k=20, enough=1, share=0.3)
+
+    def recall(found, n):
+        hits = 0
+        for r in found.collect():
+            d = np.sqrt(((x - x[r["query_id"]]) ** 2).sum(axis=1))
+            others = np.sort(np.r_[np.repeat(d, n)])[1:21]  # without the query itself
+            hits += r["score"] <= others[-1] + 1e-9
+        return hits / (40 * 20)
+
+    assert recall(got, copies) >= recall(once, 1) - 0.01
+
+
 def test_walk_visits_cells_by_rising_sum():
     rng = np.random.default_rng(1)
     left, right = rng.random(7), rng.random(5)
