@@ -2,7 +2,8 @@
 
 First pass: each block of text is good, bad or ambiguous by its place, length,
 share of linked characters and share of stop words. Second pass: ambiguous
-short blocks take the label of the nearest decided neighbours.
+blocks, first the long and then the short ones, take the label of the nearest
+decided neighbours.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200  # characters
-STOP_LOW, STOP_HIGH = 0.30, 0.32  # share of words
 LINKS_BODY, LINKS_ARTICLE = 0.2, 0.5  # share of characters inside links
-# Frequent words of four languages.
-STOP_WORDS = frozenset(
-    """the of and to in a is that it for was on are as with be at by this have from or an they which you were
-    there has more not but all one can had their what will when who if no so he she we my his her its
-    le la les de des du un une et est en que qui dans pour pas sur au aux par avec il elle ce se ne plus son sa
-    der die das den dem des ein eine einer und ist in zu von mit auf für nicht sich als auch es an im werden
-    el los las una uno y que del al es por con para su no se lo como más o pero sus""".split()
-)
+# Frequent words of four languages, and the shares of words that make a block near good and good: shorter lists reach less.
+LANGUAGES = (
+    (
+        """the of and to in a is that it for was on are as with be at by this have from or an they which you were
+        there has more not but all one can had their what will when who if no so he she we my his her its""",
+        0.30, 0.32,
+    ),
+    ("le la les de des du un une et est en que qui dans pour pas sur au aux par avec il elle ce se ne plus son sa", 0.20, 0.22),
+    ("der die das den dem des ein eine einer und ist in zu von mit auf für nicht sich als auch es an im werden", 0.18, 0.20),
+    ("el los las una uno y que del al es por con para su no se lo como más o pero sus de la en un a", 0.20, 0.22),
+)
+STOP_LISTS = tuple((frozenset(words.split()), low, high) for words, low, high in LANGUAGES)
+STOP_WORDS = frozenset().union(*(words for words, _, _ in STOP_LISTS))
+STOP_LISTED = 0.08  # with a lower share on the whole page its language is taken to have no list
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
 INLINE = frozenset(
     """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span
@@ -165,68 +171,106 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block, has_article: bool) -> str:
-    """good, bad or short (ambiguous)."""
-    n = len(b.text)
-    if b.bad or (has_article and not b.article):
-        return "bad"
-    density = b.linked / n
-    if b.article:
-        if density > LINKS_ARTICLE:
-            return "bad"
-        return "good" if n >= LENGTH_LOW else "short"
-    if density > LINKS_BODY:
-        return "bad"
-    if n < LENGTH_LOW:
-        return "bad" if density > 0 else "short"
-    words = b.text.lower().split()
-    stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-    if stop >= STOP_HIGH or (stop >= STOP_LOW and n > LENGTH_HIGH):
-        return "good" if n > LENGTH_HIGH else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+def words_of(text: str) -> list[str]:
+    return [w.strip(".,;:!?()\"'") for w in text.lower().split()]
+
+
+def stop_level(words: list[str]) -> int:
+    """2 for many stop words of some language, 1 for nearly as many, else 0."""
+    best = 0
+    for stops, low, high in STOP_LISTS:
+        share = sum(w in stops for w in words) / len(words)
+        best = max(best, 2 if share >= high else int(share >= low))
+    return best
+
+
+def first_pass(blocks: list[Block]) -> list[str]:
+    """good, bad, near (ambiguous, long) or short (ambiguous) for each block.
+
+    Length, links and stop words decide inside and outside articles; place
+    shifts the limits. Few stop words alone make no block bad, and on a page in
+    a language without a list they say nothing.
+    """
+    words = [[] if b.bad or len(b.text) < LENGTH_LOW or b.linked > LINKS_BODY * len(b.text) else words_of(b.text) for b in blocks]
+    total = sum(map(len, words))
+    listed = sum(w in STOP_WORDS for ws in words for w in ws) >= STOP_LISTED * total
+    inside = sum(len(w) for w, b in zip(words, blocks, strict=True) if b.article)
+    elsewhere = inside > 0 and 2 * inside >= total  # articles hold most of the text: what is outside is less likely
+    labels = []
+    for b, ws in zip(blocks, words, strict=True):
+        n, density = len(b.text), b.linked / len(b.text)
+        if b.bad or density > (LINKS_ARTICLE if b.article else LINKS_BODY):
+            labels.append("bad")
+        elif n < LENGTH_LOW:
+            labels.append("bad" if density > 0 and not b.article else "short")
+        else:
+            level = stop_level(ws or words_of(b.text)) if listed else 0 if elsewhere and not b.article else 2
+            if b.article:
+                labels.append("good" if level else "near")
+            else:
+                labels.append("good" if n > LENGTH_HIGH and level == 2 or n > LENGTH_HIGH and level and not elsewhere else "near")
+    return labels
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
-    """Which blocks are main text. Ambiguous ones look left and right inside their article (or page).
+    """Which blocks are main text. Ambiguous ones look left and right inside their article (or outside of all).
 
-    Furniture around an article decides nothing inside it. Of equally near
-    neighbours that differ, one in the same container decides; otherwise a
-    near-good block is good and a short one bad. With
-    no decided neighbour a block of an article is good, and one of a page
-    without any good block too.
+    Furniture around an article decides nothing inside it, and furniture
+    nothing about a long block. Of equally near neighbours that differ, one in
+    the same container decides; otherwise a long block is good and a short one
+    bad. With no decided neighbour a block of an article is good, and one of a
+    page without any good block too; so is a long block where nothing else is
+    good, unless articles hold most of the text and it is outside.
     """
-    keep = [x == "good" for x in labels]
-    any_good = any(keep)
-    for i, b in enumerate(blocks):
-        if labels[i] not in ("short", "near"):
-            continue
-        found: list[tuple[int, str, bool]] = []
+    labels = list(labels)
+    has_article = any(b.article and not b.bad for b in blocks)
+    weight = [len(b.text) if x in ("good", "near") else 0 for b, x in zip(blocks, labels, strict=True)]
+    inside = sum(w for w, b in zip(weight, blocks, strict=True) if b.article)
+    elsewhere = inside > 0 and 2 * inside >= sum(weight)
+
+    def sides(i: int) -> set[str]:
+        b, found = blocks[i], []
         for step in (-1, 1):
             j = i + step
             while 0 <= j < len(blocks) and (not b.article or blocks[j].article == b.article):
-                if labels[j] in ("good", "bad") and not (b.article and blocks[j].bad):
+                mine = not has_article or blocks[j].article == b.article
+                furniture = blocks[j].bad and (b.article or labels[i] == "near")
+                if labels[j] in ("good", "bad") and mine and not furniture:
                     found.append((abs(j - i), labels[j], blocks[j].home == b.home))
                     break
                 j += step
-        if not found:
-            keep[i] = bool(b.article) or not any_good
-            continue
-        near = min(f[0] for f in found)
-        sides = {f[1] for f in found if f[0] == near}
-        if len(sides) == 2:
-            sides = {f[1] for f in found if f[2]} or sides
-        keep[i] = sides == {"good"} or (len(sides) == 2 and labels[i] == "near") or (not any_good and not b.article)
-        if labels[i] == "near" and not any_good:
-            keep[i] = True
-    return keep
+        near = min((f[0] for f in found), default=0)
+        got = {f[1] for f in found if f[0] == near}
+        if len(got) == 2:
+            got = {f[1] for f in found if f[2]} or got
+        return got
+
+    for kind in ("near", "short"):
+        any_good = "good" in labels
+        good_in = {b.article for b, x in zip(blocks, labels, strict=True) if x == "good"}
+        new = {}
+        for i, b in enumerate(blocks):
+            if labels[i] != kind:
+                continue
+            got = sides(i)
+            if kind == "near":
+                alone = b.article not in good_in and (b.article or not elsewhere)
+                keep = "good" in got or bool(alone) or (not got and bool(b.article))
+            elif not got:
+                keep = bool(b.article) or not any_good
+            else:
+                keep = got == {"good"} or (not any_good and not b.article)
+            new[i] = "good" if keep else "bad"
+        for i, x in new.items():
+            labels[i] = x
+    return [x == "good" for x in labels]
 
 
 def main_text(page: str | None) -> str:
     """Main text of one page; empty for null, empty and text-free pages."""
     blocks = blocks_of(page or "")
-    has_article = any(b.article and not b.bad for b in blocks)
-    labels = [first_pass(b, has_article) for b in blocks]
-    return " ".join(b.text for b, keep in zip(blocks, second_pass(blocks, labels), strict=True) if keep)
+    keep = second_pass(blocks, first_pass(blocks))
+    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:

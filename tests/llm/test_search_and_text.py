@@ -114,6 +114,30 @@ def test_html_short_blocks_take_the_label_of_their_neighbours():
     assert main_text(page) == " ".join(["Head", long.strip(), "Short one.", long.strip()])
 
 
+FINNISH = "Kaupunginvaltuusto päätti maanantaina uuden kirjaston rakentamisesta keskustaan, vaikka osa valtuutetuista vastusti hanketta. "
+DENSE = "Parliament approved new library construction downtown on Monday, though several councillors opposed spending plans. "
+
+
+def test_html_text_in_a_div_beside_a_teaser_article():
+    good = "This is the text of the story and it is long and it has a lot of the words that are in it. " * 3
+    for text in (good.strip(), (FINNISH * 2).strip(), (DENSE * 2).strip(), DENSE.strip()):
+        page = f"<nav><a href=1>Home</a></nav><article><h2><a href=2>Teaser</a></h2></article><div><p>{text}</p><p>{text}</p></div><footer>F</footer>"
+        assert main_text(page).count(text) == 2, text
+    page = f"<article><p>{good}</p><p>{good}</p></article><div>Registered office: Examplestreet 5, 12345 Exampletown, company number 998877, tax 1234567.</div>"
+    assert main_text(page) == f"{good.strip()} {good.strip()}"
+
+
+def test_html_long_blocks_with_few_stop_words():
+    for text in (FINNISH.strip(), (FINNISH * 2).strip(), DENSE.strip(), (DENSE * 2).strip()):
+        page = f"<nav><a href=1>Home</a></nav><div><h1>Head</h1><p>{text}</p><p>{text}</p></div><footer>All rights reserved</footer>"
+        assert main_text(page).count(text) == 2, text
+        assert main_text(f"<article><p><a href=1>x y z</a></p><p>{text}</p></article>").endswith(text)
+    good = "This is the text of the story and it is long and it has a lot of the words that are in it. " * 3
+    assert DENSE.strip() in main_text(f"<div><p>{good}</p><p>{DENSE}</p><p>{good}</p></div>")
+    links = "<p>" + "".join(f"<a href={i}>A link to some other page</a> " for i in range(9)) + "</p>"
+    assert "link" not in main_text(f"<div>{links}<p>{good}</p>{links}</div>")
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = extract(df)
