@@ -26,8 +26,9 @@ BEGINNINGS = (4, 5, 6, 7, 8, 10)  # bytes of word beginnings that are terms of t
 NEIGHBOURS = 25
 BLOCK = 64  # examples in a block of the index
 EVIDENCE = 5  # nearest examples reported
-COMMON = 2048  # terms with the longest postings, kept as columns
+COMMON = 1024  # terms with the longest postings, kept as columns
 SLICE = 128  # texts searched together
+STEP = 4  # texts whose postings are added up together
 ROUNDING = 2e-6  # cosines nearer than this count as equal
 CHUNK_BYTES = 1 << 20
 LETTER = np.zeros(256, bool)
@@ -129,7 +130,11 @@ def index_of(  # rows by document
         rarity = np.log((1 + n) / (1 + df)) + 1
     share = label.mean() if n else 0.0
     idf = rarity * association(df, toxic, label)
-    weight = unit_rows(doc, term, count, idf, n).astype(np.float32)
+    weight = np.empty(len(term), np.float32)
+    edge = np.searchsorted(doc, np.arange(0, n + 200, 200))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):  # few at a time: the driver's memory
+        if b > a:
+            weight[a:b] = unit_rows(doc[a:b] - doc[a], term[a:b], count[a:b], idf, int(doc[b - 1] - doc[a]) + 1)
     order = np.argsort(term, kind="stable")
     empty = np.ones(n, bool)
     empty[doc] = False
@@ -170,11 +175,16 @@ def nearest_of(
     q[doc[hot >= 0], hot[hot >= 0]] = weight[hot >= 0]
     cold = hot < 0
     t, d, w = term[cold], doc[cold], weight[cold]
-    size = ix.df[t]
-    at = np.arange(size.sum()) + np.repeat(ix.begin[t] - np.cumsum(size) + size, size)
-    part = ix.weight[at] * np.repeat(w, size)
-    rest = np.bincount(ix.example[at] + np.repeat(d * width, size), weights=part, minlength=n * width)
-    rest = rest.astype(np.float32).reshape(n, -1, BLOCK)
+    rest = np.zeros((n, width), np.float32)
+    edge = np.searchsorted(d, np.arange(0, n + STEP, STEP))
+    for k_, a in enumerate(range(0, n, STEP)):
+        rows, m = slice(edge[k_], edge[k_ + 1]), min(STEP, n - a)
+        size, begin = ix.df[t[rows]], ix.begin[t[rows]]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        place = ix.example[at] + np.repeat((d[rows] - a) * width, size)
+        part = ix.weight[at] * np.repeat(w[rows], size)
+        rest[a : a + m] = np.bincount(place, weights=part, minlength=m * width).reshape(m, width)
+    rest = rest.reshape(n, -1, BLOCK)
     bound = rest.max(axis=2) + q @ block_max
     score = np.zeros_like(rest)
     flat = score.reshape(n, width)
@@ -348,7 +358,7 @@ def score_toxicity(
     def example_terms(batches):
         for b in batches:
             got = [terms_of([(t.as_py() or "").encode()]) for t in b.column(2)]
-            terms, counts = ([g[i].tobytes() for g in got] for i in (1, 2))
+            terms, counts = [g[1].tobytes() for g in got], [g[2].astype(np.int32).tobytes() for g in got]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
                 ["key", "label", "h", "terms", "counts"],
@@ -367,10 +377,15 @@ def score_toxicity(
     if len(rows):
         size = [len(t) // 8 for t in rows["terms"]]
         doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-        terms, term = np.unique(np.frombuffer(b"".join(rows.pop("terms")), np.uint64), return_inverse=True)
-        count = np.frombuffer(b"".join(rows.pop("counts")), np.int64).astype(np.int32)
+        hashes = np.frombuffer(b"".join(rows.pop("terms")), np.uint64)
+        terms = np.unique(hashes)
+        term = np.empty(len(hashes), np.int32)
+        for a in range(0, len(hashes), 1 << 18):
+            term[a : a + (1 << 18)] = np.searchsorted(terms, hashes[a : a + (1 << 18)])
+        del hashes
+        count = np.frombuffer(b"".join(rows.pop("counts")), np.int32)
         rarity = rarity_of(docs.select(docs[text_col]), terms)
-        ix = fit(doc, term.astype(np.int32), count, rows["label"].to_numpy(np.float64), terms, rarity)
+        ix = fit(doc, term, count, rows["label"].to_numpy(np.float64), terms, rarity)
     shared = spark.sparkContext.broadcast((vars(ix) | {"dense": None} if ix else None, rows["key"].tolist()))  # bounded by ``examples``
 
     def run(batches):
