@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +125,18 @@ def index_of(  # rows by document
     doc: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, terms: np.ndarray, rarity: np.ndarray | None = None
 ) -> Index:
     n, v = len(label), len(terms)
-    df = np.bincount(term, minlength=v)
-    toxic = np.bincount(term, weights=label[doc], minlength=v)
+    df, toxic = np.zeros(v, np.int64), np.zeros(v)
+    edge = np.searchsorted(doc, np.arange(0, n + 500, 500))
+    for a, b in zip(edge[:-1], edge[1:], strict=True):  # few at a time: the driver's memory
+        df += np.bincount(term[a:b], minlength=v)
+        toxic += np.bincount(term[a:b], weights=label[doc[a:b]], minlength=v)
     if rarity is None:
         rarity = np.log((1 + n) / (1 + df)) + 1
     share = label.mean() if n else 0.0
     idf = rarity * association(df, toxic, label)
     weight = np.empty(len(term), np.float32)
     edge = np.searchsorted(doc, np.arange(0, n + 200, 200))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):  # few at a time: the driver's memory
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
         if b > a:
             weight[a:b] = unit_rows(doc[a:b] - doc[a], term[a:b], count[a:b], idf, int(doc[b - 1] - doc[a]) + 1)
     order = np.argsort(term, kind="stable")
@@ -305,6 +309,11 @@ def rarity_of(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
     return np.log((1 + df[0]) / (1 + df[1:])) + 1
 
 
+def flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Numbers of all rows of a binary column."""
+    return np.concatenate([np.zeros(0, kind)] + [np.frombuffer(b"".join(c.to_pylist()), kind) for c in column.chunks])
+
+
 def text_batches(column):
     """Texts of a column as bytes, in pieces of bounded size."""
     held, total = [], 0
@@ -370,23 +379,25 @@ def score_toxicity(
         .dropDuplicates(["key"])
         .select("key", "label", "text", F.xxhash64("key").alias("h"))
         .mapInArrow(example_terms, f"key {kind}, label int, h long, terms binary, counts binary")
-        .toPandas()
-        .sort_values(["h", "key"], ignore_index=True)
+        .toArrow()
     )
+    rows = rows.take(pc.sort_indices(rows.select(["h", "key"]), sort_keys=[("h", "ascending"), ("key", "ascending")]))
+    keys, label = rows.column("key").to_pylist(), rows.column("label").to_numpy().astype(np.float64)
     ix = None
-    if len(rows):
-        size = [len(t) // 8 for t in rows["terms"]]
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-        hashes = np.frombuffer(b"".join(rows.pop("terms")), np.uint64)
+    if len(keys):
+        doc = np.repeat(np.arange(len(keys), dtype=np.int32), pc.binary_length(rows.column("counts")).to_numpy() // 4)
+        hashes, count = flat(rows.column("terms"), np.uint64), flat(rows.column("counts"), np.int32)
+        del rows
+        pa.default_memory_pool().release_unused()
         terms = np.unique(hashes)
         term = np.empty(len(hashes), np.int32)
         for a in range(0, len(hashes), 1 << 18):
             term[a : a + (1 << 18)] = np.searchsorted(terms, hashes[a : a + (1 << 18)])
         del hashes
-        count = np.frombuffer(b"".join(rows.pop("counts")), np.int32)
         rarity = rarity_of(docs.select(docs[text_col]), terms)
-        ix = fit(doc, term, count, rows["label"].to_numpy(np.float64), terms, rarity)
-    shared = spark.sparkContext.broadcast((vars(ix) | {"dense": None} if ix else None, rows["key"].tolist()))  # bounded by ``examples``
+        ix = fit(doc, term, count, label, terms, rarity)
+        del doc, term, count
+    shared = spark.sparkContext.broadcast((vars(ix) | {"dense": None} if ix else None, keys))  # bounded by ``examples``
 
     def run(batches):
         parts, names = shared.value
