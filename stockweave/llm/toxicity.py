@@ -361,6 +361,7 @@ def score_toxicity(
         .filter(~held_out(labels[id_col]))
         .groupBy(labels[id_col].alias("key"))
         .agg(F.min(labels[label_col]).cast("int").alias("label"))
+        .join(docs.select(docs[id_col].alias("key")), "key", "left_semi")  # labels of other documents are no examples
         .orderBy(F.xxhash64("key"), "key")
         .limit(examples)
     )

@@ -270,3 +270,14 @@ def test_toxicity_of_terms_in_few_examples(spark):
     for i in held:
         assert {e["example"] for e in by[i]["evidence"][:2]} == set(fit) and by[i]["predicted"] == 1
     assert by[2000]["evidence"] and by[2000]["predicted"] == 0
+
+
+def test_toxicity_examples_are_labels_of_the_documents(spark):
+    docs, labels = toxic_rows(6, 300)
+    other = [(i, 1, 0) for i in range(10_000, 13_000)]
+    schema = "doc_id long, quality int, toxic int"
+    a = toxicity.score_toxicity(fx.frame(spark, docs), spark.createDataFrame(labels + other, schema), examples=100).collect()
+    b = toxicity.score_toxicity(fx.frame(spark, docs), spark.createDataFrame(labels, schema), examples=100).collect()
+    score = {r["doc_id"]: r["score"] for r in b}
+    assert {r["doc_id"]: r["score"] for r in a} == pytest.approx(score)
+    assert sum(r["predicted"] for r in a) > 0
