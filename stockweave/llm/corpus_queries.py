@@ -14,6 +14,7 @@ from stockweave.llm.ngram_join import near_duplicates
 from stockweave.llm.packing import pack
 from stockweave.llm.quality import score_quality
 from stockweave.llm.sharding import shard_by_bytes
+from stockweave.llm.whitening import whiten
 
 
 @query("op1_phrase_dedup")
@@ -128,3 +129,8 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents")).select("doc_id", "quality", "good")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"))
