@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import phrase_dedup, suffix_dedup
+from stockweave.llm import mixing, phrase_dedup, suffix_dedup
 from stockweave.llm.common import query, table
 from stockweave.llm.decontamination import contamination
 from stockweave.llm.html_extract import extract
@@ -134,3 +134,8 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_whitening")
 def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_mixing", mixing.statement())
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken(table(spark, sf, "documents"))
