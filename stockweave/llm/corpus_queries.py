@@ -14,6 +14,7 @@ from stockweave.llm.ngram_join import near_duplicates
 from stockweave.llm.packing import pack
 from stockweave.llm.quality import score_quality
 from stockweave.llm.sharding import shard_by_bytes
+from stockweave.llm.token_alignment import aligned_documents
 from stockweave.llm.whitening import whiten
 
 
@@ -139,3 +140,13 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_mixing", mixing.statement())
 def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(table(spark, sf, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    first, second, ranks = map(
+        public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
+    )
+    return aligned_documents(table(spark, sf, "documents"), first, second, ranks)
