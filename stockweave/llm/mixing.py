@@ -25,7 +25,8 @@ from stockweave.llm.common import stored
 WORD = "[^\\x20\\x09-\\x0D]+"
 PRIME = 2147483647  # modulus of the random numbers
 ROUNDS = 16  # of the permutation
-BUCKET_ROWS = 20_000  # rows of a source that are numbered together, about
+BUCKET_ROWS = 1_000  # rows of a source that are numbered together, about
+TASK_SLOTS = 100_000  # slots that a task makes, about
 
 
 @dataclass
@@ -145,6 +146,7 @@ def slots(spark: SparkSession, sources: list[Source], shard_slots: int, seed: in
     counts = running(counts, "no", "bucket", ["shard"], F.col("n"), "first")
     inside = Window.partitionBy("shard").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("offset", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    counts = counts.repartition(max(1, n // TASK_SLOTS), "shard", "no")  # few small rows here, many slots next
     each = counts.select("shard", "no", "first", "offset", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     no, k = F.col("no"), F.col("first") + F.col("i")
     each = each.select("shard", (F.col("offset") + F.col("i")).alias("slot"), "no", k.alias("k"))
