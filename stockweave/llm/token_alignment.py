@@ -9,31 +9,24 @@ looked up.
 
 from __future__ import annotations
 
+import base64
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.llm.common import stored
-from stockweave.llm.packing import Encoder
+from stockweave.llm.packing import OTHER_SCRIPTS
+from stockweave.llm.seeds import take_spans
 
-KEPT = 60_000  # windows a task keeps, at most
-LONGEST = 64  # bytes of ids of a kept window, each side
+KEPT = 200_000  # windows a task keeps, at most; later ones are aligned each time
+LONGEST = 16  # ids of a kept window, each side
 SEND = 8 << 20  # bytes of groups that travel together, about
 PAIRS = 2_000_000  # counted id pairs that are broadcast, at most (about 100 bytes each there)
 
 
-def spelled_bytes() -> dict[str, int]:
-    """The bytes that the characters of a byte-level vocabulary stand for.
-
-    Printable Latin-1 characters stand for themselves, the other bytes, in
-    order, for the characters from 256 on.
-    """
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Side:
     """Token bytes, lengths and space marks of a vocabulary by id."""
 
@@ -41,6 +34,59 @@ class Side:
         self.tokens = tokens
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.spaced = np.array([t[:1] == b" " for t in tokens])
+        width = len(str(len(tokens) - 1)) + 1
+        names = [str(i).encode().ljust(width, b"\0") for i in range(len(tokens))]
+        self.names = np.frombuffer(b"".join(names), np.uint8).reshape(-1, width)  # ids as text, with a place for a mark
+        self.end = (self.names > 0).sum(axis=1)
+
+
+class ByteLevel:
+    """Ids of a byte-level tokenizer file, special strings as plain text, and the bytes of its tokens.
+
+    The rank file has the same vocabulary and is several times faster; it is
+    used for the scripts it was compared for. The tokenizer file is read when
+    a text needs it, or when there is no rank file.
+    """
+
+    def __init__(self, file: str, ranks: str | None):
+        self.file, self.fast, self.exact = file, None, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding(
+                "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
+            )
+            self.tokens = [b""] * (max(table.values()) + 2)
+            for token, i in table.items():
+                self.tokens[i] = token
+        else:
+            vocabulary, of = self.tokenizer().get_vocab(), self.spelled()
+            self.tokens = [b""] * (max(vocabulary.values()) + 1)
+            for token, i in vocabulary.items():
+                self.tokens[i] = bytes(of.get(c, 0) for c in token)
+
+    @staticmethod
+    def spelled() -> dict[str, int]:
+        """Bytes by the characters of the vocabulary: printable Latin-1 is itself, the others in order from 256 on."""
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+    def tokenizer(self):
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.file)
+            self.exact.encode_special_tokens = True
+        return self.exact
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast and (text.isascii() or not OTHER_SCRIPTS.search(text)):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer().encode(text, add_special_tokens=False).ids
 
 
 class Tokenizers:
@@ -49,15 +95,8 @@ class Tokenizers:
     def __init__(self, first: str, ranks: str | None, second: str):
         import sentencepiece
 
-        encoder = Encoder(first, ranks)
-        encoder.exact.encode_special_tokens, encoder.special = True, []
-        self.first_ids = encoder.ids
-        of, vocabulary = spelled_bytes(), encoder.exact.get_vocab()
-        spelled = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            plain = all(c in of for c in token)
-            spelled[i] = bytes(of[c] for c in token) if plain else token.encode()
-        self.first = Side(spelled)
+        encoder = ByteLevel(first, ranks)
+        self.first_ids, self.first = encoder.ids, Side(encoder.tokens)
         pieces = sentencepiece.SentencePieceProcessor(model_file=second)
         self.second_ids = lambda text: pieces.encode(text, num_threads=1)
         self.second = Side(
@@ -79,26 +118,11 @@ class Tokenizers:
         return a, b
 
 
-def aligned(a: list[int], b: list[int], first: list[int], second: list[int]) -> tuple[str, list[int]]:
-    """Groups of a window as text and its links: walk both sides to each shared end. Lengths by id; equal totals."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    x, y = first[a[0]], second[b[0]]
-    while True:
-        if x == y:
-            groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-            links.append(a[i] << 32 | b[j])
-            i, j = i + 1, j + 1
-            if i == len(a):
-                return ";".join(groups), links
-            i0, j0 = i, j
-            x, y = x + first[a[i]], y + second[b[j]]
-        elif x < y:
-            i += 1
-            x += first[a[i]]
-        else:
-            j += 1
-            y += second[b[j]]
+def shared_ends(first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
+    """From the token lengths of both sides: a byte for each token, 1 where it ends at a shared end."""
+    x, y = np.cumsum(first), np.cumsum(second)
+    at, to = np.searchsorted(y, x), np.searchsorted(x, y)
+    return (y[np.minimum(at, len(y) - 1)] == x).tobytes(), (x[np.minimum(to, len(x) - 1)] == y).tobytes()
 
 
 class Aligner:
@@ -106,40 +130,61 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.of = tokenizers
-        self.first, self.second = tokenizers.first.length.tolist(), tokenizers.second.length.tolist()
-        self.kept: dict[tuple[bytes, bytes], tuple[str, list[int]]] = {}
+        self.kept: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        self.same: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}  # one object for equal alignments
 
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers on both sides where windows begin, and the ends."""
-        ea, eb = np.cumsum(self.of.first.length[a]), np.cumsum(self.of.second.length[b])
-        ia, ib = np.flatnonzero(self.of.first.spaced[a][1:]) + 1, np.flatnonzero(self.of.second.spaced[b][1:]) + 1
-        at, to = ea[ia - 1], eb[ib - 1]
+        first, second = self.of.first, self.of.second
+        ia, ib = np.flatnonzero(first.spaced[a][1:]), np.flatnonzero(second.spaced[b][1:])
+        at, to = np.cumsum(first.length[a])[ia], np.cumsum(second.length[b])[ib]
         if not len(at) or not len(to):
-            return [0, len(a)], [0, len(b)]
+            return np.array([0, len(a)]), np.array([0, len(b)])
         k = np.minimum(np.searchsorted(to, at), len(to) - 1)
         shared = to[k] == at
-        return [0, *ia[shared].tolist(), len(a)], [0, *ib[k[shared]].tolist(), len(b)]
+        ends = lambda i, n: np.concatenate([[0], i + 1, [n]])
+        return ends(ia[shared], len(a)), ends(ib[k[shared]], len(b))
+
+    def new_windows(self, found: list, keys: list, a: np.ndarray, b: np.ndarray, ca: list[int], cb: list[int]) -> None:
+        """Align the windows that are not kept, end to end: both sides of a window are equally long."""
+        new = [n for n, got in enumerate(found) if got is None]
+        if not new:
+            return
+        starts, size_a, size_b = np.array(new), np.diff(ca)[new], np.diff(cb)[new]
+        own_a, own_b = take_spans(a, np.array(ca)[starts], size_a), take_spans(b, np.array(cb)[starts], size_b)
+        ends_a, ends_b = shared_ends(self.of.first.length[own_a], self.of.second.length[own_b])
+        i = j = 0
+        for n, p, q in zip(new, np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist()):
+            got = found[n] = ends_a[i:p], ends_b[j:q]
+            if p - i <= LONGEST and q - j <= LONGEST and len(self.kept) < KEPT:
+                self.kept[keys[n]] = self.same.setdefault(got, got)
+            i, j = p, q
 
     def align(self, a: list[int], b: list[int]) -> tuple[str, np.ndarray]:
         """Groups as text and a link (both ids in one number) for each."""
         x, y = np.array(a, np.int32), np.array(b, np.int32)
-        ca, cb = self.cuts(x, y)
-        raw_a, raw_b, kept = x.tobytes(), y.tobytes(), self.kept
-        groups, links = [], []
-        i, j = 0, 0
-        for p, q in zip(ca[1:], cb[1:]):
-            key = raw_a[4 * i : 4 * p], raw_b[4 * j : 4 * q]
-            got = kept.get(key)
-            if got is None:
-                got = aligned(a[i:p], b[j:q], self.first, self.second)
-                if len(key[0]) <= LONGEST and len(key[1]) <= LONGEST:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[key] = got
-            groups.append(got[0])
-            links += got[1]
-            i, j = p, q
-        return ";".join(groups), np.array(links, np.int64)
+        ca, cb = (c.tolist() for c in self.cuts(x, y))
+        raw_a, raw_b = x.tobytes(), y.tobytes()
+        keys = [(raw_a[4 * i : 4 * p], raw_b[4 * j : 4 * q]) for i, p, j, q in zip(ca, ca[1:], cb, cb[1:])]
+        found = list(map(self.kept.get, keys))
+        self.new_windows(found, keys, x, y, ca, cb)
+        ends_a = np.frombuffer(b"".join([f[0] for f in found]), np.uint8)
+        ends_b = np.frombuffer(b"".join([f[1] for f in found]), np.uint8)
+        return self.text(x, y, ends_a, ends_b), x[ends_a > 0].astype(np.int64) << 32 | y[ends_b > 0]
+
+    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+        """``a1,a2|b1;a3|b2``: ids in order of their groups, each followed by its mark."""
+        last_a, last_b = np.flatnonzero(ends_a) + 1, np.flatnonzero(ends_b) + 1
+        sizes_a, sizes_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+        at_a = np.arange(len(a)) + np.repeat(last_b - sizes_b, sizes_a)
+        at_b = np.arange(len(b)) + np.repeat(last_a, sizes_b)
+        first, second = self.of.first, self.of.second
+        out = np.zeros((len(a) + len(b), max(first.names.shape[1], second.names.shape[1])), np.uint8)
+        out[at_a, : first.names.shape[1]] = first.names[a]
+        out[at_b, : second.names.shape[1]] = second.names[b]
+        out[at_a, first.end[a]] = np.where(ends_a, ord("|"), ord(","))
+        out[at_b, second.end[b]] = np.where(ends_b, ord(";"), ord(","))
+        return out[out > 0].tobytes()[:-1].decode()
 
 
 def align(
@@ -165,6 +210,7 @@ def align(
 
     def run(batches):
         aligner = None
+        gc.disable()  # nothing here refers to itself, and scans of the kept windows take a tenth of the time
         for batch in batches:
             aligner = aligner or Aligner(Tokenizers(first, ranks, second))
             types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.large_string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
