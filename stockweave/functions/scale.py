@@ -123,6 +123,98 @@ def exact_percentiles(
     )
 
 
+def order_statistics(rows: DataFrame, ranks, cells: int = 256, few: int = 20_000) -> dict:
+    """Exact order statistics of ``v`` per ``key`` by counting, for a bounded number of keys.
+
+    ``ranks(n)`` gives the wanted ranks, from 1, of a key with ``n`` values;
+    the result is {key: {rank: value}}. Every pass counts the values in equal
+    cells of the open intervals of all keys and goes on with the cell that
+    holds the rank, until its values are equal or at most ``few`` rows are left
+    in all, which are fetched: nothing is sorted, and the driver holds ``cells``
+    numbers for each open interval. Null and NaN values
+    do not count; a key without values is absent.
+    """
+    spark = rows.sparkSession
+    v = F.col("v")
+    rows = rows.select("key", v.cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan(v))
+    first = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out: dict = {r["key"]: {} for r in first}
+    wanted = [(r["key"], rank, 0, r["lo"], r["hi"], r["n"]) for r in first for rank in sorted(set(ranks(r["n"])))]
+    all_rows = True
+    kind = rows.schema["key"].dataType.simpleString()
+    while wanted:
+        still = []
+        for key, rank, below, lo, hi, n in wanted:
+            if lo == hi:
+                out[key][rank] = lo
+            else:
+                still.append((key, rank, below, lo, hi, n))
+        if not still:
+            break
+        open_ = {(key, lo, hi): n for key, _, _, lo, hi, n in still}
+        left = sum(open_.values())
+        if left <= few and all_rows:
+            values: dict = {}
+            for r in rows.collect():
+                values.setdefault(r["key"], []).append(r["v"])
+            for key, rank, *_ in still:
+                out[key][rank] = sorted(values[key])[rank - 1]
+            break
+        all_rows = False
+        table = spark.createDataFrame(sorted(open_, key=str), f"_key {kind}, _lo double, _hi double")
+        inside = (F.col("key") == F.col("_key")) & v.between(F.col("_lo"), F.col("_hi"))
+        if left <= few:
+            values = {}
+            for r in rows.join(F.broadcast(table), inside).select("_key", "_lo", "_hi", "v").collect():
+                values.setdefault((r["_key"], r["_lo"], r["_hi"]), []).append(r["v"])
+            for key, rank, below, lo, hi, _ in still:
+                out[key][rank] = sorted(values[key, lo, hi])[rank - below - 1]
+            break
+        # scaled before subtracting: the width of an interval of doubles may not fit a double
+        share = (v / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        cell = F.least(F.floor(share * cells), F.lit(cells - 1))
+        counted = (
+            rows.join(F.broadcast(table), inside)
+            .groupBy("_key", "_lo", "_hi", cell.alias("cell"))
+            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
+        )
+        held: dict = {}
+        for r in sorted(counted, key=lambda r: r["cell"]):
+            held.setdefault((r["_key"], r["_lo"], r["_hi"]), []).append((r["n"], r["lo"], r["hi"]))
+        wanted = []
+        for key, rank, below, lo, hi, _ in still:
+            for n, a, b in held[key, lo, hi]:
+                if rank <= below + n:
+                    wanted.append((key, rank, below, a, b, n))
+                    break
+                below += n
+    return out
+
+
+def percentiles(df: DataFrame, columns: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Linear-interpolation percentiles of many columns, all columns counted in the same passes."""
+    probs = {c: [float(p) for p in ps] for c, ps in columns.items()}
+    every = sorted({p for ps in probs.values() for p in ps})
+
+    def ranks(n):
+        return [r for p in every for r in (int(p * (n - 1)) + 1, min(int(p * (n - 1)) + 2, n))]
+
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("v")) for c in probs])).alias("x"))
+    long = long.select("x.key", "x.v")
+    got = order_statistics(long, ranks)
+    counts = {r["key"]: r["n"] for r in long.filter("v is not null and not isnan(v)").groupBy("key").agg(F.count("*").alias("n")).collect()}
+
+    def at(c, p):
+        if c not in got:
+            return None
+        h = p * (counts[c] - 1)
+        lo = got[c][int(h) + 1]
+        return lo + (got[c][min(int(h) + 2, counts[c])] - lo) * (h - int(h))
+
+    return {c: [at(c, p) for p in ps] for c, ps in probs.items()}
+
+
 def one_value(df: DataFrame, col: str):
     """A one-row aggregate as a scalar subquery."""
     return df.select(col).scalar()

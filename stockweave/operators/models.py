@@ -1,8 +1,9 @@
 """Learned demand models on Spark ML: two stages, calibration, intervals.
 
-Gradient-boosted trees take the place of quantile and Huber boosting, which
-Spark ML lacks: quantities are learned on a log target with squared loss, and
-the Q10/Q90 band comes from split-conformal offsets of held-out residuals.
+Quantities are learned on a log target, with squared loss by Spark ML's boosted
+trees or with Huber loss by :mod:`boosting`. The Q10/Q90 band comes from pinball
+boosting, widened or narrowed by held-out rows so that it covers what it should;
+the folds of the cross-validation use constant split-conformal offsets.
 Thresholds, calibration, offsets and early stopping all use the last block of
 the training weeks, never the validation weeks.
 """
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.functions import weeks as wk
-from stockweave.functions.scale import exact_percentiles, join_stats
+from stockweave.functions.scale import exact_percentiles, join_stats, order_statistics
 from stockweave.operators import blending as bd
+from stockweave.operators import boosting as bo
 from stockweave.operators import features as ft
 from stockweave.operators import metrics as mt
+from stockweave.operators import recursion as rc
 from stockweave.schema import CATEGORY, CHANNEL, CHANNEL_INV, QTY, SELL_IN, SKU, WEEK
 from stockweave.session import cut_lineage, scratch_path
 
@@ -100,6 +103,44 @@ def quantity_regressor(rows: DataFrame, params: dict = FULL, early_stop: bool =
     ).fit(sold)
 
 
+@dataclass
+class TreeModel:
+    """Flat trees in the place of a fitted Spark ML regressor."""
+
+    trees: bo.Trees
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("reg_pred", self.trees.column())
+
+
+BOOST = {"rounds": 24, "depth": 4, "step": 0.15}
+
+
+def huber_regressor(rows: DataFrame, log_target: bool = True, settings: dict = BOOST) -> TreeModel:
+    """Stage 2 with Huber loss, whose bend is the 90 % point of absolute residuals of each round."""
+    label = F.log1p(QTY) if log_target else F.col(QTY)
+    return TreeModel(bo.boost(rows.filter(F.col(QTY) > 0), bo.Huber(), label, **settings))
+
+
+def quantile_bands(rows: DataFrame, settings: dict = BOOST) -> tuple[dict, dict]:
+    """Pinball-boosted 10 % and 90 % points of the log quantity of sold weeks, and each segment's widening.
+
+    The widening is the 80 % point of how far sold rows of the tuning block lie
+    outside the band (negative: inside), so that 80 % of them are covered. A
+    segment without such rows takes the pooled widening.
+    """
+    sold = rows.filter(F.col(QTY) > 0)
+    with ThreadPoolExecutor(2) as pool:
+        lo, hi = pool.map(lambda q: bo.boost(sold, bo.Pinball(q), F.log1p(QTY), **settings), (0.1, 0.9))
+    y = F.log1p(QTY)
+    tune = sold.filter("is_tune").withColumn("key", F.when(segment() == "regular", 0).otherwise(1))
+    tune = tune.select("key", F.greatest(lo.column() - y, y - hi.column()).alias("v"))
+    both = tune.select(F.explode(F.array("key", F.lit(2))).alias("key"), "v")
+    got = {k: next(iter(v.values())) for k, v in order_statistics(both, bo.quantile_rank(0.8)).items()}
+    wide = {name: got.get(k, got.get(2, 0.0)) for k, name in enumerate(("regular", "sparse"))}
+    return {"lo": lo, "hi": hi}, {name: (-w, w) for name, w in wide.items()}
+
+
 def with_probability(df: DataFrame, classifier, calibrator=None) -> DataFrame:
     out = classifier.transform(df).withColumn("raw_prob", vector_to_array("probability")[1])
     out = out.drop("rawPrediction", "probability", "clf_pred")
@@ -188,11 +229,22 @@ class TwoStage:
     pos_weight: float = 1.0
     offsets: dict = field(default_factory=lambda: {"regular": (0.0, 0.0), "sparse": (0.0, 0.0)})
     factors: dict = field(default_factory=lambda: {"regular": 1.0, "sparse": 1.0})
+    bands: dict = field(default_factory=dict)
+
+    def flat(self) -> rc.FlatTwoStage:
+        """The same model as arrays, for tasks."""
+        flat = {k: m.trees if isinstance(m, TreeModel) else bo.flatten(m) for k, m in self.regressors.items()}
+        calibrator = None
+        if self.calibrator is not None:
+            calibrator = self.calibrator.boundaries.toArray(), self.calibrator.predictions.toArray()
+        return rc.FlatTwoStage(
+            bo.flatten(self.classifier), flat, calibrator, self.threshold, self.offsets, self.factors, self.bands, SEGMENT_CUT
+        )
 
 
 def fit_two_stage(
     rows: DataFrame, params: dict = FULL, calibrate: bool = False, segmented: bool = False,
-    low: float = 0.01, high: float = 0.95,
+    low: float = 0.01, high: float = 0.95, bands: bool = False,
 ) -> TwoStage:
     """Fit on the early training weeks, tune on the flagged block."""
     classifier, weight = demand_classifier(rows, params)
@@ -205,7 +257,10 @@ def fit_two_stage(
     scored = with_quantity(with_probability(tune, classifier, calibrator), regressors)
     best = mt.youden_threshold(scored, "demand_prob", "label", low, high).first()
     m = TwoStage(classifier, regressors, calibrator, best["threshold"], weight)
-    m.offsets = conformal_offsets(scored)
+    if bands:
+        m.bands, m.offsets = quantile_bands(rows)
+    else:
+        m.offsets = conformal_offsets(scored)
     bias = bd.bias_factors(
         scored.select(
             F.col(QTY).alias("quantity_actual"), bd.from_log("log_qty").alias("forecast_q50"), "demand_prob"
@@ -226,8 +281,8 @@ def score(df: DataFrame, m: TwoStage, with_bias: bool = False) -> DataFrame:
     out = out.withColumns(
         {
             "quantity_hat": bd.from_log("log_qty") * factor,
-            "_lo": bd.from_log(F.col("log_qty") + lo),
-            "_hi": bd.from_log(F.col("log_qty") + hi),
+            "_lo": bd.from_log((m.bands["lo"].column() if m.bands else F.col("log_qty")) + lo),
+            "_hi": bd.from_log((m.bands["hi"].column() if m.bands else F.col("log_qty")) + hi),
         }
     )
     on = F.col("demand_prob") >= m.threshold

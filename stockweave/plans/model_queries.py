@@ -1,13 +1,13 @@
 """Learned models, and checks of what must hold of them."""
 
-import functools
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockweave.operators import boosting as bo
 from stockweave.operators import features as ft
 from stockweave.operators import metrics as mt
 from stockweave.operators import models as md
+from stockweave.operators import recursion as rc
 from stockweave.plans.registry import query
 from stockweave.schema import CATEGORY, CHANNEL_INV, QTY, SELL_IN, SKU, WEEK
 from stockweave.sources import tables as tb
@@ -15,31 +15,15 @@ from stockweave.sources import tables as tb
 HORIZON = 71
 
 
-def once(fn):
-    """Train once per session and folder: a query and its check share the fitted result."""
-    kept = {}
-
-    @functools.wraps(fn)
-    def call(spark, d, *args):
-        key = (spark.sparkContext.applicationId, d, *args)
-        if key not in kept:
-            kept[key] = fn(spark, d, *args)
-        return kept[key]
-
-    return call
-
-
 def _base(spark, d):
     return md.base_frame(tb.dense_table(spark, d, "coarse"))
 
 
-@once
 def _split(spark, d):
     frame = md.stored(md.model_frame(md.stored(_base(spark, d)), tb.CUTOFF_WEEK))
     return md.with_roles(frame, tb.CUTOFF_WEEK), frame.filter(F.col(WEEK).between(200101, 200113))
 
 
-@once
 def _cv(spark, d, segmented):
     return md.cross_validate(_base(spark, d), tb.FOLDS, segmented=segmented)
 
@@ -71,7 +55,7 @@ def l2(spark, d):
 @query("L3_quantity_regressor")
 def l3(spark, d):
     rows, val = _split(spark, d)
-    model = md.quantity_regressor(rows)
+    model = md.huber_regressor(rows)
     scored = md.with_quantity(val.filter(F.col(QTY) > 0), {"regular": model})
     return md.suite(scored.withColumn("forecast", F.expm1("log_qty")), "forecast", "stage_2")
 
@@ -88,7 +72,7 @@ def l5(spark, d):
 @query("L7_intervals")
 def l7(spark, d):
     rows, val = _split(spark, d)
-    return md.interval_rows(md.score(val, md.fit_two_stage(rows)))
+    return md.interval_rows(md.score(val, md.fit_two_stage(rows, bands=True)))
 
 
 @query("L8_segmented_stage_2")
@@ -99,7 +83,6 @@ def l8(spark, d):
 
 
 @query("L9_grid_search")
-@once
 def l9(spark, d):
     rows, val = _split(spark, d)
     return md.grid_search(rows, val, md.sample_settings())
@@ -115,19 +98,17 @@ def l10(spark, d):
 
 
 @query("L12_recursive_forecast")
-@once
 def l12(spark, d):
     rows, _ = _split(spark, d)
-    m = md.fit_two_stage(rows, calibrate=True)
-    return md.stored(md.recursive_forecast(_state(spark, d), tb.CUTOFF_WEEK, HORIZON, md.two_stage_predict(m)))
+    m = md.fit_two_stage(rows, calibrate=True, bands=True)
+    return rc.recursive_forecast(_state(spark, d), tb.CUTOFF_WEEK, HORIZON, m.flat())
 
 
 @query("L13_recursive_one_stage")
-@once
 def l13(spark, d):
     rows, _ = _split(spark, d)
-    model = md.one_stage(rows)
-    return md.stored(md.recursive_forecast(_state(spark, d), tb.CUTOFF_WEEK, HORIZON, md.one_stage_predict(model)))
+    model = rc.FlatOneStage(bo.flatten(md.one_stage(rows)))
+    return rc.recursive_forecast(_state(spark, d), tb.CUTOFF_WEEK, HORIZON, model)
 
 
 @query("C5_two_stage_cv")
@@ -185,7 +166,7 @@ def l2_check(spark, d):
 def l3_check(spark, d):
     rows, val = _split(spark, d)
     sold = val.filter(F.col(QTY) > 0)
-    return _per_week(md.with_quantity(sold, {"regular": md.quantity_regressor(rows)}), "isnan(log_qty)")
+    return _per_week(md.with_quantity(sold, {"regular": md.huber_regressor(rows)}), "isnan(log_qty)")
 
 
 @query("L5_check", f"SELECT CAST(13 * {SERIES_SQL} AS BIGINT) AS n_rows, 1 AS monotone, 1 AS in_range")

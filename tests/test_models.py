@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.functions import weeks as wk
+from stockweave.operators import boosting as bo
 from stockweave.operators import models as md
+from stockweave.operators import recursion as rc
 from stockweave.plans import model_queries as mq
 from stockweave.schema import QTY, SKU, WEEK
 from stockweave.sources import tables as tb
@@ -62,6 +64,32 @@ def test_recursive_forecast_covers_every_series_and_week(spark, sf, fitted):
     assert out.filter("forecast_q50 is null or forecast_q50 < 0 or forecast_q10 > forecast_q90").count() == 0
 
 
+def test_one_pass_recursion_equals_the_step_by_step_one(spark, sf, split, fitted):
+    fitted.bands, fitted.offsets = md.quantile_bands(split[0], {"rounds": 3, "depth": 3, "step": 0.3})
+    state = md.stored(mq._state(spark, sf))
+    slow = md.recursive_forecast(state, tb.CUTOFF_WEEK, 6, md.two_stage_predict(fitted), cut_every=3)
+    df = rc.recursive_forecast(state, tb.CUTOFF_WEEK, 6, fitted.flat(), series=7)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r[SKU[0]], r[SKU[1]], r[WEEK])
+    want, got = ({key(r): [r[b] for b in rc.BANDS] for r in x.collect()} for x in (slow, df))
+    assert set(want) == set(got) and len(got) == state.count() * 6
+    assert max(abs(a - b) / max(1, abs(a)) for k in want for a, b in zip(want[k], got[k])) < 1e-9
+    one = md.one_stage(split[0], {**md.FULL, "maxIter": 4})
+    slow = md.recursive_forecast(state, tb.CUTOFF_WEEK, 3, md.one_stage_predict(one))
+    fast = rc.recursive_forecast(state, tb.CUTOFF_WEEK, 3, rc.FlatOneStage(bo.flatten(one)))
+    want, got = ({key(r): r["forecast_q50"] for r in x.collect()} for x in (slow, fast))
+    assert set(want) == set(got) and max(abs(want[k] - got[k]) / max(1, abs(want[k])) for k in want) < 1e-9
+
+
+def test_bands_cover_the_tuning_rows(split):
+    bands, offsets = md.quantile_bands(split[0], {"rounds": 2, "depth": 2, "step": 0.5})
+    tune = split[0].filter("is_tune").filter(F.col(QTY) > 0)
+    y = F.log1p(QTY)
+    wide = F.when(md.segment() == "regular", offsets["regular"][1]).otherwise(offsets["sparse"][1])
+    got = tune.groupBy(md.segment()).agg(F.avg(y.between(bands["lo"].column() - wide, bands["hi"].column() + wide).cast("int")), F.count("*")).collect()
+    assert all(share >= 0.8 and share <= 0.8 + 1 / n + 1e-9 or n < 20 for _, share, n in got)
+
+
 def test_recursion_feeds_its_own_forecast_back(spark, sf):
     """A stand-in predictor that echoes lag_1 + 1 must climb by one a week."""
     state = mq._state(spark, sf)
