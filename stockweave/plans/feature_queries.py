@@ -118,8 +118,13 @@ def feature_nulls(spark, d):
 
 @query(
     "F10_days_of_supply",
-    f"""SELECT {KEY3}, c.yw AS year_week, round(s.dos, 6) + 0.0 AS inventory_days_of_supply
-        FROM dense_coarse c LEFT JOIN same_week_dos s USING (ch, mat, yw)""",
+    """SELECT k.ch AS "Channel", k.mat AS "Material Description", k.cat AS "Category", w.yw AS year_week,
+          round(CASE WHEN p.s > 0 AND k.stocked THEN coalesce(p.i, 0) / (p.s / 7.0::DOUBLE) END, 6) + 0.0 AS inventory_days_of_supply
+        FROM (SELECT ch, mat, cat, bool_or(cat = 'Channel Inv.') OVER (PARTITION BY ch, mat) AS stocked
+              FROM (SELECT DISTINCT ch, mat, cat FROM long_coarse)) k
+        CROSS JOIN weeks w
+        LEFT JOIN (SELECT ch, mat, yw, sum(q) FILTER (cat = 'Sell-in') AS s, sum(q) FILTER (cat = 'Channel Inv.') AS i
+                   FROM long_coarse GROUP BY ALL) p ON p.ch = k.ch AND p.mat = k.mat AND p.yw = w.yw""",
 )
 def days_of_supply(spark, d):
     return _rounded(ft.with_days_of_supply(_coarse(spark, d)), ["inventory_days_of_supply"])

@@ -9,6 +9,7 @@ from stockweave.plans.registry import KEY2, KEY3, define, query
 from stockweave.schema import CATEGORY, CHANNEL, MATERIAL, QTY, RISK_LEVELS, SELL_IN, SERIES, SKU, WEEK
 from stockweave.session import scratch_path
 from stockweave.sources import tables as tb
+from stockweave.sources import versions as vs
 from stockweave.sources import wide_csv as wc
 
 
@@ -86,10 +87,10 @@ def s4(spark, d):
     "SELECT CAST(yw // 100 AS INTEGER) AS year, count(*) AS n_rows, sum(q) * 2 AS quantity FROM long_coarse GROUP BY 1",
 )
 def s4_replace(spark, d):
-    path = wc.write_table(rs.with_calendar(tb.long_table(spark, d, "coarse")), scratch_path(spark, "silver"))
-    df = spark.read.parquet(path).withColumn(QTY, F.col(QTY) * 2)
-    wc.replace_table(spark, df, path)
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum(QTY).alias(QTY))
+    path = scratch_path(spark, "silver")
+    vs.replace(spark, rs.with_calendar(tb.long_table(spark, d, "coarse")), path)
+    vs.replace(spark, vs.read(spark, path).withColumn(QTY, F.col(QTY) * 2), path)
+    return vs.read(spark, path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum(QTY).alias(QTY))
 
 
 @query("S5_normalise_week", "SELECT yw AS year_week, count(*) AS n_rows FROM obs_fine GROUP BY yw")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,6 @@ from stockweave.functions import weeks as wk
 from stockweave.functions.scalars import null_tokens
 from stockweave.operators.reshape import melt_weeks, union_years
 from stockweave.schema import QTY, SERIES, WEEK
-from stockweave.session import scratch_path
 
 log = logging.getLogger(__name__)
 
@@ -64,10 +65,34 @@ def write_bronze(frames: dict[int, DataFrame], path: str) -> str:
     return path
 
 
-def file_hashes(spark: SparkSession, path) -> DataFrame:
-    """SHA-256 of the bytes of every file below ``path``."""
+def file_hashes(spark: SparkSession, path, chunk: int = 64 << 20) -> DataFrame:
+    """SHA-256 of the bytes of every file below ``path``.
+
+    Files of stores that tasks can open are read ``chunk`` bytes at a time, so
+    they may have any size; files of other stores come as one record each.
+    Spark lists no empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    opens = F.col("path").rlike("^(file|hdfs|s3|gs):")
+
+    def digest(batches):
+        from urllib.parse import quote
+
+        from pyarrow import fs
+
+        for batch in batches:
+            sums = []
+            for name in batch["path"]:
+                store, inner = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", name), safe="/:"))
+                total = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while data := f.read(chunk):
+                        total.update(data)
+                sums.append(total.hexdigest())
+            yield batch.assign(sha256=sums)
+
+    streamed = files.filter(opens).select("path", "length").mapInPandas(digest, "path string, length long, sha256 string")
+    return streamed.unionByName(files.filter(~opens).select("path", "length", F.sha2("content", 256).alias("sha256")))
 
 
 def shape_hash(df: DataFrame) -> DataFrame:
@@ -126,9 +151,3 @@ def write_table(df: DataFrame, path: str, partition: str | None = "year") -> str
     w = df.write.mode("overwrite")
     (w.partitionBy(partition) if partition else w).parquet(path)
     return path
-
-
-def replace_table(spark: SparkSession, df: DataFrame, path: str, partition: str | None = "year") -> str:
-    """Write a table that ``df`` itself reads: first to a scratch folder, then over it."""
-    tmp = write_table(df, scratch_path(spark, "swap"), partition)
-    return write_table(spark.read.parquet(tmp), path, partition)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def arrivals(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 100) -> DataFrame:
     """Stream of Parquet files as they appear below ``path``."""
@@ -20,26 +23,38 @@ def arrivals(spark: SparkSession, path: str, schema: T.StructType, per_trigger:
 def load_new(stream: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
     """Append what has arrived since the last call, one row per key.
 
-    Every arrived row counts, however late: a batch is compared with the keys
-    of the target, not with a window of time. A batch that is run again after a
-    failure finds its keys there, so a restart neither loses nor doubles rows.
-    Null keys are compared as values.
+    The keys seen so far are keyed state of the stream, on disk and split by
+    key: a batch looks up its own keys and never reads the target. There is no
+    watermark, so every arrived row counts, however late. The sink commits a
+    batch as a whole, and a batch that is run again after a failure starts from
+    the state before it: a restart neither loses nor doubles rows. Null keys are
+    compared as values. Without any arrival the target is an empty table.
     """
     spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)
-
-    def append(batch: DataFrame, _: int) -> None:
-        there = batch.sparkSession.read.schema(stream.schema).parquet(target).select(*[F.col(k).alias(f"_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        batch.dropDuplicates(keys).join(there, same, "left_anti").write.mode("append").parquet(target)
-
-    (
-        stream.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        query = (
+            stream.dropDuplicates(keys)
+            .writeStream.format("parquet")
+            .option("path", target)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    query.awaitTermination()
+    if query.lastProgress is None and not _has_batches(spark, target):
+        spark.createDataFrame([], stream.schema).write.mode("append").parquet(target)
+
+
+def _has_batches(spark: SparkSession, target: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_spark_metadata")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def weekly_counts(df: DataFrame, event_time: str, kind: str) -> DataFrame:

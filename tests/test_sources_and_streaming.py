@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from stockweave.operators.reshape import melt_weeks
 from stockweave.session import cut_lineage, scratch_path, shared_dir
 from stockweave.sources import tables as tb
+from stockweave.sources import versions as vs
 from stockweave.sources import wide_csv as wc
 from stockweave.streaming import arrivals
 
@@ -53,9 +56,39 @@ def test_wide_round_trip(spark, sf):
 
 
 def test_replace_a_table_that_is_being_read(spark):
-    path = wc.write_table(spark.range(10).withColumn("year", F.lit(2000)), scratch_path(spark, "t"))
-    wc.replace_table(spark, spark.read.parquet(path).filter("id < 4"), path)
-    assert spark.read.parquet(path).count() == 4
+    path = scratch_path(spark, "t")
+    vs.replace(spark, spark.range(10).withColumn("year", F.lit(2000)), path)
+    for n in (8, 6, 4):
+        vs.replace(spark, vs.read(spark, path).filter(f"id < {n}"), path)
+        assert vs.read(spark, path).count() == n
+    assert [n for n, _ in vs.manifests(spark, path)] == [3, 4]
+
+
+def test_a_stop_before_the_switch_leaves_the_table(spark, monkeypatch):
+    path = scratch_path(spark, "t")
+    with pytest.raises(FileNotFoundError):
+        vs.read(spark, path)
+    vs.replace(spark, spark.range(10), path, None)
+    with monkeypatch.context() as m:
+        m.setattr(vs, "_switch", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            vs.replace(spark, vs.read(spark, path).filter("id < 4"), path, None)
+    assert vs.read(spark, path).count() == 10
+    vs.replace(spark, vs.read(spark, path).filter("id < 3"), path, None)
+    assert vs.read(spark, path).count() == 3
+
+
+def test_file_hashes_read_in_chunks(spark, tmp_path):
+    import hashlib
+    import os
+
+    data = {f"f{i} ä.bin": os.urandom(n) for i, n in enumerate((1, 999, 1000, 1001, 50_000))}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    got = {os.path.basename(r["path"]): (r["length"], r["sha256"]) for r in wc.file_hashes(spark, str(tmp_path), chunk=1000).collect()}
+    assert got == {name: (len(c), hashlib.sha256(c).hexdigest()) for name, c in data.items()}
+    plan = wc.file_hashes(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in plan.split("Union")[1].split("Filter NOT")[0].split("MapInPandas")[0]
 
 
 class FakeSession:
@@ -87,6 +120,13 @@ def test_lineage_is_cut_by_checkpoint(spark):
     assert df.count() == 5 and "RDD" in df._jdf.queryExecution().logical().toString()
 
 
+def _made(path):
+    import os
+
+    os.makedirs(path)
+    return path
+
+
 def test_stream_loads_each_file_and_key_once(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     schema = "event_id long, ts timestamp, event_type string"
@@ -111,6 +151,24 @@ def test_stream_loads_each_file_and_key_once(spark, tmp_path):
     assert sorted(r["event_id"] or 0 for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_a_batch_reads_new_files_only_and_a_restart_doubles_nothing(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = spark.range(1).schema
+    arrivals.load_new(arrivals.arrivals(spark, _made(src), schema), out, state, ["id"])
+    assert spark.read.schema(schema).parquet(out).count() == 0
+    for i in range(4):
+        spark.range(i * 50, i * 50 + 100).coalesce(1).write.parquet(f"{src}/d{i}")
+        arrivals.load_new(arrivals.arrivals(spark, src, schema), out, state, ["id"])
+        sources = json.loads((max((tmp_path / "state" / "sources" / "0").glob("[0-9]*"), key=lambda p: int(p.name))).read_text().split("\n")[1])
+        assert sources["path"].count("/d") >= 1 and f"/d{i}/" in sources["path"]  # the batch holds the new file, not the target
+        assert spark.read.parquet(out).count() == 100 + 50 * i
+    newest = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.with_name(f".{newest.name}.crc").unlink(missing_ok=True)
+    newest.unlink()  # as if the last batch had been stopped before it was committed
+    arrivals.load_new(arrivals.arrivals(spark, src, schema), out, state, ["id"])
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(250))
+
+
 def test_scan_reads_only_needed_columns(spark, sf):
     plan = tb.long_table(spark, sf, "coarse")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "l_tax" not in plan
