@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: reused workers would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of unsigned 64-bit numbers (multiply and xor-shift rounds)."""
     x = x.astype(np.uint64, copy=True)
@@ -71,4 +81,4 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["QUERIES", "ORACLES", "query", "table", "stored", "text_bytes", "parts_for", "fresh", "mix64", "cut_lineage"]
+__all__ = ["QUERIES", "ORACLES", "query", "table", "stored", "text_bytes", "parts_for", "fresh", "give_back", "mix64", "cut_lineage"]

@@ -95,7 +95,9 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    got = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    got = suffix_dedup.remove_repeats(
+        table(spark, sf, "documents"), columns=("id", "n_bytes", "n_removed", "span_start", "kept")
+    )
     return got.select(
         F.col("id").alias("doc_id"),
         "n_bytes",

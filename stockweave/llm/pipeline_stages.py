@@ -31,7 +31,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame
     """
     whole = docs.select("doc_id", "text", F.struct("*").alias("row"))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    got = suffix_dedup.remove_repeats(whole.withColumn("row", F.col("row").dropFields("text")), carry=("row",))
+    got = suffix_dedup.remove_repeats(
+        whole.withColumn("row", F.col("row").dropFields("text")), carry=("row",), columns=("kept_text",)
+    )
     return got.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import mix64
+from stockweave.llm.common import give_back, mix64
 from stockweave.llm.seeds import (
     NO_ID, Chunk, Plan, candidates, chunks, joined, member, recurring, runs, seed_keys, sizes, spread,
     table_of, take_spans, window_keys, without_copies,
@@ -160,11 +160,12 @@ def least_ids(t: pa.Table, window: int) -> pa.Table:
     return table_of(FOUND, rows)
 
 
-def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
+def repeated_spans(plan: Plan, window: int, carried: list[str], columns: tuple[str, ...]) -> DataFrame:
     """For every row, what is removed and what is left; copies of whole texts need no search."""
     groups = plan.groups
 
     def pieces(docs: pa.Table, back: pa.Table) -> pa.Table:
+        give_back()
         if not docs.num_rows or not back.num_rows:
             return PIECES.empty_table()
         part = docs.column("part")[0].as_py()
@@ -205,15 +206,22 @@ def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
         return table_of(PIECES, rows)
 
     def remove(docs: pa.Table, found: pa.Table) -> pa.Table:
-        everything, out, order_of = docs, [[] for _ in OUT], []
+        give_back()
+        everything, out, order_of = docs, {c: [] for c in columns}, []
+
+        def add(at: int, **row) -> None:
+            order_of.append(at)
+            for c in columns:
+                out[c].append(row[c]() if callable(row[c]) else row[c])
+
         docs, found, gone = without_copies(docs.append_column("row", pa.array(np.arange(docs.num_rows))), found)
         for i, _ in gone:
             text = (everything.column("text")[i].as_py() or "").encode()
             cut = len(text) if len(text) >= window else 0
-            row = (everything.column("id")[i].as_py(), len(text), cut, [0] if cut else [], [cut] if cut else [], text[cut:], text[cut:].decode())
-            order_of.append(i)
-            for o, v in zip(out, row, strict=True):
-                o.append(v)
+            add(
+                i, id=everything.column("id")[i].as_py(), n_bytes=len(text), n_removed=cut, span_start=[0] if cut else [],
+                span_length=[cut] if cut else [], kept=text[cut:], kept_text=lambda: text[cut:].decode(),
+            )
         key, piece = joined(found.column("key"), np.uint64), joined(found.column("piece"), np.uint64)
         hot, n = joined(found.column("hot"), np.bool_), joined(found.column("n"), np.uint8).astype(np.int64)
         run, least = joined(found.column("run"), np.uint8).astype(np.int64), joined(found.column("least"), np.int64)
@@ -248,14 +256,15 @@ def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
                 edge = np.flatnonzero(np.diff(np.r_[False, m, False].astype(np.int8)))
                 spans = edge.reshape(-1, 2)
                 kept = text[a:b].tobytes() if not len(spans) else text[a:b][~m].tobytes()
-                row = (docs.column("id")[c.rows.start + i].as_py(), b - a, int((spans[:, 1] - spans[:, 0]).sum()),
-                       spans[:, 0].tolist(), (spans[:, 1] - spans[:, 0]).tolist(), kept, kept.decode(errors="ignore"))
-                order_of.append(docs.column("row")[c.rows.start + i].as_py())
-                for o, v in zip(out, row, strict=True):
-                    o.append(v)
+                size = spans[:, 1] - spans[:, 0]
+                add(
+                    docs.column("row")[c.rows.start + i].as_py(), id=docs.column("id")[c.rows.start + i].as_py(), n_bytes=b - a,
+                    n_removed=int(size.sum()), span_start=spans[:, 0].tolist, span_length=size.tolist, kept=kept,
+                    kept_text=lambda: kept.decode(errors="ignore"),
+                )
         rest = everything.select([f"c{i}" for i in range(len(carried))]).take(pa.array(order_of, pa.int64()))
         return pa.Table.from_arrays(
-            [*(pa.array(o, f.type) for o, f in zip(out, OUT, strict=True)), *rest.columns], [*OUT.names, *rest.column_names]
+            [*(pa.array(out.pop(c), OUT.field(c).type) for c in columns), *rest.columns], [*columns, *rest.column_names]
         )
 
     by_part = plan.docs.groupBy("part")
@@ -267,8 +276,7 @@ def repeated_spans(plan: Plan, window: int, carried: list[str]) -> DataFrame:
     return by_part.cogroup(told.groupBy("part")).applyInArrow(
         remove,
         ", ".join(
-            ["id long, n_bytes long, n_removed long, span_start array<long>, span_length array<long>, kept binary, kept_text string"]
-            + [f"c{i} {kind}" for i, kind in enumerate(carried)]
+            [f"{c} {OUT_SQL.get(c, 'long')}" for c in columns] + [f"c{i} {kind}" for i, kind in enumerate(carried)]
         ),
     )
 
@@ -277,17 +285,20 @@ OUT = pa.schema(
     [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
      ("span_start", pa.list_(pa.int64())), ("span_length", pa.list_(pa.int64())), ("kept", pa.binary()), ("kept_text", pa.string())]
 )
+OUT_SQL = {"span_start": "array<long>", "span_length": "array<long>", "kept": "binary", "kept_text": "string"}
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = ()
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: tuple[str, ...] = (),
+    columns: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Remove every byte of a string of ``window`` bytes that also starts in a document with a smaller id.
 
     Returns per row of ``docs``: ``id``, ``n_bytes``, ``n_removed``,
     ``span_start`` and ``span_length`` (maximal removed runs), ``kept`` (the
     remaining bytes; a cut may part a character), ``kept_text`` (the same
-    without parts of characters) and the columns named in ``carry``.
+    without parts of characters) and the columns named in ``carry``. With
+    ``columns`` only these of the first seven are made and sent.
 
     Strings are judged on the input, matches never cross documents and overlaps
     count. Null text is empty. A null id counts as larger than all others. Rows
@@ -298,8 +309,9 @@ def remove_repeats(
         raise ValueError("window must be 32 to 255 bytes")
     plan = recurring(docs, id_col, text_col, window, GRAM, byte_chunk, carry)
     kinds = [docs.schema[c].dataType.simpleString() for c in carry]
-    got = repeated_spans(plan, window, kinds)
-    return got.select(*OUT.names, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    columns = tuple(OUT.names) if columns is None else columns
+    got = repeated_spans(plan, window, kinds, columns)
+    return got.select(*columns, *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 __all__ = ["remove_repeats", "Chunk"]

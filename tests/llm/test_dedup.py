@@ -86,3 +86,11 @@ def test_empty_tables(spark):
     nulls = fx.frame(spark, [(None, None), (1, None)])
     assert {r["n_removed"] for r in phrase_dedup.remove_repeats(nulls).collect()} == {0}
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(nulls).collect()} == {(None, None), (1, 1)}
+
+
+def test_suffix_dedup_makes_only_the_columns_asked_for(spark):
+    df = fx.frame(spark, ROWS)
+    want = sorted((r["kept_text"], r["shard"]) for r in suffix_dedup.remove_repeats(df, carry=("shard",)).collect())
+    got = suffix_dedup.remove_repeats(df, carry=("shard",), columns=("kept_text",))
+    assert got.columns == ["kept_text", "shard"] and sorted(map(tuple, got.collect())) == want
+    assert suffix_dedup.remove_repeats(df, columns=("id", "kept")).columns == ["id", "kept"]
