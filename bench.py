@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from stockweave.operators import baselines as bl  # noqa: E402
+from stockweave.operators import boosting as bo  # noqa: E402
 from stockweave.operators import churn as ch  # noqa: E402
 from stockweave.operators import evaluate as ev  # noqa: E402
 from stockweave.operators import feature_store as fs  # noqa: E402
@@ -20,9 +21,10 @@ from stockweave.operators import hierarchy as hi  # noqa: E402
 from stockweave.operators import inventory as iv  # noqa: E402
 from stockweave.operators import models as md  # noqa: E402
 from stockweave.operators import quality as ql  # noqa: E402
+from stockweave.operators import recursion as rc  # noqa: E402
 from stockweave.operators.reshape import densify, pivot_categories, silver, with_calendar  # noqa: E402
 from stockweave.plans.planning_queries import MEASURES  # noqa: E402
-from stockweave.schema import QTY, SKU, WEEK  # noqa: E402
+from stockweave.schema import CATEGORY, CHANNEL_INV, QTY, SELL_IN, SKU, WEEK  # noqa: E402
 from stockweave.session import build_session  # noqa: E402
 from stockweave.sources import tables as tb  # noqa: E402
 
@@ -51,6 +53,16 @@ def two_stage(spark, sf):
     return md.score(frame.filter(F.col(WEEK) > tb.CUTOFF_WEEK), fitted).drop("features")
 
 
+def recursion(spark, sf):
+    base = md.stored(md.base_frame(tb.dense_table(spark, sf, "coarse")))
+    rows = md.with_roles(md.stored(md.model_frame(base, tb.CUTOFF_WEEK)), tb.CUTOFF_WEEK)
+    model = rc.FlatOneStage(bo.flatten(md.one_stage(rows)))
+    long = tb.long_table(spark, sf, "coarse").filter(F.col(WEEK) <= tb.CUTOFF_WEEK)
+    stats = ft.channel_stats(ft.with_rolling(tb.dense_table(spark, sf, "coarse", SELL_IN, tb.CUTOFF_WEEK)))
+    sold, inv = (long.filter(F.col(CATEGORY) == c) for c in (SELL_IN, CHANNEL_INV))
+    return rc.recursive_forecast(md.start_state(sold, stats, tb.CUTOFF_WEEK, inv), tb.CUTOFF_WEEK, 71, model)
+
+
 HEADLINE = {
     "silver_table": lambda s, d: silver(tb.signed_observations(s, d).drop("l_linenumber")),
     "densify": lambda s, d: tb.dense_table(s, d, "fine"),
@@ -70,6 +82,7 @@ HEADLINE = {
         densify(pivot_categories(tb.long_table(s, d, "fine")), SKU, tb.FIRST_WEEK, tb.LAST_WEEK, MEASURES)
     ),
     "two_stage_training": two_stage,
+    "learned_recursion_71_weeks": recursion,  # with the fit
     "hierarchy_sums": lambda s, d: hi.hierarchy_sums(tb.sell_in(s, d, "fine"), QTY),
 }
 
