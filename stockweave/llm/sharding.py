@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.llm.common import fresh, parts_for, stored
+from stockweave.llm.decontamination import small
 
 PROBES = 32  # candidate keys per open splitter and round
 SLICE_BYTES = 8 << 20  # rows of a shard are numbered in slices of about this size
@@ -137,7 +138,7 @@ def shard_by_bytes(
     return (
         keyed.withColumns(placed)
         .repartition(shards * slices, "shard", part)
-        .join(F.broadcast(starts), ["shard", part])  # shards * slices rows, one for many megabytes
+        .join(small(starts, shards * slices), ["shard", part])  # one row for many megabytes
         .withColumn("slot", F.col(start) + F.row_number().over(inside) - 1)
         .select(*kept, "size", "shard", "slot")
     )

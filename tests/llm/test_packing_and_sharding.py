@@ -100,6 +100,16 @@ def test_shards(spark, shards, monkeypatch):
         assert sum(len(s) > 1 for s in of.values()) <= 1
 
 
+def test_shards_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_BYTES", 2000)
+    df = fx.frame(spark, fx.corpus(6, 80))
+    order = ["doc_id", "size", "shard", "slot"]
+    want = sorted(map(str, sharding.shard_by_bytes(df, 3).select(order).collect()))
+    monkeypatch.setattr(decontamination, "SMALL_ROWS", 0)
+    got = sharding.shard_by_bytes(df, 3)
+    assert sorted(map(str, got.select(order).collect())) == want
+
+
 def test_shards_of_nothing(spark):
     assert sharding.shard_by_bytes(fx.frame(spark, []), 3).count() == 0
 
