@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.phrase_dedup import spans_hash
-from stockweave.llm.common import mix64
+from stockweave.llm.common import mix64, parts_for, stored
 
 EXAMPLES = 8_000  # labelled rows the model is fitted on, at most
 FLOOR = 0.06  # weight of a term that tells nothing about the labels, as a correlation with them
@@ -32,6 +32,9 @@ SLICE = 128  # texts searched together
 STEP = 4  # texts whose postings are added up together
 ROUNDING = 2e-6  # cosines nearer than this count as equal
 CHUNK_BYTES = 1 << 20
+EXAMPLE_BYTES = 64 << 20  # texts of the examples, at most
+BUCKET_BYTES = 2 << 20  # example text whose postings make one bucket, on average
+OWN_ROWS = 500  # examples calibrated in one task
 LETTER = np.zeros(256, bool)
 LETTER[np.r_[65:91, 97:123, 128:256]] = True
 FOLD = np.arange(256, dtype=np.uint64)
@@ -39,36 +42,81 @@ FOLD[65:91] += 32
 FOLD = mix64(FOLD + np.uint64(1))
 
 
-def terms_of(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and count, for words of letters (A-Z as a-z) and their beginnings.
-
-    With ``known`` (sorted), only those terms.
-    """
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of each word of letters, and the folded bytes that terms are hashed from."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     edge = np.diff(np.r_[False, LETTER[raw], False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-    x = FOLD[raw]
-    hashes = [spans_hash(x, start, end)]
-    docs = [doc]
+    return doc, start, end, FOLD[raw]
+
+
+def beginnings(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of beginnings the words that are longer, and the hashes of their beginnings."""
+    got = []
     for n in BEGINNINGS:
-        long = end - start > n
-        hashes.append(spans_hash(x, start[long], start[long] + n) ^ np.uint64(n))
-        docs.append(doc[long])
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
+        long = np.flatnonzero(end - start > n)
+        got.append((long, spans_hash(x, start[long], start[long] + n) ^ np.uint64(n)))
+    return got
+
+
+def runs(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (not negative) and the sums of their counts."""
+    if not len(key):
+        return key, count
+    bits = int(count.max()).bit_length()
+    if int(key.max()).bit_length() + bits < 63:  # one sort of plain numbers
+        both = np.sort(key << bits | count)
+        key, count = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first], np.add.reduceat(count, first)
+
+
+def terms_of(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count, for words of letters (A-Z as a-z) and their beginnings, by document and term.
+
+    With ``known`` (sorted), only those terms, as their places in it.
+    """
     if known is not None:
-        at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-        hit = known[at] == h if len(known) else np.zeros(len(h), bool)
-        key = np.sort(doc[hit] * max(len(known), 1) + at[hit])
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        doc, h = np.divmod(key[first], max(len(known), 1))
-        return doc, h.astype(np.uint64), np.diff(np.r_[first, len(key)])
+        return places_of(texts, known)
+    doc, start, end, x = words_of(texts)
+    more = beginnings(x, start, end)
+    h = np.concatenate([spans_hash(x, start, end)] + [g for _, g in more])
+    doc = np.concatenate([doc] + [doc[long] for long, _ in more])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else order
     return doc[first], h[first], np.diff(np.r_[first, len(h)])
 
 
+def places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Place of each hash in ``known`` (sorted), or -1."""
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)
+
+
+def places_of(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`terms_of` as places in ``known``, other terms left out. Each distinct word is looked up once."""
+    doc, start, end, x = words_of(texts)
+    word, first, which = np.unique(spans_hash(x, start, end), return_index=True, return_inverse=True)
+    table = np.full((len(word), 1 + len(BEGINNINGS)), -1)
+    table[:, 0] = places(known, word)
+    for k, (long, h) in enumerate(beginnings(x, start[first], end[first]), 1):
+        table[long, k] = places(known, h)
+    pair, count = runs(doc * max(len(word), 1) + which, np.ones(len(doc), np.int64))
+    doc, which = np.divmod(pair, max(len(word), 1))
+    at = table[which]
+    held = at >= 0
+    key = (doc[:, None] * max(len(known), 1) + at)[held]
+    key, count = runs(key, np.broadcast_to(count[:, None], at.shape)[held])
+    return *np.divmod(key, max(len(known), 1)), count
+
+
 @dataclass
 class Index:
     """Examples by term. Postings of a term run from ``begin`` to the next one, by example."""
@@ -83,8 +131,6 @@ class Index:
     weight: np.ndarray
     label: np.ndarray
     none: float  # toxic share of examples without any term
-    raw: np.ndarray | None = None  # calibration: votes and the scores they stand for
-    fitted: np.ndarray | None = None
     dense: tuple | None = None  # column of each common term or -1, their weights by example, their block maxima
 
 
@@ -106,11 +152,11 @@ def unit(w: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`terms_of` a few texts at a time, with places in ``terms``."""
+    """:func:`places_of` a few texts at a time."""
     got = []
     for a in range(0, len(texts), step):
-        doc, term, count = terms_of(texts[a : a + step], terms)
-        got.append((doc + a, term.astype(np.int64), count))
+        doc, term, count = places_of(texts[a : a + step], terms)
+        got.append((doc + a, term, count))
     if not got:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
@@ -118,34 +164,36 @@ def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple
 
 def build_index(texts: list[bytes], label: np.ndarray, terms: np.ndarray) -> Index:
     """Index of texts on their own, with idf from these texts."""
-    return index_of(*known_terms(texts, terms), label, terms)
-
-
-def index_of(  # rows by document
-    doc: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, terms: np.ndarray, rarity: np.ndarray | None = None
-) -> Index:
-    n, v = len(label), len(terms)
-    df, toxic = np.zeros(v, np.int64), np.zeros(v)
-    edge = np.searchsorted(doc, np.arange(0, n + 500, 500))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):  # few at a time: the driver's memory
-        df += np.bincount(term[a:b], minlength=v)
-        toxic += np.bincount(term[a:b], weights=label[doc[a:b]], minlength=v)
-    if rarity is None:
-        rarity = np.log((1 + n) / (1 + df)) + 1
-    share = label.mean() if n else 0.0
-    idf = rarity * association(df, toxic, label)
-    weight = np.empty(len(term), np.float32)
-    edge = np.searchsorted(doc, np.arange(0, n + 200, 200))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        if b > a:
-            weight[a:b] = unit_rows(doc[a:b] - doc[a], term[a:b], count[a:b], idf, int(doc[b - 1] - doc[a]) + 1)
+    doc, term, count = known_terms(texts, terms)
+    df = np.bincount(term, minlength=len(terms))
+    toxic = np.bincount(term, weights=label[doc], minlength=len(terms))
     order = np.argsort(term, kind="stable")
-    empty = np.ones(n, bool)
-    empty[doc] = False
+    rarity = np.log((1 + len(label)) / (1 + df)) + 1
+    return assemble(label, terms, df, toxic, rarity, [(doc[order], count[order])])
+
+
+def assemble(label: np.ndarray, terms: np.ndarray, df: np.ndarray, toxic: np.ndarray, rarity: np.ndarray, postings) -> Index:
+    """Index from pieces of postings: examples and counts by term and example, pieces in the order of their terms."""
+    n = len(label)
+    idf = rarity * association(df, toxic, label)
+    begin = np.r_[0, np.cumsum(df)]
+    example, weight = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+    square = np.zeros(n)
+    a = 0
+    for ids, count in postings:
+        b = a + len(ids)
+        t = slice(*np.searchsorted(begin, [a, b]))
+        w = (1 + np.log(count)) * np.repeat(idf[t], df[t])
+        example[a:b], weight[a:b] = ids, w
+        square += np.bincount(ids, weights=w * w, minlength=n)
+        a = b
+    length = np.sqrt(np.maximum(square, 1e-300)).astype(np.float32)
+    for a in range(0, len(example), 1 << 20):
+        weight[a : a + (1 << 20)] /= length[example[a : a + (1 << 20)]]
+    empty = square == 0
+    share = label.mean() if n else 0.0
     none = (label[empty].sum() + share) / (empty.sum() + 1.0)
-    return Index(
-        terms, rarity, df, toxic, idf, np.r_[0, np.cumsum(df)], doc[order].astype(np.int32), weight[order], label, float(none)
-    )
+    return Index(terms, rarity, df, toxic, idf, begin, example, weight, label, float(none))
 
 
 def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,20 +277,21 @@ def vote(ix: Index, ids: np.ndarray, cos: np.ndarray) -> float:
 
 
 def votes_of(
-    ix: Index, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, skip: bool = False
+    ix: Index, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, own: np.ndarray | None = None
 ) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Vote of each text, and its nearest examples with their cosines. With ``skip`` the texts are
-    the first examples, and what an example adds to the weights of its own terms is taken out."""
+    """Vote of each text, and its nearest examples with their cosines. Texts that are the examples ``own``
+    do not vote for themselves, and what they add to the weights of their own terms is taken out."""
     evidence = []
     at = np.searchsorted(doc, np.arange(0, n + SLICE, SLICE))
     for k, a in enumerate(range(0, n, SLICE)):
         rows, m = slice(at[k], at[k + 1]), min(SLICE, n - a)
         d, t = doc[rows] - a, term[rows]
         weight = (1 + np.log(count[rows])) * ix.idf[t]
-        if skip:
-            own = association(ix.df[t] - 1, ix.toxic[t] - ix.label[doc[rows]], ix.label)
-            weight = np.where(ix.df[t] > 1, weight / ix.idf[t] * ix.rarity[t] * own, 0.0)
-        mine = np.arange(a, a + m) if skip else None
+        mine = None
+        if own is not None:
+            mine = own[a : a + m]
+            without = association(ix.df[t] - 1, ix.toxic[t] - ix.label[mine[d]], ix.label)
+            weight = np.where(ix.df[t] > 1, weight / ix.idf[t] * ix.rarity[t] * without, 0.0)
         evidence += nearest_of(ix, d, t, unit(weight, d, m), m, NEIGHBOURS, mine)
     return np.array([vote(ix, *e) for e in evidence]), evidence
 
@@ -252,8 +301,8 @@ def votes(ix: Index, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndar
     return votes_of(ix, *known_terms(texts, ix.terms), len(texts))
 
 
-def calibrate(ix: Index, raw: np.ndarray, label: np.ndarray) -> None:
-    """Rising fit of labels on votes by pooling neighbours that are out of order."""
+def calibration(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising fit of labels on votes by pooling neighbours that are out of order: votes and the scores they stand for."""
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []
     for x, y in zip(raw[order].tolist(), label[order].tolist(), strict=True):
@@ -268,26 +317,14 @@ def calibrate(ix: Index, raw: np.ndarray, label: np.ndarray) -> None:
             pools[-1][1] += n2
             pools[-1][3] = hi
     share = label.mean() if len(label) else 0.0
-    ix.raw = np.array([(p[2] + p[3]) / 2 for p in pools])
-    ix.fitted = np.array([(p[0] + share) / (p[1] + 1) for p in pools])
+    return np.array([(p[2] + p[3]) / 2 for p in pools]), np.array([(p[0] + share) / (p[1] + 1) for p in pools])
 
 
-def scores(ix: Index, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def scores(ix: Index, fitted: tuple[np.ndarray, np.ndarray], texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Calibrated scores, and the nearest examples with their cosines."""
     raw, evidence = votes(ix, texts)
-    if ix.raw is None or not len(ix.raw):
-        return np.clip(raw, 0, 1), evidence
     # the votes break ties inside a pool
-    return np.clip(0.98 * np.interp(raw, ix.raw, ix.fitted) + 0.02 * raw, 0, 1), evidence
-
-
-def fit(
-    doc: np.ndarray, term: np.ndarray, count: np.ndarray, label: np.ndarray, terms: np.ndarray, rarity: np.ndarray | None = None
-) -> Index:
-    """Index of examples by their terms, calibrated on all of them."""
-    ix = index_of(doc, term, count, label, terms, rarity)
-    calibrate(ix, votes_of(ix, doc, term, count, len(label), skip=True)[0], label)
-    return ix
+    return np.clip(0.98 * np.interp(raw, *fitted) + 0.02 * raw, 0, 1), evidence
 
 
 def rarity_of(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -299,19 +336,76 @@ def rarity_of(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
         for b in batches:
             n += b.num_rows
             for held in text_batches(b.column(0)):
-                df += np.bincount(terms_of(held, shared.value)[1].astype(np.int64), minlength=len(df))
+                df += np.bincount(places_of(held, shared.value)[1], minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], ["term", "n"])
 
-    got = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row per term
+    got = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term
     df = np.zeros(len(terms) + 1, np.int64)
     df[got["term"].to_numpy() + 1] = got["n"].to_numpy()
+    shared.destroy()
     return np.log((1 + df[0]) / (1 + df[1:])) + 1
 
 
-def flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+def flat(column, kind: type) -> np.ndarray:
     """Numbers of all rows of a binary column."""
-    return np.concatenate([np.zeros(0, kind)] + [np.frombuffer(b"".join(c.to_pylist()), kind) for c in column.chunks])
+    return np.concatenate([np.zeros(0, kind)] + [np.frombuffer(v.as_buffer(), kind) for v in column])
+
+
+def example_index(texts: DataFrame, n_bytes: int) -> DataFrame:
+    """Postings of the rows (example, label, text), a row for each range of term hashes: its terms in order,
+    their examples and toxic examples, and by term and example the examples and counts."""
+    buckets = parts_for(n_bytes, BUCKET_BYTES)
+    width = np.uint64(2**64 // buckets + 1) if buckets > 1 else None
+
+    def spread(batches):
+        for b in batches:
+            out = []
+            for example, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, h, count = terms_of([(text or "").encode()])
+                bucket = h // width if width else np.zeros(len(h), np.uint64)
+                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.zeros(0, np.int64)
+                for i, j in zip(first.tolist(), np.r_[first[1:], len(h)].tolist(), strict=True):
+                    out.append((int(bucket[i]), example, label, h[i:j].tobytes(), count[i:j].astype(np.int32).tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "example", "label", "terms", "counts"]
+            )
+
+    def merge(rows: pa.Table) -> pa.Table:
+        size = pc.binary_length(rows["counts"]).to_numpy() // 4
+        example, label = (np.repeat(rows[c].to_numpy(), size) for c in ("example", "label"))
+        h, count = flat(rows["terms"], np.uint64), flat(rows["counts"], np.int32)
+        order = np.lexsort((example, h))
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        parts = {
+            "terms": h[first],
+            "df": np.diff(np.r_[first, len(h)]).astype(np.int32),
+            "toxic": np.add.reduceat(label[order], first).astype(np.int32),
+            "examples": example[order].astype(np.int32),
+            "counts": count[order],
+        }
+        return pa.table({"bucket": rows["bucket"].slice(0, 1)} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()})
+
+    return (
+        texts.select("example", "label", "text")
+        .mapInArrow(spread, "bucket int, example int, label int, terms binary, counts binary")
+        .repartition(buckets, "bucket")
+        .groupBy("bucket")
+        .applyInArrow(merge, "bucket int, terms binary, df binary, toxic binary, examples binary, counts binary")
+    )
+
+
+def index_in_task(base, postings) -> Index:
+    """The index from its broadcast parts, put together once in each worker process."""
+    parts = base.value
+    if "index" not in parts:
+        pieces = ((np.frombuffer(e, np.int32), np.frombuffer(c, np.int32)) for e, c in (p.value for p in postings))
+        parts["index"] = assemble(*(parts[k] for k in ("label", "terms", "df", "toxic", "rarity")), pieces)
+        common_terms(parts["index"])
+    return parts["index"]
 
 
 def text_batches(column):
@@ -339,18 +433,23 @@ def score_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     examples: int = EXAMPLES,
+    example_bytes: int = EXAMPLE_BYTES,
     threshold: float = 0.7,
 ) -> DataFrame:
     """Toxicity of every row of ``docs``: the id, ``held_out``, ``score``, ``predicted`` and ``evidence``.
 
     The model is fitted on at most ``examples`` labelled rows, those with the
     least hash of the id among rows that are not held out (crc32 of the id as
-    text is 1 modulo 3); calibration sees all of them. ``evidence`` holds the
-    nearest examples with their cosines.
+    text is 1 modulo 3), as far as their texts stay within ``example_bytes`` (one
+    at least); calibration sees all of them. ``evidence`` holds the nearest
+    examples with their cosines. The index is built and searched in tasks; the
+    driver holds a few numbers per example and per term, and passes on one
+    bucket of postings at a time.
 
     Null and empty texts and texts without a known term get the share of toxic
     examples without one. Null labels and ids are no examples; an id with
-    several labels counts once, with the least. Without any example the score is
+    several labels counts once, with the least; of several texts of an id the least
+    one is the example. Without any example the score is
     one half. Repeated rows repeat; other columns are ignored; empty input gives
     no rows.
     """
@@ -365,46 +464,51 @@ def score_toxicity(
         .orderBy(F.xxhash64("key"), "key")
         .limit(examples)
     )
-    def example_terms(batches):
-        for b in batches:
-            got = [terms_of([(t.as_py() or "").encode()]) for t in b.column(2)]
-            terms, counts = [g[1].tobytes() for g in got], [g[2].astype(np.int32).tobytes() for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())],
-                ["key", "label", "h", "terms", "counts"],
-            )
-
-    rows = (
+    found = stored(
         docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
         .join(F.broadcast(chosen), "key")  # at most ``examples`` rows
-        .dropDuplicates(["key"])
-        .select("key", "label", "text", F.xxhash64("key").alias("h"))
-        .mapInArrow(example_terms, f"key {kind}, label int, h long, terms binary, counts binary")
-        .toArrow()
+        .groupBy("key")
+        .agg(F.min("text").alias("text"), F.first("label").alias("label")),
+        "toxic-examples",
     )
-    rows = rows.take(pc.sort_indices(rows.select(["h", "key"]), sort_keys=[("h", "ascending"), ("key", "ascending")]))
-    keys, label = rows.column("key").to_pylist(), rows.column("label").to_numpy().astype(np.float64)
-    ix = None
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    rows = found.select("key", "label", size, F.xxhash64("key").alias("h")).toArrow()
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("h", "ascending"), ("key", "ascending")]))
+    total = np.cumsum(rows["size"].to_numpy())
+    rows = rows.slice(0, max(1, int((total <= example_bytes).sum())))
+    keys, label = rows["key"].to_pylist(), rows["label"].to_numpy().astype(np.float64)
+    base, postings, fitted = None, [], None
     if len(keys):
-        doc = np.repeat(np.arange(len(keys), dtype=np.int32), pc.binary_length(rows.column("counts")).to_numpy() // 4)
-        hashes, count = flat(rows.column("terms"), np.uint64), flat(rows.column("counts"), np.int32)
-        del rows
-        pa.default_memory_pool().release_unused()
-        terms = np.unique(hashes)
-        term = np.empty(len(hashes), np.int32)
-        for a in range(0, len(hashes), 1 << 18):
-            term[a : a + (1 << 18)] = np.searchsorted(terms, hashes[a : a + (1 << 18)])
-        del hashes
-        rarity = rarity_of(docs.select(docs[text_col]), terms)
-        ix = fit(doc, term, count, label, terms, rarity)
-        del doc, term, count
-    shared = spark.sparkContext.broadcast((vars(ix) | {"dense": None} if ix else None, keys))  # bounded by ``examples``
+        numbers = spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), f"key {kind}, example int")
+        texts = found.join(F.broadcast(numbers), "key")
+        index = stored(example_index(texts, int(total[len(keys) - 1])), "toxic-index")
+        heads = index.select("bucket", "terms", "df", "toxic").toArrow().sort_by("bucket")
+        terms = flat(heads["terms"], np.uint64)
+        model = {"names": keys, "label": label, "terms": terms, "df": flat(heads["df"], np.int32).astype(np.int64)}
+        model |= {"toxic": flat(heads["toxic"], np.int32).astype(np.float64), "rarity": rarity_of(docs.select(docs[text_col]), terms)}
+        base = spark.sparkContext.broadcast(model)  # numbers per term and per example
+        sent = {}
+        for r in index.select("bucket", "examples", "counts").toLocalIterator():  # at most a few bytes per byte of example
+            sent[r["bucket"]] = spark.sparkContext.broadcast((bytes(r["examples"]), bytes(r["counts"])))
+        postings = [sent[b] for b in sorted(sent)]
+
+        def own_votes(batches):
+            ix = index_in_task(base, postings)
+            for b in batches:
+                own, a = b.column(0).to_numpy().astype(np.int64), 0
+                for held in text_batches(b.column(1)):
+                    mine = own[a : a + len(held)]
+                    raw = votes_of(ix, *known_terms(held, ix.terms), len(held), mine)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine.astype(np.int32)), pa.array(raw)], ["example", "raw"])
+                    a += len(held)
+
+        spread = texts.select("example", "text").repartition(parts_for(len(keys), OWN_ROWS))
+        raw = spread.mapInArrow(own_votes, "example int, raw double").toArrow().sort_by("example")["raw"].to_numpy()
+        fitted = calibration(raw, label)
 
     def run(batches):
-        parts, names = shared.value
-        model = Index(**parts) if parts else None
-        if model is not None:
-            parts["dense"] = common_terms(model)  # for later tasks of this process
+        model = index_in_task(base, postings) if base is not None else None
+        names = base.value["names"] if base is not None else []
         for b in batches:
             out, evidence = np.full(b.num_rows, 0.5), [[]] * b.num_rows
             held, begin, total = [], 0, 0
@@ -414,7 +518,7 @@ def score_toxicity(
                 total += len(held[-1])
                 if total >= CHUNK_BYTES or i == b.num_rows - 1:
                     if model is not None:
-                        out[begin : i + 1], near = scores(model, held)
+                        out[begin : i + 1], near = scores(model, fitted, held)
                         evidence[begin : i + 1] = [
                             [{"example": names[e], "cosine": float(x)} for e, x in zip(ids[:EVIDENCE].tolist(), cos, strict=False)]
                             for ids, cos in near
