@@ -20,7 +20,7 @@ from stockweave.llm.phrase_dedup import gram_hash, word_hash, word_spans
 from stockweave.llm.seeds import member
 
 SLOTS = 1024  # hashed features
-SAMPLE = 4_000  # documents the scorer is fitted on, at most
+SAMPLE = 8_000  # documents the scorer is fitted on, at most
 CHUNK_BYTES = 1 << 20
 GRAM = 6
 LOWER_BIT, OTHER_BIT, UPPER_BIT, DIGIT_BIT, MARK_BIT, SYMBOL_BIT = 1, 2, 4, 8, 16, 32
@@ -29,6 +29,7 @@ CLASS[97:123], CLASS[128:], CLASS[65:91], CLASS[48:58] = LOWER_BIT, OTHER_BIT, U
 CLASS[[ord(c) for c in ".,;:!?()'\"-"]] = MARK_BIT
 CLASS[[32, *range(9, 14)]] = 0
 TRUST = 0.99  # share of votes on good text that are right, before any data
+CLEAN = 0.999  # probability of good, before any data, of a pattern without a bad vote; junk rarer than the rest of it drowns
 LABELLERS = ("capitals", "symbols", "stutter", "loops", "stop_words", "sentences", "word_length")
 
 
@@ -106,7 +107,7 @@ def expectation_maximisation(codes: np.ndarray, count: np.ndarray, rounds: int =
     """
     votes = decode(codes)
     cast = votes < 2
-    good = np.where((votes == 0).any(axis=1), 0.1, 0.95)
+    good = np.where((votes == 0).any(axis=1), 0.1, CLEAN)
     for _ in range(rounds):
         w = np.stack([good * count, (1 - good) * count])
         prior = (w[0].sum() + 1) / (w.sum() + 2)
@@ -170,11 +171,12 @@ def score_quality(
     """Quality of every row of ``docs``: all its columns, and ``quality`` (0 to 1) and ``good``.
 
     Vote patterns are counted over all documents. The scorer is fitted on at
-    most ``sample`` documents, those with the least hash of the text.
+    most ``sample`` documents, those with the least hash of the text; their
+    feature rows are made in tasks, and no text reaches the driver.
 
     Null and empty texts and texts of white space have quality 0. Repeated rows
-    repeat. Columns that had the result's names are replaced; empty input gives
-    no rows.
+    repeat. A quality equal to ``threshold`` is good. Columns that had the result's
+    names are replaced; empty input gives no rows.
     """
 
     def cast(batches):
@@ -182,6 +184,15 @@ def score_quality(
             codes = np.concatenate([vote_codes(*measures(t)[:2]) for t in text_batches(b.column(0))] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(codes)], ["code"])
 
+    def rows_of(batches):
+        for b in batches:
+            h, a = b.column(0), 0
+            for texts in text_batches(b.column(1)):
+                n, share, doc, shape = measures(texts)
+                x = pa.array([r.tobytes() for r in features(n, doc, shape).astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([h.slice(a, len(texts)), pa.array(vote_codes(n, share)), x], ["h", "code", "x"])
+                a += len(texts)
+
     patterns = docs.select(docs[text_col]).mapInArrow(cast, "code long").filter("code >= 0").groupBy("code").count()
     rows = patterns.orderBy("code").collect()  # at most 3 ** 7 patterns
     codes, count = (np.array([r[c] for r in rows], np.int64) for c in ("code", "count"))
@@ -190,15 +201,11 @@ def score_quality(
         good, _, _ = expectation_maximisation(codes, count)
         some = docs.select(docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h")).filter("text is not null")
         last = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-        texts = some.filter(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").toPandas()["text"]
-        parts, label = [], []
-        for k in range(0, len(texts), 500):
-            n, share, doc, shape = measures([t.encode() for t in texts[k : k + 500]])
-            code = vote_codes(n, share)
-            use = code >= 0
-            parts.append(features(n, doc, shape)[use])
-            label.append(good[np.searchsorted(codes, code[use])])
-        weights = fit_scorer(np.concatenate(parts), np.concatenate(label)) if parts else np.zeros(SLOTS + 1)
+        texts = some.filter(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"))
+        fit = texts.select("h", "text").mapInArrow(rows_of, "h long, code long, x binary").filter("code >= 0").toArrow().sort_by("h")
+        x = np.concatenate([np.zeros(0, np.float32)] + [np.frombuffer(v.as_buffer(), np.float32) for v in fit["x"]])
+        label = good[np.searchsorted(codes, fit["code"].to_numpy())]
+        weights = fit_scorer(x.reshape(-1, SLOTS), label) if len(label) else np.zeros(SLOTS + 1)
     else:
         weights = np.zeros(SLOTS + 1)
 

@@ -236,6 +236,18 @@ def test_quality_finds_junk_without_labels(spark):
     assert quality.score_quality(df.limit(0)).count() == 0
 
 
+def test_quality_of_rare_junk_and_of_columns_with_its_names(spark):
+    rng = random.Random(5)
+    words = "the river and a small house in the old town was seen by many people who had come to look at it".split()
+    rows = [(i, " ".join(f"{rng.choice(words)}{'.' if k % 9 == 8 else ''}" for k in range(60)), i, "x") for i in range(3000)]
+    for i in (500, 1500, 2500):  # one in a thousand
+        rows[i] = (i, " ".join("|#$%"[rng.randrange(4)] * rng.randint(1, 4) for _ in range(60)), i, "x")
+    df = spark.createDataFrame(rows, "doc_id long, text string, Quality long, GOOD string")
+    got = quality.score_quality(df)
+    assert got.columns == ["doc_id", "text", "quality", "good"]
+    assert sorted(r["doc_id"] for r in got.filter("not good").collect()) == [500, 1500, 2500]
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(2)
     ids = rng.sample(range(10**6), 90)
@@ -254,6 +266,34 @@ def test_best_fit(window):
     assert f.take(1) == (0, 1) and f.take(window) == ((window - 1, window) if window > 1 else None)
 
 
+def test_toxicity_terms_looked_up_once_equal_terms_of_each_text():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words).title() for _ in range(rng.choice([0, 1, 5, 300]))).encode() for _ in range(80)]
+    doc, h, count = toxicity.terms_of(texts)
+    known = np.unique(h)[::2]
+    at = toxicity.places(known, h)
+    got = toxicity.places_of(texts, known)
+    assert [x.tolist() for x in got] == [x[at >= 0].tolist() for x in (doc, at, count)]
+    assert all(len(x) == 0 for x in toxicity.places_of(texts, known[:0]))
+    big = np.array([5, 1 << 60, 5])  # keys too wide to be packed
+    assert [x.tolist() for x in toxicity.runs(big, np.array([1, 2, 3]))] == [[5, 1 << 60], [4, 2]]
+
+
+def test_toxicity_index_in_many_buckets_is_the_index_in_one(spark, monkeypatch):
+    docs, labels = toxic_rows(4, 200)
+    docs += [(20_000, None), (20_001, ""), (20_002, "word " * 3000)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = {r["doc_id"]: r for r in toxicity.score_toxicity(fx.frame(spark, docs), labels).collect()}
+    monkeypatch.setattr(toxicity, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(toxicity, "OWN_ROWS", 20)
+    split = {r["doc_id"]: r for r in toxicity.score_toxicity(fx.frame(spark, docs), labels).collect()}
+    assert whole.keys() == split.keys() == {d for d, _ in docs}
+    assert all(abs(whole[i]["score"] - split[i]["score"]) < 1e-6 for i in whole)
+    few = toxicity.score_toxicity(fx.frame(spark, docs), labels, example_bytes=1).collect()
+    assert len({r["score"] for r in few}) <= 2  # one example
+
+
 def test_toxicity_of_terms_in_few_examples(spark):
     """Toxic wording that only two examples have, and every clean text shares words with examples."""
     rng = random.Random(4)
