@@ -3,14 +3,16 @@
 A document is tokenised whole by both. Where a token of either that begins with
 a space starts at the same byte, the ends before it are shared, so the document
 falls into windows, about one a word, that can be aligned on their own. The
-same pairs of id tuples come again and again: their alignment is kept and
-looked up.
+same pairs of id tuples come again and again: their alignment is kept, as the
+text of its groups, its links and its bytes, and looked up.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from stockweave.llm.seeds import take_spans
 
 KEPT = 200_000  # windows a task keeps, at most; later ones are aligned each time
 LONGEST = 16  # ids of a kept window, each side
+TOGETHER = 1 << 15  # ids of documents aligned together, about
 SEND = 8 << 20  # bytes of groups that travel together, about
 PAIRS = 2_000_000  # counted id pairs that are broadcast, at most (about 100 bytes each there)
 
@@ -39,6 +42,9 @@ class Side:
         self.names = np.frombuffer(b"".join(names), np.uint8).reshape(-1, width)  # ids as text, with a place for a mark
         self.end = (self.names > 0).sum(axis=1)
 
+    def spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
 
 class ByteLevel:
     """Ids of a byte-level tokenizer file, special strings as plain text, and the bytes of its tokens.
@@ -108,72 +114,127 @@ class Tokenizers:
             ]
         )
 
+    def encoded(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both for a space and the text, not compared with it."""
+        return self.first_ids(" " + text), self.second_ids(text)
+
     def ids(self, text: str) -> tuple[list[int], list[int]] | None:
         """Ids of both for a space and the text; None where the bytes of either are not these."""
         raw = (" " + text).encode()
-        a, b = self.first_ids(" " + text), self.second_ids(text)
+        a, b = self.encoded(text)
         for ids, side in ((a, self.first), (b, self.second)):
-            if b"".join(map(side.tokens.__getitem__, ids)) != raw:
+            if side.spelled(ids) != raw:
                 return None
         return a, b
 
 
-def shared_ends(first: np.ndarray, second: np.ndarray) -> tuple[bytes, bytes]:
-    """From the token lengths of both sides: a byte for each token, 1 where it ends at a shared end."""
+def shared_ends(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the token lengths of both sides: which tokens end at a shared end."""
     x, y = np.cumsum(first), np.cumsum(second)
     at, to = np.searchsorted(y, x), np.searchsorted(x, y)
-    return (y[np.minimum(at, len(y) - 1)] == x).tobytes(), (x[np.minimum(to, len(x) - 1)] == y).tobytes()
+    return y[np.minimum(at, len(y) - 1)] == x, x[np.minimum(to, len(x) - 1)] == y
 
 
 class Aligner:
-    """Aligns documents window by window; windows of the same ids are aligned once."""
+    """Aligns documents window by window; windows of the same ids are aligned once.
+
+    Some documents are taken together, end to end: the windows of each are its
+    own, and arrays of a few words cost more to call for than to work on.
+    """
 
     def __init__(self, tokenizers: Tokenizers):
         self.of = tokenizers
-        self.kept: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
-        self.same: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}  # one object for equal alignments
+        self.kept: dict[bytes, tuple[bytes, bytes, bytes]] = {}  # groups as text, links and bytes by the ids of both sides
 
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token numbers on both sides where windows begin, and the ends."""
-        first, second = self.of.first, self.of.second
-        ia, ib = np.flatnonzero(first.spaced[a][1:]), np.flatnonzero(second.spaced[b][1:])
-        at, to = np.cumsum(first.length[a])[ia], np.cumsum(second.length[b])[ib]
-        if not len(at) or not len(to):
-            return np.array([0, len(a)]), np.array([0, len(b)])
+    def cuts(self, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers on both sides where windows begin, and the ends; documents begin at ``first_a`` and ``first_b``."""
+
+        def marks(side, ids, begin):
+            spaced = side.spaced[ids]
+            spaced[begin] = True
+            at = np.flatnonzero(spaced)
+            length = side.length[ids]
+            return at, (np.cumsum(length) - length)[at]
+
+        (ia, at), (ib, to) = marks(self.of.first, a, first_a), marks(self.of.second, b, first_b)
         k = np.minimum(np.searchsorted(to, at), len(to) - 1)
         shared = to[k] == at
-        ends = lambda i, n: np.concatenate([[0], i + 1, [n]])
-        return ends(ia[shared], len(a)), ends(ib[k[shared]], len(b))
+        return np.r_[ia[shared], len(a)], np.r_[ib[k[shared]], len(b)]
+
+    def keys(self, a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[bytes]:
+        """Ids of each window in one run of bytes: of the first side, then of the second, numbered behind the first."""
+        out = np.empty(len(a) + len(b), np.int32)
+        out[np.arange(len(a)) + np.repeat(cb[:-1], np.diff(ca))] = a
+        out[np.arange(len(b)) + np.repeat(ca[1:], np.diff(cb))] = b + np.int32(len(self.of.first.tokens))
+        raw = out.tobytes()
+        return [raw[i:j] for i, j in pairwise((4 * (ca + cb)).tolist())]
+
+    def new_windows(self, found: list, keys: list[bytes], a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> None:
+        """Align the windows that are not kept, end to end: both sides of a window are equally long.
 
-    def new_windows(self, found: list, keys: list, a: np.ndarray, b: np.ndarray, ca: list[int], cb: list[int]) -> None:
-        """Align the windows that are not kept, end to end: both sides of a window are equally long."""
+        Windows whose sides have different bytes stay without an alignment.
+        """
         new = [n for n, got in enumerate(found) if got is None]
         if not new:
             return
-        starts, size_a, size_b = np.array(new), np.diff(ca)[new], np.diff(cb)[new]
-        own_a, own_b = take_spans(a, np.array(ca)[starts], size_a), take_spans(b, np.array(cb)[starts], size_b)
-        ends_a, ends_b = shared_ends(self.of.first.length[own_a], self.of.second.length[own_b])
-        i = j = 0
-        for n, p, q in zip(new, np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist()):
-            got = found[n] = ends_a[i:p], ends_b[j:q]
-            if p - i <= LONGEST and q - j <= LONGEST and len(self.kept) < KEPT:
-                self.kept[keys[n]] = self.same.setdefault(got, got)
-            i, j = p, q
-
-    def align(self, a: list[int], b: list[int]) -> tuple[str, np.ndarray]:
-        """Groups as text and a link (both ids in one number) for each."""
-        x, y = np.array(a, np.int32), np.array(b, np.int32)
-        ca, cb = (c.tolist() for c in self.cuts(x, y))
-        raw_a, raw_b = x.tobytes(), y.tobytes()
-        keys = [(raw_a[4 * i : 4 * p], raw_b[4 * j : 4 * q]) for i, p, j, q in zip(ca, ca[1:], cb, cb[1:])]
+        first, second = self.of.first, self.of.second
+        size_a, size_b = np.diff(ca)[new], np.diff(cb)[new]
+        own_a, own_b = take_spans(a, ca[new], size_a), take_spans(b, cb[new], size_b)
+        spelled = first.spelled(own_a.tolist())
+        other = second.spelled(own_b.tolist())
+        equal = spelled == other
+        bytes_a, bytes_b = first.length[own_a], second.length[own_b]
+        ends_a, ends_b = shared_ends(bytes_a, bytes_b)
+        text = self.text(own_a, own_b, ends_a, ends_b)
+        links = (own_a[ends_a].astype(np.int64) << 32 | own_b[ends_b]).tobytes()
+        last_a, last_b = np.cumsum(size_a) - 1, np.cumsum(size_b) - 1
+        ends = (
+            (np.cumsum(first.end[own_a] + 1)[last_a] + np.cumsum(second.end[own_b] + 1)[last_b]).tolist(),
+            (8 * np.cumsum(ends_a)[last_a]).tolist(),
+            np.cumsum(bytes_a)[last_a].tolist(),
+        )
+        short = ((size_a <= LONGEST) & (size_b <= LONGEST)).tolist()
+        i = j = k = 0
+        for n, p, q, r, keep in zip(new, *ends, short):
+            if equal or spelled[k:r] == other[k:r]:
+                got = found[n] = text[i:p], links[j:q], spelled[k:r]
+                if keep and len(self.kept) < KEPT:
+                    self.kept[keys[n]] = got
+            i, j, k = p, q, r
+
+    def align(self, a: list[int], b: list[int]) -> tuple[str, np.ndarray] | None:
+        """:meth:`align_all` of one document."""
+        return self.align_all([(a, b, None)])[0]
+
+    def align_all(self, docs: list[tuple[list[int], list[int], bytes | None]]) -> list[tuple[str, np.ndarray] | None]:
+        """For each document (ids of both sides and its bytes) its groups as text and a link (both ids in one number)
+        for each; None where the bytes of either side are not these, or not the same where none are given."""
+        x, y = (np.concatenate([np.frombuffer(array("i", d[side]), np.int32) for d in docs]) for side in (0, 1))
+        size_a, size_b = (np.array([len(d[side]) for d in docs]) for side in (0, 1))
+        total = lambda length, size: np.diff(np.r_[0, np.cumsum(length)][np.r_[0, np.cumsum(size)]])
+        bytes_a = total(self.of.first.length[x], size_a)
+        fits = (bytes_a == total(self.of.second.length[y], size_b)) & (bytes_a > 0)
+        if not fits.all():  # only documents of equally long sides can lie end to end
+            rest = iter(self.align_all([d for d, fit in zip(docs, fits) if fit]) if fits.any() else [])
+            return [next(rest) if fit else None for fit in fits]
+        first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+        ca, cb = self.cuts(x, y, first_a, first_b)
+        keys = self.keys(x, y, ca, cb)
         found = list(map(self.kept.get, keys))
         self.new_windows(found, keys, x, y, ca, cb)
-        ends_a = np.frombuffer(b"".join([f[0] for f in found]), np.uint8)
-        ends_b = np.frombuffer(b"".join([f[1] for f in found]), np.uint8)
-        return self.text(x, y, ends_a, ends_b), x[ends_a > 0].astype(np.int64) << 32 | y[ends_b > 0]
-
-    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-        """``a1,a2|b1;a3|b2``: ids in order of their groups, each followed by its mark."""
+        edges = np.r_[np.searchsorted(ca, first_a), len(ca) - 1].tolist()
+        out = []
+        for (_, _, raw), i, j in zip(docs, edges, edges[1:]):
+            own = found[i:j]
+            if None in own or raw is not None and b"".join([f[2] for f in own]) != raw:
+                out.append(None)
+            else:
+                links = np.frombuffer(b"".join([f[1] for f in own]), np.int64)
+                out.append((b"".join([f[0] for f in own])[:-1].decode(), links))
+        return out
+
+    def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
+        """``a1,a2|b1;a3|b2;``: ids in order of their groups, each followed by its mark."""
         last_a, last_b = np.flatnonzero(ends_a) + 1, np.flatnonzero(ends_b) + 1
         sizes_a, sizes_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
         at_a = np.arange(len(a)) + np.repeat(last_b - sizes_b, sizes_a)
@@ -184,7 +245,7 @@ class Aligner:
         out[at_b, : second.names.shape[1]] = second.names[b]
         out[at_a, first.end[a]] = np.where(ends_a, ord("|"), ord(","))
         out[at_b, second.end[b]] = np.where(ends_b, ord(";"), ord(","))
-        return out[out > 0].tobytes()[:-1].decode()
+        return out[out > 0].tobytes()
 
 
 def align(
@@ -214,17 +275,24 @@ def align(
         for batch in batches:
             aligner = aligner or Aligner(Tokenizers(first, ranks, second))
             types = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.large_string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            rows, held = [], 0
+            rows, held, some, size = [], 0, [], 0
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py()
-                ids = aligner.of.ids(text) if text else None
-                if ids is None:
-                    rows.append((0, 0, 0, "", [], []))
-                else:
-                    groups, links = aligner.align(*ids)
+                some.append((*aligner.of.encoded(text), (" " + text).encode()) if text else None)
+                size += len(some[-1][0]) if text else 1
+                if size < TOGETHER and i + 1 < batch.num_rows:
+                    continue
+                full = [d for d in some if d]
+                got = iter(aligner.align_all(full) if full else [])
+                for d in some:
+                    groups, links = (d and next(got)) or ("", None)
+                    if links is None:
+                        rows.append((0, 0, 0, "", [], []))
+                        continue
                     pairs, times = np.unique(links, return_counts=True)
-                    rows.append((len(ids[0]), len(ids[1]), len(links), groups, pairs, times.astype(np.int32)))
+                    rows.append((len(d[0]), len(d[1]), len(links), groups, pairs, times.astype(np.int32)))
                     held += len(groups)
+                some, size = [], 0
                 if held > SEND or i + 1 == batch.num_rows:
                     at = i + 1 - len(rows)
                     yield pa.RecordBatch.from_arrays(

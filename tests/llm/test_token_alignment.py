@@ -117,3 +117,26 @@ def test_kept_windows_are_bounded_and_change_nothing(monkeypatch):
 def test_empty_table(spark):
     got = ta.aligned_documents(spark.createDataFrame([], SCHEMA), FIRST, SECOND, RANKS)
     assert got.count() == 0 and got.columns[0] == "doc_id"
+
+
+def test_documents_together_are_each_alignment_alone():
+    """Several documents share one pass; one whose bytes differ leaves the others alone and no window behind."""
+    of = ta.Tokenizers(FIRST, RANKS, SECOND)
+    texts = [t for _, t in rows_of() if t]
+    docs = [(*of.encoded(t), (" " + t).encode()) for t in texts]
+    want = [ta.Aligner(of).align_all([d])[0] for d in docs]
+    together = ta.Aligner(of)
+    for got in (together.align_all(docs), together.align_all(docs)):  # nothing kept, then much of it
+        assert [g and (g[0], g[1].tolist()) for g in got] == [w and (w[0], w[1].tolist()) for w in want]
+    assert [g is None for g in want] == [of.ids(t) is None for t in texts] and None in want
+    a, b, raw = docs[0]
+    other = next(i for i, t in enumerate(of.second.tokens) if len(t) == of.second.length[b[-1]] and t != of.second.tokens[b[-1]])
+    wrong = [(a, b[:-1] + [other], raw), (a, b, raw[:-1] + b"\0"), (a, b + b[-1:], raw)]
+    assert [g is None for g in together.align_all([*wrong, docs[0]])] == [True, True, True, False]
+    assert all(of.first.spelled(x) == of.second.spelled(y) == kept[2] for key, kept in together.kept.items() for x, y in [sides(of, key)])
+
+
+def sides(of, key):
+    """Ids of both sides from the key of a kept window."""
+    ids, n = memoryview(key).cast("i").tolist(), len(of.first.tokens)
+    return [i for i in ids if i < n], [i - n for i in ids if i >= n]
