@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.phrase_dedup import spans_hash
+from stockweave.llm.phrase_dedup import INV, MUL, powers
 from stockweave.llm.common import mix64, parts_for, stored
 
 EXAMPLES = 8_000  # labelled rows the model is fitted on, at most
@@ -29,7 +29,7 @@ BLOCK = 64  # examples in a block of the index
 EVIDENCE = 5  # nearest examples reported
 COMMON = 1024  # terms with the longest postings, kept as columns
 SLICE = 128  # texts searched together
-STEP = 4  # texts whose postings are added up together
+PIECE = 1 << 17  # postings added up at a time, about
 ROUNDING = 2e-6  # cosines nearer than this count as equal
 CHUNK_BYTES = 1 << 20
 EXAMPLE_BYTES = 64 << 20  # texts of the examples, at most
@@ -42,21 +42,35 @@ FOLD[65:91] += 32
 FOLD = mix64(FOLD + np.uint64(1))
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Spans:
+    """Hashes of spans of folded bytes, as ``spans_hash`` has them; the running sums are made once for all spans."""
+
+    def __init__(self, raw: np.ndarray):
+        x = FOLD[raw]
+        with np.errstate(over="ignore"):
+            self.total = np.r_[np.uint64(0), np.cumsum(x * powers(MUL, len(x)), dtype=np.uint64)]
+        self.scale = powers(INV, len(x) + 1)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.total[end] - self.total[start]) * self.scale[start])
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans]:
     """Document, start and end of each word of letters, and the folded bytes that terms are hashed from."""
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     edge = np.diff(np.r_[False, LETTER[raw], False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-    return doc, start, end, FOLD[raw]
+    return doc, start, end, Spans(raw)
 
 
-def beginnings(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def beginnings(x: Spans, start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length of beginnings the words that are longer, and the hashes of their beginnings."""
     got = []
     for n in BEGINNINGS:
         long = np.flatnonzero(end - start > n)
-        got.append((long, spans_hash(x, start[long], start[long] + n) ^ np.uint64(n)))
+        got.append((long, x.hash(start[long], start[long] + n) ^ np.uint64(n)))
     return got
 
 
@@ -84,7 +98,7 @@ def terms_of(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.nd
         return places_of(texts, known)
     doc, start, end, x = words_of(texts)
     more = beginnings(x, start, end)
-    h = np.concatenate([spans_hash(x, start, end)] + [g for _, g in more])
+    h = np.concatenate([x.hash(start, end)] + [g for _, g in more])
     doc = np.concatenate([doc] + [doc[long] for long, _ in more])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
@@ -103,7 +117,7 @@ def places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
 def places_of(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`terms_of` as places in ``known``, other terms left out. Each distinct word is looked up once."""
     doc, start, end, x = words_of(texts)
-    word, first, which = np.unique(spans_hash(x, start, end), return_index=True, return_inverse=True)
+    word, first, which = np.unique(x.hash(start, end), return_index=True, return_inverse=True)
     table = np.full((len(word), 1 + len(BEGINNINGS)), -1)
     table[:, 0] = places(known, word)
     for k, (long, h) in enumerate(beginnings(x, start[first], end[first]), 1):
@@ -127,12 +141,19 @@ class Index:
     toxic: np.ndarray
     idf: np.ndarray  # idf times association with the labels
     begin: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
+    posting: np.ndarray  # example and weight side by side in one number, so that both are fetched at once
     label: np.ndarray
     none: float  # toxic share of examples without any term
     dense: tuple | None = None  # column of each common term or -1, their weights by example, their block maxima
 
+    @property
+    def example(self) -> np.ndarray:
+        return self.posting.view(np.int32)[::2]
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self.posting.view(np.float32)[1::2]
+
 
 def association(df: np.ndarray, toxic: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Weight of terms by their correlation with the labels; every term keeps at least ``FLOOR``."""
@@ -177,7 +198,8 @@ def assemble(label: np.ndarray, terms: np.ndarray, df: np.ndarray, toxic: np.nda
     n = len(label)
     idf = rarity * association(df, toxic, label)
     begin = np.r_[0, np.cumsum(df)]
-    example, weight = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.float32)
+    posting = np.empty(begin[-1], np.int64)
+    example, weight = posting.view(np.int32)[::2], posting.view(np.float32)[1::2]
     square = np.zeros(n)
     a = 0
     for ids, count in postings:
@@ -193,7 +215,7 @@ def assemble(label: np.ndarray, terms: np.ndarray, df: np.ndarray, toxic: np.nda
     empty = square == 0
     share = label.mean() if n else 0.0
     none = (label[empty].sum() + share) / (empty.sum() + 1.0)
-    return Index(terms, rarity, df, toxic, idf, begin, example, weight, label, float(none))
+    return Index(terms, rarity, df, toxic, idf, begin, posting, label, float(none))
 
 
 def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,6 +233,29 @@ def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ix.dense
 
 
+def added(ix: Index, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Postings of the terms, times their weights in each of ``n`` texts, added up by text and example."""
+    out = np.zeros((n, width), np.float32)
+    size, edge = ix.df[term], np.searchsorted(doc, np.arange(n + 1))
+    end = np.cumsum(size)
+    jump = ix.begin[term] - end + size
+    room = min(int(end[-1]), PIECE + int(size.max())) if len(end) else 0
+    # every piece goes through the same memory: fresh arrays cost more than the sums
+    number, at, got, part = np.arange(room), np.empty(room, np.int64), np.empty(room, np.int64), np.empty(room)
+    for a in range(n):
+        i, last = int(edge[a]), int(edge[a + 1])
+        while i < last:
+            base = int(end[i] - size[i])
+            j = min(last, max(i + 1, int(np.searchsorted(end, base + PIECE, side="right"))))
+            m = int(end[j - 1]) - base
+            np.add(number[:m], np.repeat(jump[i:j] + base, size[i:j]), out=at[:m])
+            np.take(ix.posting, at[:m], out=got[:m], mode="clip")  # all places exist; the default mode copies
+            np.multiply(got[:m].view(np.float32)[1::2], np.repeat(weight[i:j], size[i:j]), out=part[:m])
+            out[a] += np.bincount(got[:m].view(np.int32)[::2], weights=part[:m], minlength=width)
+            i = j
+    return out
+
+
 def nearest_of(
     ix: Index, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None
 ) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -226,16 +271,7 @@ def nearest_of(
     q = np.zeros((n, len(block_max)), np.float32)
     q[doc[hot >= 0], hot[hot >= 0]] = weight[hot >= 0]
     cold = hot < 0
-    t, d, w = term[cold], doc[cold], weight[cold]
-    rest = np.zeros((n, width), np.float32)
-    edge = np.searchsorted(d, np.arange(0, n + STEP, STEP))
-    for k_, a in enumerate(range(0, n, STEP)):
-        rows, m = slice(edge[k_], edge[k_ + 1]), min(STEP, n - a)
-        size, begin = ix.df[t[rows]], ix.begin[t[rows]]
-        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        place = ix.example[at] + np.repeat((d[rows] - a) * width, size)
-        part = ix.weight[at] * np.repeat(w[rows], size)
-        rest[a : a + m] = np.bincount(place, weights=part, minlength=m * width).reshape(m, width)
+    rest = added(ix, doc[cold], term[cold], weight[cold], n, width)
     rest = rest.reshape(n, -1, BLOCK)
     bound = rest.max(axis=2) + q @ block_max
     score = np.zeros_like(rest)
@@ -250,15 +286,22 @@ def nearest_of(
         want &= ~done & (bound >= least[:, None] - ROUNDING)
         for b in np.flatnonzero(want.any(axis=0)).tolist():
             r = np.flatnonzero(want[:, b])
-            score[r, b] = rest[r, b] + q[r] @ dense[b]
+            if 2 * len(r) > n:  # cheaper for all texts than picking some
+                score[:, b] = np.where(want[:, b, None], rest[:, b] + q @ dense[b], score[:, b])
+            else:
+                score[r, b] = rest[r, b] + q[r] @ dense[b]
         if len(own):
             flat[own, skip[own]] = 0
         done |= want
-        if width > k and want.any():
-            least = np.partition(flat, width - k, axis=1)[:, width - k]
+        if first * BLOCK > k and first < bound.shape[1]:  # all that is not zero yet
+            seen = np.take_along_axis(score, order[:, :first, None], axis=1).reshape(n, -1)
+            least = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
     out = []
     for row, low in zip(flat, least.tolist(), strict=True):
         ids = np.flatnonzero((row > 0) & (row >= low - ROUNDING))
+        if len(ids) > k:
+            got = row[ids]
+            ids = ids[got >= np.partition(got, len(got) - k)[len(got) - k] - ROUNDING]
         cos = row[ids].astype(np.float64)
         ids = ids[np.lexsort((ids, -cos.round(6)))][:k]
         out.append((ids, row[ids].astype(np.float64)))

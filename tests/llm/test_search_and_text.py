@@ -321,3 +321,37 @@ def test_toxicity_examples_are_labels_of_the_documents(spark):
     score = {r["doc_id"]: r["score"] for r in b}
     assert {r["doc_id"]: r["score"] for r in a} == pytest.approx(score)
     assert sum(r["predicted"] for r in a) > 0
+
+
+def test_toxicity_postings_are_added_up_in_pieces_of_bounded_memory(monkeypatch):
+    docs, labels = toxic_rows(7, 300)
+    texts, label = [t.encode() for _, t in docs] + [b""], np.array([t for _, _, t in labels] + [0], float)
+    ix = toxicity.build_index(texts, label, np.unique(toxicity.terms_of(texts)[1]))
+    doc, term, count = toxicity.known_terms(texts, ix.terms)
+    weight = (1 + np.log(count)) * ix.idf[term]
+    both = np.zeros((len(texts), len(ix.terms)))
+    both[ix.example, np.repeat(np.arange(len(ix.terms)), ix.df)] = ix.weight
+    query = np.zeros_like(both)
+    query[doc, term] = weight
+    want = query @ both.T
+    taken = []
+    take = np.take
+    monkeypatch.setattr(toxicity.np, "take", lambda x, at, **how: taken.append(len(at)) or take(x, at, **how))
+    for piece in (1, 1000, toxicity.PIECE):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        taken.clear()
+        assert np.allclose(toxicity.added(ix, doc, term, weight, len(texts), len(texts)), want, rtol=1e-5)
+        assert max(taken) <= max(piece, ix.df.max()) and sum(taken) == ix.df[term].sum()
+    none = np.zeros(0, np.int64)
+    assert not toxicity.added(ix, none, none, none, 2, len(texts)).any()
+
+
+def test_toxicity_hashes_of_all_spans_from_one_running_sum():
+    from stockweave.llm.phrase_dedup import spans_hash
+
+    texts = [b"Some words and MORE words, longerwordsthanusual", b"", "ünïcode wörds".encode()]
+    doc, start, end, x = toxicity.words_of(texts)
+    folded = toxicity.FOLD[np.frombuffer(b"\n".join(texts), np.uint8)]
+    assert len(start) == 8 and x.hash(start, end).tolist() == spans_hash(folded, start, end).tolist()
+    for n, (long, h) in zip(toxicity.BEGINNINGS, toxicity.beginnings(x, start, end), strict=True):
+        assert h.tolist() == (spans_hash(folded, start[long], start[long] + n) ^ np.uint64(n)).tolist()
