@@ -25,21 +25,34 @@ EXAMPLES = 8_000  # labelled rows the model is fitted on, at most
 FLOOR = 0.06  # weight of a term that tells nothing about the labels, as a correlation with them
 BEGINNINGS = (4, 5, 6, 7, 8, 10)  # bytes of word beginnings that are terms of their own
 NEIGHBOURS = 25
-BLOCK = 64  # examples in a block of the index
+BLOCK = 128  # examples in a block of the index
+FIRST = 512  # examples completed first for each text
 EVIDENCE = 5  # nearest examples reported
-COMMON = 1024  # terms with the longest postings, kept as columns
-SLICE = 128  # texts searched together
+COMMON = 2048  # terms with the longest postings, kept as columns
+ALIKE = 256  # the longest of them, by which similar examples are put into one block
+SLICE = 384  # texts searched together, at most
 PIECE = 1 << 17  # postings added up at a time, about
 ROUNDING = 2e-6  # cosines nearer than this count as equal
 CHUNK_BYTES = 1 << 20
 EXAMPLE_BYTES = 64 << 20  # texts of the examples, at most
 BUCKET_BYTES = 2 << 20  # example text whose postings make one bucket, on average
 OWN_ROWS = 500  # examples calibrated in one task
+EXAMPLE = (1 << 32) - 1  # the half of a posting that is its example
 LETTER = np.zeros(256, bool)
 LETTER[np.r_[65:91, 97:123, 128:256]] = True
 FOLD = np.arange(256, dtype=np.uint64)
 FOLD[65:91] += 32
 FOLD = mix64(FOLD + np.uint64(1))
+KEPT: dict[int, np.ndarray] = {}  # powers of each base
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """:func:`powers`, kept for the next texts unless these are unusually long."""
+    if n > 2 * CHUNK_BYTES:
+        return powers(base, n)
+    if len(KEPT.get(base, ())) < n:
+        KEPT[base] = powers(base, n)
+    return KEPT[base][:n]
 
 
 class Spans:
@@ -48,8 +61,8 @@ class Spans:
     def __init__(self, raw: np.ndarray):
         x = FOLD[raw]
         with np.errstate(over="ignore"):
-            self.total = np.r_[np.uint64(0), np.cumsum(x * powers(MUL, len(x)), dtype=np.uint64)]
-        self.scale = powers(INV, len(x) + 1)
+            self.total = np.r_[np.uint64(0), np.cumsum(x * kept_powers(MUL, len(x)), dtype=np.uint64)]
+        self.scale = kept_powers(INV, len(x) + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -110,14 +123,23 @@ def places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Place of each hash in ``known`` (sorted), or -1."""
     if not len(known):
         return np.full(len(h), -1)
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return np.where(known[at] == h, at, -1)
+    order = np.argsort(h)
+    h = h[order]  # in order, neighbouring searches read the same memory
+    found = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    at = np.empty(len(h), np.int64)
+    at[order] = np.where(known[found] == h, found, -1)
+    return at
 
 
 def places_of(texts: list[bytes], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`terms_of` as places in ``known``, other terms left out. Each distinct word is looked up once."""
     doc, start, end, x = words_of(texts)
-    word, first, which = np.unique(x.hash(start, end), return_index=True, return_inverse=True)
+    h = x.hash(start, end)
+    order = np.argsort(h)
+    h = h[order]
+    new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+    word, first, which = h[new], order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
     table = np.full((len(word), 1 + len(BEGINNINGS)), -1)
     table[:, 0] = places(known, word)
     for k, (long, h) in enumerate(beginnings(x, start[first], end[first]), 1):
@@ -172,7 +194,7 @@ def unit(w: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return w / np.maximum(norm, 1e-300)[doc]
 
 
-def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def known_terms(texts: list[bytes], terms: np.ndarray, step: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`places_of` a few texts at a time."""
     got = []
     for a in range(0, len(texts), step):
@@ -218,18 +240,55 @@ def assemble(label: np.ndarray, terms: np.ndarray, df: np.ndarray, toxic: np.nda
     return Index(terms, rarity, df, toxic, idf, begin, posting, label, float(none))
 
 
-def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms with long postings as columns: column of each term or -1, weights by block, block maxima."""
+def alike(weight: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Order of rows in which a block holds similar ones: halved along the direction in which they differ most, until
+    a part is one block."""
+    order = np.arange(len(weight))
+    todo = [(0, len(order))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= BLOCK:
+            continue
+        x = weight[order[a:b]]
+        x -= x.mean(axis=0)
+        way = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(rounds):
+            way = (x @ way) @ x
+            way /= max(float(np.sqrt(way @ way)), 1e-30)
+        order[a:b] = order[a:b][np.argsort(x @ way, kind="stable")]
+        middle = a + max(1, (b - a) // BLOCK // 2) * BLOCK
+        todo += [(a, middle), (middle, b)]
+    return order
+
+
+def common_terms(ix: Index) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Terms with long postings as columns: column of each term or -1, the example at each place of the blocks (numbers
+    from ``len(ix.label)`` on for none), the columns that each block has with their weights, and the block maxima."""
     if ix.dense is None:
-        blocks = max(1, -(-len(ix.label) // BLOCK))
+        n = len(ix.label)
+        blocks = max(1, -(-n // BLOCK))
         hot = np.argsort(-ix.df, kind="stable")[:COMMON]
         column = np.full(len(ix.terms), -1, np.int64)
         column[hot] = np.arange(len(hot))
-        weight = np.zeros((blocks, len(hot), BLOCK), np.float32)
-        for c, t in enumerate(hot.tolist()):
-            at = slice(ix.begin[t], ix.begin[t + 1])
-            weight[ix.example[at] // BLOCK, c, ix.example[at] % BLOCK] = ix.weight[at]
-        ix.dense = column, weight, np.ascontiguousarray(weight.max(axis=2).T)
+        held = [slice(*at) for at in zip(ix.begin[hot].tolist(), ix.begin[hot + 1].tolist(), strict=True)]
+        first = np.zeros((n, min(len(hot), ALIKE)), np.float32)
+        for c, at in enumerate(held[:ALIKE]):
+            first[ix.example[at], c] = ix.weight[at]
+        order = np.r_[alike(first), np.arange(n, blocks * BLOCK)]
+        block, place = np.divmod(np.argsort(order), BLOCK)
+        has = np.zeros((len(hot), blocks), bool)
+        for c, at in enumerate(held):
+            has[c, block[ix.example[at]]] = True
+        row = np.cumsum(has.T).reshape(has.T.shape) - 1  # of each column in each block, through all blocks
+        weight = np.zeros((int(has.sum()), BLOCK), np.float32)
+        for c, at in enumerate(held):
+            ids = ix.example[at]
+            weight[row[block[ids], c], place[ids]] = ix.weight[at]
+        parts = [(np.flatnonzero(h), w) for h, w in zip(has.T, np.split(weight, np.cumsum(has.sum(axis=0))[:-1]), strict=True)]
+        most = np.zeros(has.shape, np.float32)
+        for b, (columns, w) in enumerate(parts):
+            most[columns, b] = w.max(axis=1)
+        ix.dense = column, order, parts, most
     return ix.dense
 
 
@@ -251,7 +310,8 @@ def added(ix: Index, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: i
             np.add(number[:m], np.repeat(jump[i:j] + base, size[i:j]), out=at[:m])
             np.take(ix.posting, at[:m], out=got[:m], mode="clip")  # all places exist; the default mode copies
             np.multiply(got[:m].view(np.float32)[1::2], np.repeat(weight[i:j], size[i:j]), out=part[:m])
-            out[a] += np.bincount(got[:m].view(np.int32)[::2], weights=part[:m], minlength=width)
+            np.bitwise_and(got[:m], EXAMPLE, out=at[:m])
+            out[a] += np.bincount(at[:m], weights=part[:m], minlength=width)
             i = j
     return out
 
@@ -265,33 +325,35 @@ def nearest_of(
     rarer terms are added up; with the block maxima of the common terms they
     bound each block, and only blocks that can change a result are completed.
     """
-    column, dense, block_max = common_terms(ix)
-    width = len(dense) * BLOCK
+    column, order_of, blocks, block_max = common_terms(ix)
+    width = len(order_of)
     hot = column[term]
-    q = np.zeros((n, len(block_max)), np.float32)
-    q[doc[hot >= 0], hot[hot >= 0]] = weight[hot >= 0]
+    q = np.zeros((len(block_max), n), np.float32)
+    q[hot[hot >= 0], doc[hot >= 0]] = weight[hot >= 0]
     cold = hot < 0
-    rest = added(ix, doc[cold], term[cold], weight[cold], n, width)
-    rest = rest.reshape(n, -1, BLOCK)
-    bound = rest.max(axis=2) + q @ block_max
-    score = np.zeros_like(rest)
-    flat = score.reshape(n, width)
-    own = np.zeros(0, np.int64) if skip is None else np.flatnonzero(skip >= 0)
+    flat = added(ix, doc[cold], term[cold], weight[cold], n, width)
+    rest = flat.take(order_of, axis=1).reshape(n, -1, BLOCK)
+    bound = rest.max(axis=2) + q.T @ block_max
+    flat.fill(0)
+    score = flat.reshape(rest.shape)
+    own, place = np.zeros(0, np.int64) if skip is None else np.flatnonzero(skip >= 0), np.argsort(order_of)
     done = bound <= 0
     order = np.argsort(-bound, axis=1, kind="stable")
     least = np.zeros(n, np.float32)
-    for first in (8, bound.shape[1]):
+    for first in (FIRST // BLOCK, bound.shape[1]):
         want = np.zeros_like(done)
         np.put_along_axis(want, order[:, :first], True, axis=1)
         want &= ~done & (bound >= least[:, None] - ROUNDING)
         for b in np.flatnonzero(want.any(axis=0)).tolist():
             r = np.flatnonzero(want[:, b])
-            if 2 * len(r) > n:  # cheaper for all texts than picking some
-                score[:, b] = np.where(want[:, b, None], rest[:, b] + q @ dense[b], score[:, b])
+            columns, w = blocks[b]
+            part = q[columns]
+            if 4 * len(r) > 3 * n:  # cheaper for all texts than picking some
+                score[:, b] = np.where(want[:, b, None], rest[:, b] + part.T @ w, score[:, b])
             else:
-                score[r, b] = rest[r, b] + q[r] @ dense[b]
+                score[r, b] = rest[r, b] + part.take(r, axis=1).T @ w
         if len(own):
-            flat[own, skip[own]] = 0
+            flat[own, place[skip[own]]] = 0
         done |= want
         if first * BLOCK > k and first < bound.shape[1]:  # all that is not zero yet
             seen = np.take_along_axis(score, order[:, :first, None], axis=1).reshape(n, -1)
@@ -303,8 +365,8 @@ def nearest_of(
             got = row[ids]
             ids = ids[got >= np.partition(got, len(got) - k)[len(got) - k] - ROUNDING]
         cos = row[ids].astype(np.float64)
-        ids = ids[np.lexsort((ids, -cos.round(6)))][:k]
-        out.append((ids, row[ids].astype(np.float64)))
+        at = np.lexsort((order_of[ids], -cos.round(6)))[:k]
+        out.append((order_of[ids[at]], cos[at]))
     return out
 
 
@@ -324,10 +386,11 @@ def votes_of(
 ) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Vote of each text, and its nearest examples with their cosines. Texts that are the examples ``own``
     do not vote for themselves, and what they add to the weights of their own terms is taken out."""
-    evidence = []
-    at = np.searchsorted(doc, np.arange(0, n + SLICE, SLICE))
-    for k, a in enumerate(range(0, n, SLICE)):
-        rows, m = slice(at[k], at[k + 1]), min(SLICE, n - a)
+    evidence, parts = [], -(-n // SLICE)  # of one size, or nearly so
+    edges = [n * i // parts for i in range(parts + 1)]
+    at = np.searchsorted(doc, edges)
+    for k, a in enumerate(edges[:-1]):
+        rows, m = slice(at[k], at[k + 1]), edges[k + 1] - a
         d, t = doc[rows] - a, term[rows]
         weight = (1 + np.log(count[rows])) * ix.idf[t]
         mine = None

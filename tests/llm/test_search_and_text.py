@@ -355,3 +355,31 @@ def test_toxicity_hashes_of_all_spans_from_one_running_sum():
     assert len(start) == 8 and x.hash(start, end).tolist() == spans_hash(folded, start, end).tolist()
     for n, (long, h) in zip(toxicity.BEGINNINGS, toxicity.beginnings(x, start, end), strict=True):
         assert h.tolist() == (spans_hash(folded, start[long], start[long] + n) ^ np.uint64(n)).tolist()
+
+
+def test_toxicity_blocks_hold_similar_examples_and_only_their_columns(monkeypatch):
+    rng = random.Random(9)
+    vocab = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(40)] for letters in ("abcdefgh", "ijklmnop")]
+    texts = [" ".join(rng.choice(vocab[i % 2]) for _ in range(30)).encode() for i in range(64)] + [b""]
+    label = np.array([i % 4 == 0 for i in range(64)] + [0], float)
+    ix = toxicity.build_index(texts, label, np.unique(toxicity.terms_of(texts)[1]))
+    doc, term, count = toxicity.known_terms(texts, ix.terms)
+    weight = toxicity.unit_rows(doc, term, count, ix.idf, len(texts))
+    whole = np.zeros((len(texts), len(ix.terms)))
+    whole[doc, term] = weight
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "FIRST", 16)
+    for common in (0, 30, 1000):  # no columns, some and all
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        ix.dense = None
+        column, order, blocks, most = toxicity.common_terms(ix)
+        assert sorted(order.tolist()) == list(range(80)) and most.shape == (min(common, len(ix.terms)), 5)
+        if common == 1000:
+            assert all(len({i % 2 for i in block if i < 64}) < 2 for block in order.reshape(-1, 16).tolist())
+            assert sum(len(columns) for columns, _ in blocks) < 0.6 * 5 * len(ix.terms)
+        skip = np.where(np.arange(len(texts)) % 3 == 0, np.arange(len(texts)), -1)
+        for d, (ids, cos) in enumerate(toxicity.nearest_of(ix, doc, term, weight, len(texts), 5, skip)):
+            want = whole @ whole[d]
+            want[skip[d] if skip[d] >= 0 else []] = 0
+            assert len(ids) == min(5, (want > 0).sum())
+            assert np.allclose(cos, np.sort(want)[::-1][: len(cos)], atol=1e-5) and np.allclose(want[ids], cos, atol=1e-5)
