@@ -50,7 +50,7 @@ def kept_powers(base: int, n: int) -> np.ndarray:
     """:func:`powers`, kept for the next texts unless these are unusually long."""
     if n > 2 * CHUNK_BYTES:
         return powers(base, n)
-    if len(KEPT.get(base, ())) < n:
+    if base not in KEPT or len(KEPT[base]) < n:
         KEPT[base] = powers(base, n)
     return KEPT[base][:n]
 
@@ -471,7 +471,7 @@ def example_index(texts: DataFrame, n_bytes: int) -> DataFrame:
                 _, h, count = terms_of([(text or "").encode()])
                 bucket = h // width if width else np.zeros(len(h), np.uint64)
                 first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else np.zeros(0, np.int64)
-                for i, j in zip(first.tolist(), np.r_[first[1:], len(h)].tolist(), strict=True):
+                for i, j in zip(first.tolist(), np.r_[first, len(h)][1:].tolist(), strict=True):
                     out.append((int(bucket[i]), example, label, h[i:j].tobytes(), count[i:j].astype(np.int32).tobytes()))
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             columns = zip(*out, strict=True) if out else [()] * 5

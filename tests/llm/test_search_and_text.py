@@ -383,3 +383,15 @@ def test_toxicity_blocks_hold_similar_examples_and_only_their_columns(monkeypatc
             want[skip[d] if skip[d] >= 0 else []] = 0
             assert len(ids) == min(5, (want > 0).sum())
             assert np.allclose(cos, np.sort(want)[::-1][: len(cos)], atol=1e-5) and np.allclose(want[ids], cos, atol=1e-5)
+
+
+def test_toxicity_of_examples_without_a_term(spark):
+    docs, labels = toxic_rows(5, 120)
+    bare = [(1000 + i, [None, "", "12 34"][i % 3]) for i in range(12)]
+    schema = "doc_id long, quality int, toxic int"
+    every = spark.createDataFrame(labels + [(i, 1, 0) for i, _ in bare], schema)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(fx.frame(spark, docs + bare), every).collect()}
+    assert len(got) == 132 and len({got[i]["score"] for i, _ in bare}) == 1 and got[1000]["predicted"] == 0
+    assert sum(got[i]["predicted"] == t for i, _, t in labels) > 100
+    only = toxicity.score_toxicity(fx.frame(spark, docs + bare), spark.createDataFrame([(i, 1, 0) for i, _ in bare], schema))
+    assert only.filter("predicted = 0").count() == 132
