@@ -4,7 +4,7 @@ Texts are TF-IDF vectors over all terms (words and word beginnings) of the
 examples, with document counts over all documents; terms that go with a label
 weigh more. Neighbours by exact cosine come from an inverted index with block
 maxima: only blocks of examples whose upper bound can change the result are
-completed. Votes are weighted by similarity and calibrated on the examples
+completed. Similar examples share a block. Votes are weighted by similarity and calibrated on the examples
 themselves, each without its own vote.
 """
 
