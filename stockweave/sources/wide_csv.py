@@ -7,7 +7,7 @@ import logging
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.functions import weeks as wk
@@ -65,14 +65,51 @@ def write_bronze(frames: dict[int, DataFrame], path: str) -> str:
     return path
 
 
+def _hadoop_digest(spark: SparkSession, path: str) -> Column:
+    """SHA-256 of the file named in column ``path``, streamed in the task's JVM.
+
+    Hadoop opens it with the session's settings, so any store that Spark reads
+    will do, and a buffer of the file is held at a time.
+    """
+    from pyspark.sql.classic.column import Column as Classic
+
+    jvm = spark._jvm
+    sql, java = jvm.org.apache.spark.sql, jvm.java.lang.Class.forName
+    objects, columns = sql.catalyst.expressions.objects, sql.classic.ExpressionUtils
+    none = jvm.scala.Option.empty()
+
+    def kind(name):
+        return sql.types.ObjectType(java(name))
+
+    def seq(*items):
+        return jvm.org.apache.spark.api.python.PythonUtils.toSeq([*items])
+
+    def call(target, method, gives, *args):
+        return objects.Invoke(target, method, kind(gives), seq(*args), seq(), True, True, True)
+
+    def new(name, arg):
+        return objects.NewInstance(java(name), seq(arg), seq(), True, kind(name), none)
+
+    conf = jvm.org.apache.spark.util.SerializableConfiguration(spark._jsparkSession.sessionState().newHadoopConf())
+    conf = sql.catalyst.expressions.Literal(conf, kind("org.apache.spark.util.SerializableConfiguration"))
+    file = new("org.apache.hadoop.fs.Path", call(columns.expression(F.col(path)._jc), "toString", "java.lang.String"))
+    store = call(file, "getFileSystem", "org.apache.hadoop.fs.FileSystem", call(conf, "value", "org.apache.hadoop.conf.Configuration"))
+    # closed at its end
+    stream = new("org.apache.commons.io.input.AutoCloseInputStream", call(store, "open", "org.apache.hadoop.fs.FSDataInputStream", file))
+    total = objects.StaticInvoke(
+        java("org.apache.commons.codec.digest.DigestUtils"), sql.types.DataTypes.BinaryType, "sha256", seq(stream), seq(), True, True, True, none
+    )
+    return F.lower(F.hex(Classic(columns.column(total))))
+
+
 def file_hashes(spark: SparkSession, path, chunk: int = 64 << 20) -> DataFrame:
     """SHA-256 of the bytes of every file below ``path``.
 
-    Files of stores that tasks can open are read ``chunk`` bytes at a time, so
-    they may have any size; files of other stores come as one record each.
-    Spark lists no empty files.
+    Files of stores that Python tasks can open are read ``chunk`` bytes at a
+    time, files of other stores as a stream of Hadoop's; both may have any size,
+    and no file becomes one record. Spark lists no empty files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     opens = F.col("path").rlike("^(file|hdfs|s3|gs):")
 
     def digest(batches):
@@ -91,8 +128,8 @@ def file_hashes(spark: SparkSession, path, chunk: int = 64 << 20) -> DataFrame:
                 sums.append(total.hexdigest())
             yield batch.assign(sha256=sums)
 
-    streamed = files.filter(opens).select("path", "length").mapInPandas(digest, "path string, length long, sha256 string")
-    return streamed.unionByName(files.filter(~opens).select("path", "length", F.sha2("content", 256).alias("sha256")))
+    streamed = files.filter(opens).mapInPandas(digest, "path string, length long, sha256 string")
+    return streamed.unionByName(files.filter(~opens).withColumn("sha256", _hadoop_digest(spark, "path")))
 
 
 def shape_hash(df: DataFrame) -> DataFrame:

@@ -91,6 +91,27 @@ def test_file_hashes_read_in_chunks(spark, tmp_path):
     assert "content" not in plan.split("Union")[1].split("Filter NOT")[0].split("MapInPandas")[0]
 
 
+def test_file_hashes_of_files_larger_than_a_record_in_any_store(spark, tmp_path):
+    import hashlib
+    import os
+
+    data = {f"f{i} ä%20#.bin": os.urandom(n) for i, n in enumerate((1, 1000, 1001, 50_000))}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "1000", "fs.viewfs.mounttable.hashes.link./in": f"file://{tmp_path}"}
+    want = sorted((name, len(c), hashlib.sha256(c).hexdigest()) for name, c in data.items())
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for path in (str(tmp_path), "viewfs://hashes/in", [str(tmp_path), "viewfs://hashes/in"]):
+            rows = wc.file_hashes(spark, path).collect()
+            got = [(os.path.basename(r["path"]), r["length"], r["sha256"]) for r in rows]
+            assert sorted(got) == sorted(want * (2 if isinstance(path, list) else 1))
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 class FakeSession:
     """Just the settings that choose the shared folder."""
 
